@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .pii import op9_pii
+from .secret import op2_secrets
+from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": lambda spark, d: op2_secrets(documents(spark, d, "doc_id", "text", "source")),
+        "op10_simhash": lambda spark, d: op10_simhash(documents(spark, d)),
         "op9_pii": lambda spark, d: op9_pii(documents(spark, d)),
     }
 
