@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .license import op3_license
+from .merkle import op4_merkle
+from .packing import op7_packing
 from .pii import op9_pii
 from .secret import op2_secrets
 from .simhash import op10_simhash
@@ -16,6 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": lambda spark, d: op2_secrets(documents(spark, d, "doc_id", "text", "source")),
         "op10_simhash": lambda spark, d: op10_simhash(documents(spark, d)),
+        "op3_license": lambda spark, d: op3_license(documents(spark, d)),
+        "op4_merkle": lambda spark, d: op4_merkle(documents(spark, d)),
+        "op7_packing": lambda spark, d: op7_packing(documents(spark, d)),
         "op9_pii": lambda spark, d: op9_pii(documents(spark, d)),
     }
 
