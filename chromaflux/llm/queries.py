@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontam import op8_decontamination
 from .license import op3_license
+from .lm import op1_lm
 from .merkle import op4_merkle
 from .packing import op7_packing
 from .pii import op9_pii
@@ -19,6 +20,7 @@ from .simhash import op10_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm": op1_lm,
         "op2_secrets": lambda spark, d: op2_secrets(documents(spark, d, "doc_id", "text", "source")),
         "op10_simhash": lambda spark, d: op10_simhash(documents(spark, d)),
         "op3_license": lambda spark, d: op3_license(documents(spark, d)),
