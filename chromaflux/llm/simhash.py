@@ -85,10 +85,11 @@ def links(fps: DataFrame, tau: int = 4, m: int = 9, length: int = 6) -> DataFram
     """
     masks, rings = chains(tau, m, length)
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(masks)))
-    every = fps.select("fp", F.explode(keys).alias("key"))
+    every = fps.select("fp", F.posexplode(keys).alias("chain", "key"))
     grouped = written(every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
-    lists = grouped.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, size(fps)), b -> {near('a', 'b', tau, rings)}), b -> struct(a, b))))"
+    lists = grouped.filter(F.col("n") <= SMALL).groupBy("key").agg(F.min("chain").alias("chain"), F.sort_array(F.collect_list("fp")).alias("fps"))
+    once = f"array_position(transform(array({', '.join(f'{signed(x)}L' for x in masks)}), mask -> ((a ^ b) & mask) = 0), true) = chain + 1"  # in its first chain alone
+    pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, size(fps)), b -> {near('a', 'b', tau, rings)} and {once}), b -> struct(a, b))))"
     small = lists.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
     large = grouped.filter(F.col("n") > SMALL).select("fp").distinct()
     return small.unionByName(midpoint_links(large, tau)).distinct()
