@@ -14,6 +14,7 @@ from .merkle import op4_merkle
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op6_quality, quality_tables
+from .repeats import op5_repeats
 from .secret import op2_secrets
 from .simhash import op10_simhash
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": lambda spark, d: op10_simhash(documents(spark, d)),
         "op3_license": lambda spark, d: op3_license(documents(spark, d)),
         "op4_merkle": lambda spark, d: op4_merkle(documents(spark, d)),
+        "op5_repeats": lambda spark, d: op5_repeats(documents(spark, d)),
         "op6_quality": lambda spark, d: op6_quality(*quality_tables(spark, d)),
         "op8_decontamination": lambda spark, d: op8_decontamination(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op7_packing": lambda spark, d: op7_packing(documents(spark, d)),
