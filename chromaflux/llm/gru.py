@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 128, 16, 256, 16, 0.1
+PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 64, 16, 256, 16, 0.1
 
 
 def initial(unigram: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:

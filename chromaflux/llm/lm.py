@@ -20,7 +20,7 @@ from . import gru
 from .common import column, documents, rows_of, text_bytes, texts, written
 
 #: Words that are broadcast with their counts at most, outputs of the network (buckets included), passes of averaging.
-HEAD, OUTPUTS, ROUNDS = 1 << 17, 2048 + gru.PER_CLASS, 2
+HEAD, OUTPUTS, ROUNDS = 1 << 18, 1024 + gru.PER_CLASS, 2
 END = b""
 FOLDS, HELD = 7, 2
 
@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if not held_out(doc_id):
                     counts.update(tokens(text))
                     counts[END] += 1
-                if len(counts) > 400_000:  # memory stays bounded; sums are formed again after the shuffle
+                if len(counts) > 1_000_000:  # memory stays bounded; sums are formed again after the shuffle
                     yield out()
         if counts:
             yield out()
@@ -87,23 +87,23 @@ class Vocabulary:
         weight[self.first_bucket :] = sums[:, 0]
         self.unigram = (weight + 1) / (weight + 1).sum()
 
+        self.place = {w: i for i, w in enumerate(self.count)}
+        self.log = np.log10(np.array([*self.count.values(), 0.0]) + 1)  # the last is of words outside the head
+        self.outputs = np.array([*map(self.number, self.count), 0], np.int16)
+
     def number(self, word: bytes) -> int:
         found = self.output.get(word)
         return self.bucket.get(word[:2], OUTPUTS - 1) if found is None else found
 
-
-class Numbers(dict):
-    """Outputs of words, looked up once for each word met."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = self.vocabulary.number(word)
-        return found
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs of the words and of the end, and their places in the head (-1: not there)."""
+        get = self.place.get
+        at = np.array([get(w, -1) for w in words] + [get(END, -1)], np.int32)
+        ids = self.outputs[at]
+        for i in np.nonzero(at[:-1] < 0)[0].tolist():
+            ids[i] = self.bucket.get(words[i][:2], OUTPUTS - 1)
+        ids[-1] = 0
+        return ids, at
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -134,12 +134,12 @@ def trained(docs: DataFrame, known) -> dict[str, np.ndarray]:
         start = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
-            learner, numbers = gru.Learner(start.value), Numbers(known.value)
+            learner, v = gru.Learner(start.value), known.value
             many: list[np.ndarray] = []
             for batch in batches:
                 for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
                     if not held_out(doc_id) and zlib.crc32(b"round" + str(doc_id).encode()) % ROUNDS == turn:
-                        many.append(np.array([*map(numbers.__getitem__, tokens(text)), 0], np.int16))
+                        many.append(v.numbers(tokens(text))[0])
                 if sum(map(len, many)) > 1 << 21:
                     learner.learn(many)
                     many = []
@@ -171,8 +171,7 @@ def scored(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, numbers = known.value, Numbers(known.value)
-        logs: dict[bytes, float] = {w: float(np.log10(n + 1)) for w, n in v.count.items()}
+        v = known.value
         room = float(np.log10(v.total + v.distinct + 1))
         for batch in batches:
             if not batch.num_rows:
@@ -180,17 +179,13 @@ def scored(docs: DataFrame) -> DataFrame:
             many, out = [], [[] for _ in names[2:]]
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
                 split = tokens(text)
-                ids = np.array([*map(numbers.__getitem__, split), 0], np.int16)
+                ids, at = v.numbers(split)
                 many.append(ids)
-                found = [logs.get(w, -1.0) for w in split]
-                found.append(logs.get(END, 0.0))
-                value = np.array(found)
-                rare = value < 0
-                value[rare] = 0.0
+                value, rare = v.log[at], at[:-1] < 0
                 tail = ids >= v.first_bucket
                 inside = (value[tail] + v.within[ids[tail] - v.first_bucket]).sum()
                 others = Counter(split[i] for i in np.nonzero(rare)[0])
-                row = (held_out(doc_id), len(ids), int(len(ids) - rare.sum()) if v.total else 0, float(value.sum() - room * len(ids)), float(inside), list(others), list(others.values()))
+                row = (held_out(doc_id), len(ids), int((at >= 0).sum()), float(value.sum() - room * len(ids)), float(inside), list(others), list(others.values()))
                 for to, x in zip(out, row, strict=True):
                     to.append(x)
             out[4] = np.array(out[4]) + gru.score(model.value, many)
