@@ -266,7 +266,8 @@ def fit_emg(samples: DataFrame, rounds: int = 60) -> DataFrame:
         curve = lambda q: K.emg(x, q[0], q[1], np.exp(q[2]), np.exp(q[3]))
         damp, r = 1e-2, y - curve(q)
         for _ in range(rounds):
-            jac = np.stack([(curve(q + e) - curve(q)) / h for e, h in ((np.eye(4)[i] * (h := 1e-6 * max(abs(q[i]), 1e-3)), h) for i in range(4))], 1)
+            steps = 1e-6 * np.maximum(np.abs(q), 1e-3)
+            jac = np.stack([(curve(q + e) - curve(q)) / h for e, h in zip(np.diag(steps), steps, strict=True)], 1)
             a = jac.T @ jac
             new = q + np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), jac.T @ r, rcond=None)[0]
             new[2:] = np.clip(new[2:], np.log(1e-6), np.log(max(float(np.ptp(x)), 1e-3)))
