@@ -147,12 +147,13 @@ def override_interval(peaks: DataFrame, overrides: DataFrame, tolerance: float =
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, on: list[str], how: str = "inner") -> DataFrame:
     """Points within intervals of the same keys ``on``; an equi-join with a range condition, so both sides may be large."""
-    i = intervals.select(*on, *(c for c in intervals.columns if c not in on))
+    rest = [c for c in intervals.columns if c not in on]
+    i = intervals.select(*(F.col(k).alias(f"__{k}") for k in on), *rest)
     condition = F.col(at).between(F.col(low), F.col(high))
     for k in on:
-        condition = condition & (points[k] == i[k])
+        condition = condition & (F.col(k) == F.col(f"__{k}"))
     joined = points.join(i, condition, how)
-    return joined if how in ("left_semi", "left_anti") else joined.select(*(points[c] for c in points.columns), *(i[c] for c in i.columns if c not in on))
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in on))
 
 
 def nearest_scan(targets: DataFrame, scans: DataFrame, on: list[str], target: str, axis: str, scan: str) -> DataFrame:

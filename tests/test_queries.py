@@ -5,6 +5,7 @@ import math
 import pytest
 
 from chromaflux.plans import queries as relational
+from chromaflux.plans import queries_more  # noqa: F401
 from chromaflux.plans import signal_queries
 
 SF = "/root/testdata/sf0.001"
