@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_of, text_bytes, texts
+from .common import column, lean, rows_of, text_bytes, texts
 
 #: Bytes of a q-gram, of a window and from one window to the next, and edits allowed per byte.
 Q, WINDOW, STRIDE, EDITS = 12, 96, 48, 0.05
@@ -186,7 +186,7 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield rows_of(names, list(map(list, zip(*rows, strict=True))), [pa.int64()] * 6)
 
-        part = texts(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        part = texts(docs).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -200,5 +200,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = [not of for of in scan(index.value, [t or b"" for t in text_bytes(batch)])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

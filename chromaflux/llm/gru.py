@@ -104,7 +104,7 @@ class Run:
     def heads(self, hs: np.ndarray, y: np.ndarray, learn: bool):
         """Natural-log probability of each target and, if ``learn``, the gradients (of their negative sum)."""
         p = self.p
-        order = np.argsort(y // PER_CLASS, kind="stable")
+        order = np.argsort((y // PER_CLASS).astype(np.int16), kind="stable")
         hs, y = hs[order], y[order]
         of_class, row = y // PER_CLASS, np.arange(len(y))
         cuts = np.searchsorted(of_class, np.arange(len(p["class_b"]) + 1)).tolist()
@@ -112,13 +112,14 @@ class Run:
         exp += p["class_b"]
         log = exp[row, of_class]
         np.exp(exp, out=exp)  # states lie within 1 and weights are small: no overflow
-        total = exp.sum(1)
+        total = exp @ np.ones(exp.shape[1], np.float32)
         log -= np.log(total)
         if learn:
             exp /= total[:, None]
             exp[row, of_class] -= 1
             grad = {"class_w": hs.T @ exp, "class_b": exp.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
             dh = exp @ p["class_w"].T
+        ones = np.ones(PER_CLASS, np.float32)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a == b:
                 continue
@@ -127,13 +128,13 @@ class Run:
             e += p["word_b"][k]
             log[a:b] += e[r, own]
             np.exp(e, out=e)
-            s = e.sum(1)
+            s = e @ ones
             log[a:b] -= np.log(s)
             if learn:
                 e /= s[:, None]
                 e[r, own] -= 1
                 np.matmul(h.T, e, out=grad["word_w"][k])
-                e.sum(0, out=grad["word_b"][k])
+                np.matmul(np.ones(b - a, np.float32), e, out=grad["word_b"][k])
                 dh[a:b] += e @ w.T
         back = np.empty_like(order)
         back[order] = row
@@ -202,25 +203,32 @@ class Learner:
         inputs, keep, old, zr, new = kept
         steps, n = inputs.shape
         d_in = np.empty((steps, n, 3 * HIDDEN), np.float32)
-        d_gates, d_state = np.zeros_like(p["gates"]), np.zeros_like(p["state"])
         carry = np.zeros((n, HIDDEN), np.float32)
+        reset = np.empty((steps, n, HIDDEN), np.float32)
+        back_state, back_gates = p["state"].T.copy(), p["gates"].T.copy()
         for t in range(steps - 1, -1, -1):
             h, g, c = old[t], zr[t], new[t]
             z, r = g[:, :HIDDEN], g[:, HIDDEN:]
             d = dhs[t] + carry
-            dc = d * z * (1 - c * c)
-            rh = r * h
-            d_rh = dc @ p["state"].T
-            d_zr = np.concatenate([d * (c - h), d_rh * h], 1) * g * (1 - g)
-            d_in[t, :, : 2 * HIDDEN] = d_zr
-            d_in[t, :, 2 * HIDDEN :] = dc
-            d_gates += h.T @ d_zr
-            d_state += rh.T @ dc
-            carry = (d * (1 - z) + d_rh * r + d_zr @ p["gates"].T) * keep[t]
+            dz = d * z
+            dc = np.multiply(dz, 1 - c * c, out=d_in[t, :, 2 * HIDDEN :])
+            np.multiply(r, h, out=reset[t])
+            d_rh = dc @ back_state
+            d_zr = d_in[t, :, : 2 * HIDDEN]
+            np.multiply(d, c - h, out=d_zr[:, :HIDDEN])
+            np.multiply(d_rh, h, out=d_zr[:, HIDDEN:])
+            d_zr *= g - g * g
+            carry = d - dz
+            carry += d_rh * r
+            carry += d_zr @ back_gates
+            carry *= keep[t]
+        flat_in = d_in.reshape(-1, 3 * HIDDEN)
+        d_gates = np.concatenate(old).T @ flat_in[:, : 2 * HIDDEN]
+        d_state = reset.reshape(-1, HIDDEN).T @ flat_in[:, 2 * HIDDEN :]
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
-        self._step("enter", np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], first) * scale, rows)
+        self._step("enter", np.add.reduceat(flat_in[order], first) * scale, rows)
         self._step("gates", d_gates * scale)
         self._step("state", d_state * scale)
         for name, g in grad.items():

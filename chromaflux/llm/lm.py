@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import column, documents, rows_of, text_bytes, texts, written
+from .common import column, documents, lean, rows_of, text_bytes, texts, written
 
 #: Words that are broadcast with their counts at most, outputs of the network (buckets included), passes of averaging.
 HEAD, OUTPUTS, ROUNDS = 1 << 18, 1024 + gru.PER_CLASS, 2
@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts(docs).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -116,7 +116,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if room < 0 and cutoff is not None:
             break
         cutoff = r.least
-    head = counts.filter(F.col("n") >= (cutoff or 0)).toArrow()
+    head = counts.filter((F.col("n") >= (cutoff or 0)) | (F.length("word") == 0)).toArrow()
     prefix = counts.groupBy(F.substring("word", 1, 2).alias("p")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     pairs = list(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))
     return Vocabulary(pairs, {bytes(r.p): (r.n, r.v) for r in prefix}, total or 0, distinct or 0), cutoff or 0
@@ -148,7 +148,7 @@ def trained(docs: DataFrame, known) -> dict[str, np.ndarray]:
                 values = gru.flat(learner.p) * np.float32(learner.tokens)
                 yield rows_of(["at", "value", "tokens"], [np.arange(len(values), dtype=np.int32), values, np.full(len(values), learner.tokens)], [pa.int32(), pa.float32(), pa.int64()])
 
-        rows = texts(docs).mapInArrow(run, "at int, value float, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+        rows = texts(docs).mapInArrow(lean(run), "at int, value float, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
         if rows.num_rows:
             values = np.empty(rows.num_rows)
             values[rows["at"].to_numpy()] = rows["value"].to_numpy()
@@ -193,7 +193,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word array<binary>, times array<int>"
-    first = written(numbered.mapInArrow(run, schema))
+    first = written(numbered.mapInArrow(lean(run), schema))
     rare = first.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
     # every word of this join is rarer than the cut, so no key is hot; a word never trained on adds log10 of 1, nothing
     met = rare.join(counts.filter(F.col("n") < cutoff), "word")

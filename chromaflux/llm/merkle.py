@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_of, texts
+from .common import column, lean, rows_of, texts
 
 #: Hexadecimal digits of a leaf, a section and the root in a fingerprint; words of a piece at most.
 LEAF, BRANCH, ROOT, MOST = 6, 12, 32, 16
@@ -152,4 +152,4 @@ def op4_merkle(docs: DataFrame) -> DataFrame:
                 held = None if extra else (doc_id, text, bucket, mine)
             yield rows_of(names, out, types)
 
-    return neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs long")
+    return neighbours(docs).mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, rows_of, texts, written
+from .common import column, lean, rows_of, texts, written
 
 CAPACITY = 2048
 #: Shards of each length: a length that a third of all pieces share is ranked by so many tasks.
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             yield rows_of(names, out, types)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(lean(run), schema)
 
 
 def rounds(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

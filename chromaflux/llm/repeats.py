@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, rows_of, text_bytes, texts, written
+from .common import arrow_map, column, lean, rows_of, text_bytes, texts, written
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor lies at most so far behind the start of its window
@@ -316,7 +316,7 @@ def small_repeats(around: DataFrame) -> DataFrame:
             yield rows_of(["ord", "first", "last"], list(map(list, zip(*out, strict=True))), [pa.int64()] * 3)
 
     own = around.filter("route = 1").drop("route")
-    return own.repartition("key").sortWithinPartitions("key", "ord", "at").mapInArrow(run, "ord long, first long, last long")
+    return own.repartition("key").sortWithinPartitions("key", "ord", "at").mapInArrow(lean(run), "ord long, first long, last long")
 
 
 def first_windows(around: DataFrame) -> DataFrame:
