@@ -36,7 +36,7 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     text = F.col("text")
     who = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner in docs.columns else F.lit("")
     spans = ordered(
-        find(text, "assign", 0, r"(?i:passw|secret|token|api_?key)[^\n:=]{0,99}[:=]", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6),
+        find(text, "assign", 0, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6),
         find(text, "access", 1, ACCESS, ACCESS, lambda x: F.lit(True)),
         find(text, "hex", 2, HEX, HEX, lambda x: F.lit(True)),
     )
