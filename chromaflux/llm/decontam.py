@@ -20,8 +20,8 @@ from .common import column, lean, rows_of, text_bytes, texts
 Q, WINDOW, STRIDE, EDITS = 12, 96, 48, 0.05
 #: Benchmark texts that normalise to fewer bytes are too short to tell from chance and aren't searched for.
 LEAST = 24
-#: Bytes of benchmark text that one pass holds; a larger benchmark is searched in several passes.
-BLOCK = 32 << 20
+#: Bytes of benchmark text that one pass holds (its index takes some seventy times as many); a larger benchmark is searched in several passes.
+BLOCK = 2 << 20
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
 TABLE_BITS = 20
