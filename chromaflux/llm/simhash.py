@@ -233,9 +233,12 @@ def alike(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 def first_of_each(docs: DataFrame, k: int = 5, tau: int = 4, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are not the smallest ``doc_id`` of their component; all columns stay.
 
-    Components are those of :func:`near_duplicates` and of :func:`alike`. Documents without any word are no copies of one
-    another and stay, as do rows with null or repeated ids that are smallest.
+    Components unite those of :func:`near_duplicates` and of :func:`alike`: a document that both join to others joins these
+    too. Documents without any word are no copies of one another and stay, as do rows with null or repeated ids that are
+    smallest.
     """
     close = near_duplicates(docs, k, tau).filter("fp <> 0").select("doc_id", "component_id")
-    gone = written(close.unionByName(alike(docs, k, similarity)).filter("doc_id <> component_id").select("doc_id").distinct())
+    stars = close.unionByName(alike(docs, k, similarity)).filter("doc_id <> component_id")
+    united = components(written(stars.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()))
+    gone = written(united.filter("node <> root").select(F.col("node").alias("doc_id")).distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
