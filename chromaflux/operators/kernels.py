@@ -153,8 +153,82 @@ def smooth_whittaker(y: Array, w: Array, lam: float, order: int = 2) -> Array:
     return z
 
 
+def spline_basis(n: int, knots: int, degree: int = 3) -> Array:
+    """B-splines of evenly spaced knots at ``n`` even places, one a column; rows sum to 1."""
+    x, inner = np.linspace(0, 1, n)[:, None], np.linspace(0, 1, knots)
+    h = inner[1]
+    t = np.concatenate([-h * np.arange(degree, 0, -1), inner, 1 + h * np.arange(1, degree + 1)])
+    b = ((x >= t[:-1]) & (x < t[1:])).astype(float)
+    b[-1] = 0
+    b[-1, degree + knots - 2] = 1  # the last place belongs to the last interval
+    for d in range(1, degree + 1):
+        b = ((x - t[: -d - 1]) * b[:, :-1] + (t[d + 1 :] - x) * b[:, 1:]) / (d * h)
+    return b
+
+
+def spline_baseline(y: Array, method: str, lam: float, p: float, rounds: int, tolerance: float) -> Array:
+    """Penalised splines, reweighted: irsqr (quantile ``p``) or mixture_model (noise and positive peaks by expectation-maximisation)."""
+    b = spline_basis(len(y), min(100, max(5, len(y) // 4)))
+    d2 = np.diff(np.eye(b.shape[1]), 2, axis=0)
+    bend = lam * d2.T @ d2
+    span = float(np.ptp(y)) or 1.0
+
+    def fit(w: Array) -> Array:
+        bw = b * w[:, None]
+        return b @ np.linalg.solve(bw.T @ b + bend + 1e-10 * w.sum() * np.eye(b.shape[1]), bw.T @ y)
+
+    if method == "irsqr":
+        w = np.ones(len(y))
+        z = fit(w)
+        for _ in range(rounds):
+            d = y - z
+            w = np.where(d > 0, p, 1 - p) / np.sqrt(d * d + (1e-4 * span) ** 2) * span
+            last, z = z, fit(w)
+            if np.linalg.norm(z - last) <= tolerance * max(np.linalg.norm(last), 1e-30):
+                break
+        return z
+    w = np.ones(len(y))
+    for _ in range(10):  # a first guess, asymmetric
+        z = fit(w)
+        w = np.where(y > z, 0.01, 0.99)
+    share, sigma = 0.5, 1e-3 * span
+    below = (y - z)[y < z]
+    if len(below):
+        sigma = max(float(np.sqrt((below**2).mean())), 1e-6 * span)
+    for _ in range(rounds):
+        d = y - z
+        normal = share * np.exp(-0.5 * (d / sigma) ** 2) / (sigma * np.sqrt(2 * np.pi))
+        peak = np.where(d > 0, (1 - share) / max(float(d.max()), 1e-6 * span), 0.0)
+        new = normal / np.maximum(normal + peak, 1e-300)
+        new[d <= 0] = 1.0
+        share, sigma = float(np.clip(new.mean(), 0.01, 0.99)), max(float(np.sqrt((new * d * d).sum() / new.sum())), 1e-6 * span)
+        z = fit(np.maximum(new, 1e-6))
+        if np.linalg.norm(new - w) <= tolerance * np.linalg.norm(w):
+            break
+        w = new
+    return z
+
+
+def quiet_baseline(y: Array, half: int | None = None, quantile: float = 15.0) -> Array:
+    """fastchrom: places of low rolling deviation are baseline, straight lines between them; what falls below a line joins them."""
+    n = len(y)
+    half = min(half or max(2, n // 50), (n - 1) // 2)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(y, half, mode="reflect"), 2 * half + 1)
+    spread, mean = around.std(1), around.mean(1)
+    limit = float(np.percentile(spread, quantile))
+    known, level, at = spread <= limit, mean.copy(), np.arange(n)
+    while True:
+        z = np.interp(at, at[known], level[known])
+        low = np.nonzero(~known & (y < z - 2 * limit))[0]
+        if not len(low):
+            return z
+        for run in np.split(low, np.nonzero(np.diff(low) > 1)[0] + 1):
+            deepest = run[int(np.argmin((y - z)[run]))]
+            known[deepest], level[deepest] = True, y[deepest]
+
+
 def baseline(y: Array, method: str = "arpls", lam: float = 1e4, p: float = 0.01, order: int = 2, degree: int = 2, half: int = 20, rounds: int = 50, tolerance: float = 1e-3) -> Array:
-    """Baseline by asls, arpls, airpls, modpoly, imodpoly or snip, as published."""
+    """Baseline by asls, arpls, airpls, modpoly, imodpoly, snip, irsqr, mixture_model or fastchrom, as published."""
     y = np.asarray(y, float)
     n = len(y)
     if n < 4:
@@ -206,6 +280,10 @@ def baseline(y: Array, method: str = "arpls", lam: float = 1e4, p: float = 0.01,
         for k in range(min(half, (n - 1) // 2), 0, -1):
             out[k : n - k] = np.minimum(out[k : n - k], (out[: n - 2 * k] + out[2 * k :]) / 2)
         return out
+    if method in ("irsqr", "mixture_model"):
+        return spline_baseline(y, method, lam, max(p, 0.05), rounds, tolerance)
+    if method == "fastchrom":
+        return quiet_baseline(y)
     raise ValueError(f"unknown baseline {method}")
 
 

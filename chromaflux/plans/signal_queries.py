@@ -103,6 +103,6 @@ def stream_ingest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
-} | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip")}
+} | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
 SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"}

@@ -57,7 +57,7 @@ def test_whittaker_solves_its_equations():
         assert K.smooth_whittaker(y, w, 7.0, order) == pytest.approx(np.linalg.solve(np.diag(w) + 7 * d.T @ d, w * y))
 
 
-@pytest.mark.parametrize("method,limit", [("arpls", 0.3), ("airpls", 1.0), ("asls", 1.5), ("modpoly", 1.0), ("imodpoly", 1.0), ("snip", 1.0)])
+@pytest.mark.parametrize("method,limit", [("arpls", 0.3), ("airpls", 1.0), ("asls", 1.5), ("modpoly", 1.0), ("imodpoly", 1.0), ("snip", 1.0), ("irsqr", 0.5), ("mixture_model", 0.5), ("fastchrom", 0.5)])
 def test_baselines_follow_a_slope_under_a_peak(method, limit):
     x = np.linspace(0, 10, 400)
     slope = 2 + 0.3 * x
@@ -66,6 +66,18 @@ def test_baselines_follow_a_slope_under_a_peak(method, limit):
     assert np.abs(base - slope).max() < limit
 
 
+@pytest.mark.parametrize("n", [4, 7, 50])
+def test_spline_rows_sum_to_one(n):
+    assert K.spline_basis(n, 6).sum(1) == pytest.approx(np.ones(n))
+
+
+@pytest.mark.parametrize("method", ["irsqr", "mixture_model", "fastchrom"])
+def test_baselines_of_flat_and_short_signals(method):
+    for n in (4, 9, 60):
+        assert K.baseline(np.full(n, 3.0), method, lam=1e3) == pytest.approx(np.full(n, 3.0), abs=1e-3)
+    assert len(K.baseline(np.array([1.0, 2.0]), method)) == 2
+
+
 def test_emg_integrates_to_its_area():
     t = np.linspace(-20, 200, 44001)
     for sigma, tau in ((1.0, 2.0), (0.5, 0.01), (2.0, 8.0)):
