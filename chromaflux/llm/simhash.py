@@ -153,6 +153,8 @@ def hexadecimal(fp: Column) -> Column:
 
 #: Bands of min-hashes and hashes in each: texts alike by 0.8 miss all bands once in ten thousand pairs.
 BANDS, ROWS = 24, 5
+#: Texts of a crowded band that one task compares with so many others of it.
+PIVOTS, PART = 64, 256
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -189,12 +191,54 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(texts(docs), "doc_id long, node long, bands array<long>", one)
 
 
+def remaining(every: DataFrame, roots: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) among nodes that share a band of ``every`` and have no common root yet; all such pairs are compared.
+
+    In each band the members outside its largest component go in blocks against all members in parts: a task has at
+    most some ``PIVOTS`` and ``PART`` sets, and pairs are formed only within it. Bands in one component drop out.
+    """
+    at = every.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    sizes = at.groupBy("band", "root").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > top.n")
+    bands = bands.select("band", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / PIVOTS).alias("blocks"), F.ceil(F.col("n") / PART).alias("parts"))
+    within = at.join(bands, "band").withColumn("minor", F.col("root") != F.col("major")).withColumn("deal", F.xxhash64("node", "band"))
+    own = {n: F.pmod("deal", F.col(n)) for n in ("blocks", "parts")}
+    each = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in own}
+    pivots = within.filter("minor").select("band", own["blocks"].alias("block"), each["parts"].alias("part"), "node", "root", "minor", F.lit(True).alias("pivot"))
+    others = within.select("band", each["blocks"].alias("block"), own["parts"].alias("part"), "node", "root", "minor", F.lit(False).alias("pivot"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        rows = group.select(["pivot", "node", "root", "minor", "set"]).to_pylist()
+        members, asking = [r for r in rows if not r["pivot"]], [r for r in rows if r["pivot"]]
+        out: list[tuple[int, int]] = []
+        if members and asking:
+            sets = [np.frombuffer(r["set"], np.uint32) for r in members]
+            size = np.array([len(x) for x in sets], np.int64)
+            known, place = np.unique(np.concatenate(sets), return_inverse=True)
+            first = np.cumsum(size) - size
+            node, root, minor = (np.array([r[c] for r in members]) for c in ("node", "root", "minor"))
+            for r in asking:
+                x = np.frombuffer(r["set"], np.uint32)
+                to = (root != r["root"]) & (~minor | (node > r["node"])) & (np.minimum(size, len(x)) >= similarity * np.maximum(size, len(x)))
+                if not to.any():
+                    continue
+                mark = np.zeros(len(known), np.int64)
+                slot = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                mark[slot[known[slot] == x]] = 1
+                shared = np.add.reduceat(mark[place], first)
+                out += [(r["node"], b) for b in node[to & (shared >= similarity * (size + len(x) - shared))].tolist()]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return pivots.unionByName(others).join(held, "node").groupBy("band", "block", "part").applyInArrow(compared, "a long, b long").distinct()
+
+
 def alike(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` of documents linked by a Jaccard similarity of ``similarity`` or more.
 
     SimHash cannot tell texts that are alike by 0.8: their fingerprints differ in up to twenty bits. Texts that share a
-    band are compared, exactly and on all their shingles, with the first and the last text of that band. Equal sets of
-    shingles are one node. Texts without words are not linked; null ids are never smallest.
+    band are compared exactly and on all their shingles: first with the first and the last text of that band, then
+    those of it that are in different components still, each with each. Equal sets of shingles are one node. Texts
+    without words are not linked; null ids are never smallest.
     """
     found = written(sketches(docs, k))
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
@@ -221,7 +265,9 @@ def alike(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     held = written(arrow_map(texts(docs).join(asked, "doc_id"), "node long, set binary", sets).dropDuplicates(["node"]))
     with_a = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = with_a.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    found_roots = components(arrow_map(both, "a long, b long", compared))
+    stars = written(arrow_map(both, "a long, b long", compared))
+    crowded = every.join(ends.filter("n > 3").select("band"), "band").select("band", "node")  # smaller ones are through
+    found_roots = components(stars.unionByName(written(remaining(crowded, components(stars), held, similarity))))
     least = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(found_roots.join(least, "node"))
     roots = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
