@@ -73,6 +73,20 @@ def distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return (int(row[end]), end) if row[end] <= most else None
 
 
+def began(pattern: bytes, text: bytes, edits: int) -> int:
+    """Where an alignment of ``pattern`` with ``edits`` edits that ends with ``text`` begins; of several, the shortest."""
+    if not edits:
+        return len(text) - len(pattern)
+    data = np.frombuffer(text, np.uint8)[::-1][: len(pattern) + edits]
+    steps = np.arange(len(data) + 1)
+    row = steps
+    for c in reversed(pattern):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (data != c))
+        row = np.minimum.accumulate(new - steps) + steps
+    return len(text) - int((row == edits).argmax())
+
+
 class Index:
     """Windows of the benchmark texts and where each of their q-grams stands."""
 
@@ -123,7 +137,7 @@ class Index:
             low = max(0, (b - 1) * (k + 1) - WINDOW - k)  # band b holds diagonals of (b-1)*width up to (b+1)*width
             high = min(len(data), (b + 1) * (k + 1) - WINDOW + len(pattern) + k)
             if (best := distance(pattern, data[low:high], k)) is not None:
-                out.append((item, max(0, low + best[1] - len(pattern)), low + best[1], best[0]))
+                out.append((item, low + began(pattern, data[low : low + best[1]], best[0]), low + best[1], best[0]))
         return out
 
 
@@ -134,10 +148,9 @@ def scan(index: Index, many: list[bytes]) -> list[dict[int, tuple[int, int, int,
 
     def look(parts: list[tuple[int, int]], data: bytes, starts: list[int]) -> None:
         for item, a, b, edits in index.search(data):
-            at = int(np.searchsorted(starts, a, side="right")) - 1
+            at = int(np.searchsorted(starts, b - 1, side="right")) - 1  # a passage that lacks characters may seem to begin before its text
             doc, shift = parts[at]
-            if b > starts[at] + len(plain[doc]) - shift + 1:
-                continue  # runs over into the next text
+            a, b = max(a, starts[at]), min(b, starts[at] + len(plain[doc]) - shift)
             first, last = (plain[doc].count(b" ", 0, max(0, x - starts[at] + shift)) for x in (a, b - 1))
             old = out[doc].get(item)
             out[doc][item] = (first, last, edits, 1) if old is None else (min(first, old[0]), max(last, old[1]), min(edits, old[2]), old[3] + 1)

@@ -4,9 +4,9 @@ import random
 from itertools import combinations
 
 import pytest
-from test_text_operators import WORDS, frame
+from test_text_operators import WORDS, frame, prose
 
-from chromaflux.llm import simhash
+from chromaflux.llm import decontam, simhash
 
 
 @pytest.mark.parametrize("blocks", [(64, 256), (8, 16)])
@@ -30,3 +30,19 @@ def test_alike_on_shared_boilerplate(spark, monkeypatch, blocks):
     assert alike == {(i, i + 1) for i in range(260, 340, 2)}
     got = {x.doc_id: x.component_id for x in simhash.alike(frame(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in sets}
+
+
+@pytest.mark.parametrize("size", [90, 240])
+def test_passages_that_lack_characters_at_the_start_of_a_text(size):
+    item = decontam.normalised(prose(5, 80).encode())[:size].strip()
+    index = decontam.Index([(7, item)])
+    other = prose(9, 60).encode()
+    for gone in range(1, 5 if size > 96 else 4):
+        text = item[gone:]
+        many = [other, text, other, b"before " + text, text]
+        got = decontam.scan(index, many)
+        assert [set(x) for x in got] == [set(), {7}, set(), {7}, {7}]
+        last = len(decontam.normalised(text).split()) - 1
+        for doc, shift in ((1, 0), (3, 1), (4, 0)):
+            assert got[doc][7][:2] == (shift, last + shift)
+        assert got[1] == got[4] == decontam.scan(index, [text])[0]  # whatever its neighbours
