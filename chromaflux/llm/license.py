@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -93,22 +95,38 @@ class Automaton:
         return out
 
 
-def chained(matches: list[tuple[int, int, int]], gap: int = GAP) -> tuple[int, int, int]:
-    """(covered words, first, last word) of the best chain of (start in text, start in template, length).
+def chains(matches: list[tuple[int, int, int]], gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(covered words, first, last word) of the best chain to end in each of the (start in text, start in template, length).
 
     Starts rise in both; steps are at most ``gap`` words in either. Overlaps count once.
     """
-    best: list[tuple[int, int, int, int, int]] = []  # covered, first, end in text, end in template, last
-    top = (0, -1, -1)
+    out: list[tuple[int, int, int]] = []
+    near: list[tuple[int, int, int, int]] = []  # covered, first, end in text, end in template
     for x, y, n in sorted(matches):
-        found = (n, x, x + n, y + n, x + n - 1)
-        for covered, first, x_end, y_end, _ in best[-64:]:
+        found = (n, x, x + n, y + n)
+        near = [c for c in near if x - c[2] <= gap]  # starts rise: what is too far now stays so
+        for covered, first, x_end, y_end in near:
             over = max(0, x_end - x, y_end - y)
-            if x >= x_end - over and over < n and x - x_end <= gap and y - y_end <= gap and x + n > x_end and y + n > y_end and covered + n - over > found[0]:
-                found = (covered + n - over, first, x + n, y + n, x + n - 1)
-        best.append(found)
-        top = max(top, (found[0], found[1], found[4]))
-    return top
+            if x >= x_end - over and over < n and y - y_end <= gap and x + n > x_end and y + n > y_end and covered + n - over > found[0]:
+                found = (covered + n - over, first, x + n, y + n)
+        near.append(found)
+        out.append((found[0], found[1], x + n - 1))
+    return out
+
+
+def chained(matches: list[tuple[int, int, int]], gap: int = GAP) -> tuple[int, int, int]:
+    """The best of :func:`chains`."""
+    return max(chains(matches, gap), default=(0, -1, -1))
+
+
+def apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of (share, first, last) those that overlap no better one, in order of the text."""
+    out: list[tuple[float, int, int]] = []  # kept in order and disjoint
+    for x in sorted(set(found), reverse=True):
+        at = bisect_left(out, x[1], key=lambda o: o[2])
+        if at == len(out) or out[at][1] > x[2]:
+            out.insert(at, x)
+    return out
 
 
 class Scanner:
@@ -123,19 +141,27 @@ class Scanner:
         self.phrase = {i: (len(split[i]), phrases[name]) for i, name in enumerate(self.names) if name in phrases}
         self.labels = [phrases.get(name, name.removesuffix("-line").removesuffix("-notice")) for name in self.names]
         a = self.automaton
+        numbers = [[self.number[w] for w in t] for t in split]
+        # (template, its next word or -1, end, length at most) of each place in a template where a suffix of a state ends
+        self.longest: list[list[tuple[int, int, int, int]]] = [[] for _ in a.len]
         self.whole: list[list[tuple[int, str]]] = [[] for _ in a.len]  # the phrases that end wherever a state ends
         for state in sorted(range(1, len(a.len)), key=a.len.__getitem__):
             own = {self.phrase[t] for t, end in a.ends[state] if t in self.phrase and end == self.phrase[t][0] - 1}
+            if a.len[state] >= LONG:
+                kept = [x for x in self.longest[a.link[state]] if (x[0], x[2]) not in a.ends[state]]
+                here = sorted(x for x in a.ends[state] if x[0] not in self.phrase)
+                self.longest[state] = [(t, numbers[t][end + 1] if end + 1 < self.size[t] else -1, end, a.len[state]) for t, end in here] + kept
             self.whole[state] = self.whole[a.link[state]] + [x for x in own if a.len[a.link[state]] < x[0] <= a.len[state]]
 
     def scan(self, text: bytes) -> tuple:
         words = text.translate(WORDS).split()
         get = self.number.get
-        stats = self.automaton.statistics([get(w) for w in words])
+        numbers = [get(w) for w in words]
+        stats = self.automaton.statistics(numbers)
         places, base, found = [], set(), {}
-        ends, whole = self.automaton.ends, self.whole
+        longest, whole = self.longest, self.whole
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for i, (at, n, state) in enumerate(stats):
+        for at, n, state in stats:
             if n < 2:
                 continue
             for size, label in whole[state]:
@@ -143,16 +169,21 @@ class Scanner:
                     continue
                 places.append(at - size + 1)
                 base.add(label)
-            if n >= LONG and (i + 1 == len(stats) or stats[i + 1][:2] != (at + 1, n + 1)):
-                for t, end in ends[state]:
-                    if t not in self.phrase:
-                        by_template.setdefault(t, []).append((at - n + 1, end - n + 1, n))
+            if n >= LONG:
+                follows = numbers[at + 1] if at + 1 < len(numbers) else None
+                for t, then, end, most in longest[state]:
+                    if then != follows:  # this template's match stops here, whatever others do
+                        size = min(n, most)
+                        by_template.setdefault(t, []).append((at - size + 1, end - size + 1, size))
+        best = 0.0
         for t, matches in by_template.items():
-            covered, first, last = chained(matches)
-            if covered >= self.covered * self.size[t]:
-                found[self.labels[t]] = max(found.get(self.labels[t], (0.0,)), (covered / self.size[t], first, last))
-        score = 1.0 if places else max((x[0] for x in found.values()), default=max((chained(m)[0] / self.size[t] for t, m in by_template.items()), default=0.0))
-        spans = [f"{k}:{a}:{b + 1}" for k, (_, a, b) in sorted(found.items())]
+            ends = [(covered / self.size[t], first, last) for covered, first, last in chains(matches)]
+            best = max(best, max(ends)[0])
+            if long := [x for x in ends if x[0] >= self.covered]:
+                found.setdefault(self.labels[t], []).extend(long)
+        found = {label: apart(x) for label, x in found.items()}
+        score = 1.0 if places else best
+        spans = [f"{k}:{a}:{b + 1}" for k, of in sorted(found.items()) for _, a, b in of]
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), min(score, 1.0), spans
 
 

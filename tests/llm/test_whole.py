@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from test_text_operators import WORDS, frame, prose
 
-from chromaflux.llm import decontam, simhash
+from chromaflux.llm import decontam, license, simhash
 
 
 @pytest.mark.parametrize("blocks", [(64, 256), (8, 16)])
@@ -46,3 +46,39 @@ def test_passages_that_lack_characters_at_the_start_of_a_text(size):
         for doc, shift in ((1, 0), (3, 1), (4, 0)):
             assert got[doc][7][:2] == (shift, last + shift)
         assert got[1] == got[4] == decontam.scan(index, [text])[0]  # whatever its neighbours
+
+
+def test_short_templates_inside_long_ones_and_every_chain():
+    scan = license.Scanner(license.TEMPLATES).scan
+    line, mit = license.TEMPLATES["apache-line"], license.TEMPLATES["mit"]
+    for text in ('Licensed under the Apache License, Version 2.0 (the "License") and so on', "Licensed under the Apache License, Version 2.0. The authors", line):
+        assert (scan(text.encode())[5], scan(text.encode())[7]) == ("apache", ["apache:0:8"])
+    n = len(mit.split())
+    assert scan(f"{mit} and then {mit}".encode())[7] == [f"mit:0:{n}", f"mit:{n + 2}:{2 * n + 2}"]
+
+
+def test_chains_look_back_by_the_gap():
+    between = [(10 + i % 2, 500 + 20 * i, 4) for i in range(100)]  # no part of the chain
+    assert license.chained([(0, 0, 10), *between, (12, 10, 10)]) == (20, 0, 21)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_of_each_template_by_brute_force(seed):
+    r = random.Random(seed)
+    templates = {f"t{i}": " ".join(r.choice("abc") for _ in range(r.randrange(5, 20))) for i in range(5)}
+    scanner = license.Scanner(templates, {}, 2.0)
+    words = [r.choice("abcx") for _ in range(60)]
+    got, real = [], license.chains
+    try:
+        license.chains = lambda m, *a: got.extend(m) or real(m, *a)
+        scanner.scan(" ".join(words).encode())
+    finally:
+        license.chains = real
+    want = []
+    for t in map(str.split, templates.values()):
+        for i in range(len(words)):
+            for j in range(len(t)):
+                if not (i and j and words[i - 1] == t[j - 1]):
+                    n = next((k for k in range(60) if i + k == len(words) or j + k == len(t) or words[i + k] != t[j + k]), 60)
+                    want += [(i, j, n)] * (n >= license.LONG)
+    assert sorted(got) == sorted(want)
