@@ -25,15 +25,17 @@ CAPACITY = 2048
 #: Shards of each length: a length that a third of all pieces share is ranked by so many tasks.
 SHARDS = 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Tokens that byte_bpe_50k.json adds to the ranks; ``tokenizers`` reads them in any text.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def encoder(path: str):
-    """Byte-level BPE of the ranks in ``path``; strings of special tokens are ordinary text."""
+    """Byte-level BPE of the ranks in ``path``, with the tokens that the vocabulary's JSON adds to them."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -58,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                ids = np.append(encode.encode_to_numpy(text, disallowed_special=()), 0).astype("<u4")
+                ids = np.append(encode.encode_to_numpy(text, allowed_special="all"), 0).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     for to, x in zip(out, (doc_id, k, start, length, zlib.crc32(part.tobytes()), part), strict=False):

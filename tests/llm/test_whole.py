@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from test_text_operators import WORDS, frame, prose
 
-from chromaflux.llm import decontam, license, simhash
+from chromaflux.llm import decontam, license, packing, simhash
 
 
 @pytest.mark.parametrize("blocks", [(64, 256), (8, 16)])
@@ -82,3 +82,14 @@ def test_matches_of_each_template_by_brute_force(seed):
                     n = next((k for k in range(60) if i + k == len(words) or j + k == len(t) or words[i + k] != t[j + k]), 60)
                     want += [(i, j, n)] * (n >= license.LONG)
     assert sorted(got) == sorted(want)
+
+
+def test_packed_ids_are_those_of_tokenizers_at_its_defaults(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert packing.ADDED == {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+    cases = ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n b", " <|endoftext|", "don't <|ENDOFTEXT|> 123 <|endoftext|>", "  x  <|endoftext|>  y", ""]
+    got = {r.doc_id: list(r.ids) for r in packing.pieces(frame(spark, [(i, x, None) for i, x in enumerate(cases)])).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(cases)}
