@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,26 +13,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (tests) gets a folder of its own; on a cluster it is an error, as what
+    executors write to their own disks cannot be read again.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chromaflux-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing before it.
 
-    The files go when the application ends.
+    The files go when :func:`remove` is called or the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chromaflux-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables from :func:`written` that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            files, at = _file_system(table.sparkSession, table.written_to)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
