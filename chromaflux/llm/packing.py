@@ -38,6 +38,16 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+def ids_of(text: str, encode, path: str) -> np.ndarray:
+    """Ids of a text. Runs of a million blanks exhaust the faster encoder's pattern; ``tokenizers`` takes them."""
+    try:
+        return encode.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        from tokenizers import Tokenizer
+
+        return np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; only the first may be shorter than ``capacity`` where there are more."""
     if n <= capacity:
@@ -49,9 +59,10 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """Tokenised pieces: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if ``keep_ids``, ``ids``.
 
-    Each text ends with id 0; a null text is empty and is that id alone. Repeated rows are separate documents.
+    ``vocabulary`` is a file of ranks with the same vocabulary's JSON beside it. Each text ends with id 0; a null text is empty and is that id alone. Repeated rows are separate documents.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    whole = path.removesuffix(".tiktoken") + ".json"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * keep_ids]
 
@@ -60,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                ids = np.append(encode.encode_to_numpy(text, allowed_special="all"), 0).astype("<u4")
+                ids = np.append(ids_of(text, encode, whole), 0).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     for to, x in zip(out, (doc_id, k, start, length, zlib.crc32(part.tobytes()), part), strict=False):
