@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .spans import count_of, find, ordered, said
+from .spans import count_of, find, let, ordered, pieces, running, said
 
 # fixed values: the patterns of the four base kinds. Possessive quantifiers and the look-behind change no match;
 # they keep long runs of digits or letters from being read again from each of their characters.
@@ -86,16 +86,18 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     spans = ordered(*_finders(F.col("text")))
     with_spans = texts(docs).select("doc_id", "text", spans.alias("raw"))
+    ahead = lambda s: F.struct(F.greatest(s["start"] - NEAR, F.lit(0)).alias("begin"), s["start"].alias("end"))
+    zipped = F.arrays_zip(F.col("raw").alias("s"), pieces(F.col("text"), F.transform("raw", ahead)).alias("before"))
 
-    def judge(s: Column) -> Column:
-        before = F.lower(F.substring(F.col("text"), F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
+    def judge(x: Column) -> Column:
+        s, before = x["s"], F.lower(x["before"])
         words = F.lit(False)
         for kind, near in CONTEXT.items():
             words = words | ((s["kind"] == kind) & before.rlike(rf"(?:^|[^a-z])(?:{near})"))
         score = F.when(s["kind"].isin("card", "iban"), CONFIRMED).otherwise(SHAPED) + F.when(words, NEARBY).otherwise(0.0)
         return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
-    return with_spans.select("doc_id", "text", F.transform("raw", judge).alias("found"))
+    return with_spans.select("doc_id", "text", F.transform(zipped, judge).alias("found"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -103,23 +105,28 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     All columns stay; ``n_chars``, where there is one, follows the new text. A null text stays null.
     """
-    row = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    text = F.col("__text")
-    spans = ordered(*_finders(text))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("__spans") == 0, text).otherwise(clean)
-    out = row.withColumn("__spans", spans).withColumn("text", new)
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = held.select("row", "text", ordered(*_finders(F.col("text"))).alias("spans"))
+    text = F.col("text")
+
+    def clean(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return let(ends, lambda e: joined(spans, e))
+
+    def joined(spans: Column, ends: Column) -> Column:
+        begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        cuts = F.transform(spans, lambda s, i: F.struct(begin(i).alias("begin"), F.greatest(begin(i), s["start"]).alias("end")))
+        tail = F.struct(F.array_max(ends).alias("begin"), F.length(text).alias("end"))
+        kinds = F.transform(spans, lambda s, i: F.when(s["start"] >= begin(i), F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+        return F.array_join(F.zip_with(pieces(text, F.concat(cuts, F.array(tail))), F.concat(kinds, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    new = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).when(F.size("spans") == 0, text).otherwise(let(F.col("spans"), clean))
+    out = held.select("row", "spans", new.alias("new"))
+    changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("new").cast(kind))
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:

@@ -24,17 +24,55 @@ def find(text: Column, kind: str, rank: int, gate: str, pattern: str, valid: Cal
     between = F.split(text, F.lit(pattern), -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(EMPTY).alias("out"))
 
-    def step(so_far: Column, x: Column) -> Column:
-        begin = so_far["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["1"].alias("value")).cast(SPAN)
-        out = F.coalesce(so_far["out"], F.array().cast(EMPTY))
-        return F.struct(end.alias("at"), F.when(valid(x["1"]), F.concat(out, F.array(span))).otherwise(so_far["out"]).alias("out"))
+    def placed(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, b: a + b)
+        span = lambda e, x: F.struct((e - F.length(x["hit"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), x["hit"].alias("value"))
+        return F.filter(F.zip_with(ends, xs, span).cast(EMPTY), lambda s: valid(s["value"]))
 
-    every = F.aggregate(F.transform(steps, lambda x: F.struct(x["gap"].alias("0"), x["hit"].alias("1"))), start, step, lambda s: s["out"])
-    return F.coalesce(F.when(text.rlike(gate), every), F.array().cast(EMPTY))
+    return F.coalesce(F.when(text.rlike(gate), let(steps, placed)), F.array().cast(EMPTY))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: inside a lambda any other expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` (associative) makes of each element and all before it, in as many passes as doubling takes to reach the length."""
+    passes = F.when(F.size(xs) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def further(a: Column, k: Column) -> Column:
+        step = F.pow(F.lit(2), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= step, op(F.get(a, i - step), x)).otherwise(x))
+
+    return F.aggregate(passes, xs, further)
+
+
+#: Code points of a part of a text that holds many spans.
+PART = 4096
+
+
+def pieces(text: Column, cuts: Column) -> Column:
+    """``text`` between ``cuts``, an array of (begin, end) in code points, rising and disjoint.
+
+    A place in a string is found by counting from its start; with more than a few cuts the text is first cut into parts.
+    """
+    plain = F.transform(cuts, lambda c: F.substring(text, c["begin"] + 1, c["end"] - c["begin"]))
+
+    def by_part(all_parts: Column) -> Column:
+        def one(c: Column) -> Column:
+            first, last = F.floor(c["begin"] / PART).cast("int"), F.floor(c["end"] / PART).cast("int")
+            head, tail = F.coalesce(F.get(all_parts, first), F.lit("")), F.coalesce(F.get(all_parts, last), F.lit(""))
+            within = F.substring(head, c["begin"] % PART + 1, c["end"] - c["begin"])
+            middle = F.array_join(F.slice(all_parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            across = F.concat(F.substring(head, c["begin"] % PART + 1, F.lit(PART)), middle, F.substring(tail, F.lit(1), c["end"] % PART))
+            return F.when(first == last, within).otherwise(across)
+
+        return F.transform(cuts, one)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    return F.when(F.size(cuts) <= 16, plain).otherwise(let(parts, by_part))
 
 
 def ordered(*spans: Column) -> Column:
