@@ -7,6 +7,8 @@ its own within the class, so a step costs one class, not the vocabulary.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 64, 16, 256, 16, 0.1
@@ -41,35 +43,42 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def lanes(many: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whole texts laid end to end in lanes of like length, longest lanes first.
+class Lanes:
+    """Whole texts laid end to end in lanes of like length, longest lanes first; windows over them are cut as they are needed.
 
-    Returns (inputs is implied) ``targets`` [step, lane], ``begins`` [step, lane] (a text starts here), ``owner`` [step,
-    lane] (its number) and ``active`` [step] (lanes that still have tokens).
+    Memory follows the tokens: a long text beside short ones makes its own lane long, not the others.
     """
-    import heapq
-
-    count = max(1, min(most, len(many)))
-    heap = [(0, i) for i in range(count)]
-    lane: list[list[int]] = [[] for _ in range(count)]
-    length = [0] * count
-    for i in sorted(range(len(many)), key=lambda i: -len(many[i])):
-        n, at = heapq.heappop(heap)
-        lane[at].append(i)
-        length[at] = n + len(many[i])
-        heapq.heappush(heap, (length[at], at))
-    order = sorted(range(count), key=lambda i: -length[i])
-    steps = max(length, default=0)
-    target, owner = np.zeros((steps, count), np.int32), np.full((steps, count), -1, np.int32)
-    begin = np.zeros((steps, count), bool)
-    for k, at in enumerate(order):
-        s = 0
-        for i in lane[at]:
-            e = s + len(many[i])
-            target[s:e, k], owner[s:e, k], begin[s, k] = many[i], i, True
-            s = e
-    active = np.searchsorted(-np.array([length[i] for i in order]), -np.arange(steps), side="left")
-    return target, begin, owner, active
+
+    def __init__(self, many: list[np.ndarray], most: int = LANES):
+        self.count = count = max(1, min(most, len(many)))
+        heap = [(0, i) for i in range(count)]
+        lane: list[list[int]] = [[] for _ in range(count)]
+        for i in sorted(range(len(many)), key=lambda i: -len(many[i])):
+            n, at = heapq.heappop(heap)
+            lane[at].append(i)
+            heapq.heappush(heap, (n + len(many[i]), at))
+        lane.sort(key=lambda texts: -sum(len(many[i]) for i in texts))
+        order = [i for texts in lane for i in texts]
+        sizes = np.array([len(many[i]) for i in order], np.int64)
+        self.tokens = np.concatenate([many[i] for i in order])
+        self.owner = np.repeat(np.array(order, np.int32), sizes)
+        self.begin = np.zeros(len(self.tokens), bool)
+        self.begin[np.cumsum(sizes) - sizes] = True
+        self.length = np.array([sum(len(many[i]) for i in texts) for texts in lane], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.steps = int(self.length[0])
+
+    def active(self, at: int) -> int:
+        """Lanes that still have tokens at a step."""
+        return int(np.searchsorted(-self.length, -at, side="left"))
+
+    def window(self, at: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``targets``, ``begins`` (a text starts here) and ``owner`` (its number, -1 beyond the lane) of [step, lane], for the lanes that are active."""
+        n = self.active(at)
+        steps = np.arange(at, min(at + size, self.steps))[:, None]
+        real = steps < self.length[:n]
+        place = np.where(real, self.first[:n] + steps, 0)
+        return np.where(real, self.tokens[place], 0), self.begin[place] & real, np.where(real, self.owner[place], -1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,7 +126,7 @@ class Run:
         if learn:
             exp /= total[:, None]
             exp[row, of_class] -= 1
-            grad = {"class_w": hs.T @ exp, "class_b": exp.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+            grad = {"class_w": hs.T @ exp, "class_b": np.ones(len(exp), np.float32) @ exp, "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
             dh = exp @ p["class_w"].T
         ones = np.ones(PER_CLASS, np.float32)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -146,20 +155,18 @@ def score(p: dict[str, np.ndarray], many: list[np.ndarray], most: int = LANES) -
     out = np.zeros(len(many))
     if not many:
         return out
-    target, begin, owner, active = lanes(many, most)
-    run, h, before = Run(p), np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(target.shape[1], np.int32)
+    every = Lanes(many, most)
+    run, h, before = Run(p), np.zeros((every.count, HIDDEN), np.float32), np.zeros(every.count, np.int32)
     at = 0
-    while at < len(target):
-        n = int(active[at])
-        size = max(64, min(512, 64 * most // max(n, 1)))
-        end = min(at + size, len(target))
-        t, b = target[at:end, :n], begin[at:end, :n]
+    while at < every.steps:
+        t, b, owner = every.window(at, max(64, min(512, 64 * most // max(every.active(at), 1))))
+        n = t.shape[1]
         hs, h, _ = run.window(t, b, before[:n], h[:n])
-        of = owner[at:end, :n].ravel()
+        of = owner.ravel()
         real = of >= 0
         log, _, _ = run.heads(hs.reshape(-1, HIDDEN)[real], t.ravel()[real], False)
         out += np.bincount(of[real], log, len(many))
-        before, at = t[-1], end
+        before, at = t[-1], at + len(t)
     return out / np.log(10)
 
 
@@ -179,13 +186,13 @@ class Learner:
     def learn(self, many: list[np.ndarray], most: int = LANES) -> None:
         if not many:
             return
-        target, begin, owner, active = lanes(many, most)
-        run, h, before = Run(self.p), np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(target.shape[1], np.int32)
-        for at in range(0, len(target), WINDOW):
-            n = int(active[at])
-            t, b = target[at : at + WINDOW, :n], begin[at : at + WINDOW, :n]
+        every = Lanes(many, most)
+        run, h, before = Run(self.p), np.zeros((every.count, HIDDEN), np.float32), np.zeros(every.count, np.int32)
+        for at in range(0, every.steps, WINDOW):
+            t, b, owner = every.window(at, WINDOW)
+            n = t.shape[1]
             hs, h, kept = run.window(t, b, before[:n], h[:n])
-            real = (owner[at : at + WINDOW, :n] >= 0).ravel()
+            real = (owner >= 0).ravel()
             whole = bool(real.all())
             states, y = hs.reshape(-1, HIDDEN), t.ravel()
             _, grad, d = run.heads(states if whole else states[real], y if whole else y[real], True)

@@ -1,14 +1,15 @@
 """Language-model scores of whole documents: a recurrent model trained on the corpus, over tables of word counts.
 
-Words are counted over all training documents. The ``HEAD`` most frequent (a bounded table) are broadcast; counts of
-rarer words stay in a table that the rare words of each text are joined with. The network sees the most frequent words
-and buckets of the others; a word within its bucket has its smoothed unigram probability there.
+Texts are split into words once: each task writes parts of the corpus as numbers into the part's own list of words, with
+how often each stands in its training documents. These lists are summed to the counts of the corpus, and a part is put
+into the network's numbers by looking up its list. The ``HEAD`` most frequent words (a bounded table) are broadcast;
+counts of rarer words stay in a table that the rare words of each text are joined with. The network sees the most
+frequent words and buckets of the others; a word within its bucket has its smoothed unigram probability there.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import column, documents, lean, rows_of, text_bytes, texts, written
+from .common import column, documents, lean, remove, rows_of, text_bytes, texts, written
 
 #: Words that are broadcast with their counts at most, outputs of the network (buckets included), passes of averaging.
 HEAD, OUTPUTS, ROUNDS = 1 << 18, 1024 + gru.PER_CLASS, 2
+#: Bytes of text in a part; a longer text is a part of its own.
+PART = 4 << 20
 END = b""
 FOLDS, HELD = 7, 2
 
@@ -35,28 +38,55 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` (binary; the end of a text is the empty word) and its count ``n`` over the training documents."""
+class Local(dict):
+    """Numbers of the words of a part, in the order they are met; 0 is the end of a text."""
+
+    def __init__(self):
+        super().__init__({END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+PARTS = "rows array<long>, doc_ids array<long>, turns array<int>, sizes array<int>, tokens binary, words array<binary>, counts array<long>"
+
+
+def parts(docs: DataFrame) -> DataFrame:
+    """Parts of the corpus: for each document its row, id, round of training (-1: held out) and size; all their tokens; the words and their training counts."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        local, held, size = Local(), [], 0
 
         def out() -> pa.RecordBatch:
-            batch = rows_of(["word", "n"], [list(counts), list(counts.values())], [pa.binary(), pa.int64()])
-            counts.clear()
-            return batch
+            row, ids, turn, tokens = zip(*held, strict=True)
+            trained = [t for t, x in zip(tokens, turn, strict=True) if x >= 0]
+            counts = np.bincount(np.concatenate(trained), minlength=len(local)) if trained else np.zeros(len(local), np.int64)
+            columns = [list(row), list(ids), list(turn), list(map(len, tokens)), np.concatenate(tokens).tobytes(), list(local), counts]
+            return rows_of(names, [[c] for c in columns], types)
 
         for batch in batches:
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
-                if not held_out(doc_id):
-                    counts.update(tokens(text))
-                    counts[END] += 1
-                if len(counts) > 1_000_000:  # memory stays bounded; sums are formed again after the shuffle
+            for row, doc_id, text in zip(column(batch, "row").to_pylist(), column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
+                if held and size + len(text) > PART:
                     yield out()
-        if counts:
+                    local, held, size = Local(), [], 0
+                words = tokens(text)
+                ids = np.fromiter(map(local.__getitem__, words), np.int32, len(words))
+                turn = -1 if held_out(doc_id) else zlib.crc32(b"round" + str(doc_id).encode()) % ROUNDS
+                held.append((row, doc_id, turn, np.append(ids, np.int32(0))))
+                size += len(text)
+        if held:
             yield out()
 
-    return texts(docs).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(run), PARTS)
+
+
+def word_counts(of_parts: DataFrame) -> DataFrame:
+    """``word`` (binary; the end of a text is the empty word) and its count ``n`` over the training documents."""
+    each = of_parts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    return each.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -96,13 +126,12 @@ class Vocabulary:
         return self.bucket.get(word[:2], OUTPUTS - 1) if found is None else found
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs of the words and of the end, and their places in the head (-1: not there)."""
+        """Outputs of the words of a part and their places in the head (-1: not there)."""
         get = self.place.get
-        at = np.array([get(w, -1) for w in words] + [get(END, -1)], np.int32)
+        at = np.array([get(w, -1) for w in words], np.int32)
         ids = self.outputs[at]
-        for i in np.nonzero(at[:-1] < 0)[0].tolist():
+        for i in np.nonzero(at < 0)[0].tolist():
             ids[i] = self.bucket.get(words[i][:2], OUTPUTS - 1)
-        ids[-1] = 0
         return ids, at
 
 
@@ -113,23 +142,31 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     cutoff, room = None, HEAD
     for r in sorted(steps.collect(), key=lambda r: -r.step):  # steps of a sixteenth of a power of two: about a thousand at most
         room -= r.words
-        if room < 0 and cutoff is not None:
+        if room < 0:
             break
         cutoff = r.least
-    head = counts.filter((F.col("n") >= (cutoff or 0)) | (F.length("word") == 0)).toArrow()
+    cutoff = (total or 0) + 1 if cutoff is None else cutoff  # not even the most frequent step has room: no head but the end
+    head = counts.filter((F.col("n") >= cutoff) | (F.length("word") == 0)).toArrow()
     prefix = counts.groupBy(F.substring("word", 1, 2).alias("p")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     pairs = list(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))
-    return Vocabulary(pairs, {bytes(r.p): (r.n, r.v) for r in prefix}, total or 0, distinct or 0), cutoff or 0
+    return Vocabulary(pairs, {bytes(r.p): (r.n, r.v) for r in prefix}, total or 0, distinct or 0), cutoff
+
 
+def of_part(part: dict, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Local numbers, outputs and places in the head of all tokens of a part, and where its documents end."""
+    local = np.frombuffer(part["tokens"], np.int32)
+    outputs, places = v.numbers(part["words"])
+    return local, outputs[local], places[local], np.cumsum(part["sizes"])
 
-def trained(docs: DataFrame, known) -> dict[str, np.ndarray]:
+
+def trained(of_parts: DataFrame, known, unigram: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters after ``ROUNDS`` rounds over all training documents, each seen once.
 
     In a round every task goes through its documents of that round from the same parameters; the results are averaged,
     weighted by tokens, in a grouped aggregate, and only the average comes to the driver.
     """
-    spark = docs.sparkSession
-    params = gru.initial(known.value.unigram)
+    spark = of_parts.sparkSession
+    params = gru.initial(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(params)
 
@@ -137,18 +174,21 @@ def trained(docs: DataFrame, known) -> dict[str, np.ndarray]:
             learner, v = gru.Learner(start.value), known.value
             many: list[np.ndarray] = []
             for batch in batches:
-                for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
-                    if not held_out(doc_id) and zlib.crc32(b"round" + str(doc_id).encode()) % ROUNDS == turn:
-                        many.append(v.numbers(tokens(text))[0])
-                if sum(map(len, many)) > 1 << 21:
-                    learner.learn(many)
-                    many = []
+                for i in range(batch.num_rows):
+                    part = batch.slice(i, 1).to_pylist()[0]
+                    _, outputs, _, ends = of_part(part, v)
+                    many += [x for x, t in zip(np.split(outputs, ends[:-1]), part["turns"], strict=True) if t == turn]
+                    if sum(map(len, many)) > 1 << 21:
+                        learner.learn(many)
+                        many = []
             learner.learn(many)
             if learner.tokens:
                 values = gru.flat(learner.p) * np.float32(learner.tokens)
                 yield rows_of(["at", "value", "tokens"], [np.arange(len(values), dtype=np.int32), values, np.full(len(values), learner.tokens)], [pa.int32(), pa.float32(), pa.int64()])
 
-        rows = texts(docs).mapInArrow(lean(run), "at int, value float, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+        own = of_parts.select("turns", "sizes", "tokens", "words")
+        rows = own.mapInArrow(lean(run), "at int, value float, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+        start.destroy()
         if rows.num_rows:
             values = np.empty(rows.num_rows)
             values[rows["at"].to_numpy()] = rows["value"].to_numpy()
@@ -163,10 +203,12 @@ def scored(docs: DataFrame) -> DataFrame:
     training documents all words are unknown.
     """
     spark = docs.sparkSession
-    counts = written(word_counts(docs))
+    every = written(parts(docs))
+    counts = written(word_counts(every))
     words, cutoff = vocabulary(counts)
+    total = words.total
     known = spark.sparkContext.broadcast(words)
-    model = spark.sparkContext.broadcast(trained(docs, known))
+    model = spark.sparkContext.broadcast(trained(every, known, words.unigram))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "times"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
@@ -174,28 +216,29 @@ def scored(docs: DataFrame) -> DataFrame:
         v = known.value
         room = float(np.log10(v.total + v.distinct + 1))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            many, out = [], [[] for _ in names[2:]]
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
-                split = tokens(text)
-                ids, at = v.numbers(split)
-                many.append(ids)
-                value, rare = v.log[at], at[:-1] < 0
-                tail = ids >= v.first_bucket
-                inside = (value[tail] + v.within[ids[tail] - v.first_bucket]).sum()
-                others = Counter(split[i] for i in np.nonzero(rare)[0])
-                row = (held_out(doc_id), len(ids), int((at >= 0).sum()), float(value.sum() - room * len(ids)), float(inside), list(others), list(others.values()))
-                for to, x in zip(out, row, strict=True):
-                    to.append(x)
-            out[4] = np.array(out[4]) + gru.score(model.value, many)
-            yield rows_of(names, [column(batch, "row"), column(batch, "doc_id"), *out], types)
-
-    numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1).to_pylist()[0]
+                local, outputs, at, ends = of_part(part, v)
+                begins, sizes = ends - part["sizes"], np.array(part["sizes"])
+                value = v.log[at]
+                tail = outputs - v.first_bucket
+                inside = np.where(tail >= 0, value + v.within[np.maximum(tail, 0)], 0.0)
+                score = gru.score(model.value, np.split(outputs, ends[:-1])) + np.add.reduceat(inside, begins)
+                rare = np.nonzero(at < 0)[0]
+                keys, times = np.unique((np.searchsorted(ends, rare, side="right") << 32) + local[rare], return_counts=True)
+                cuts = np.searchsorted(keys >> 32, np.arange(len(ends) + 1)).tolist()
+                word = [part["words"][k] for k in (keys & 0xFFFFFFFF).tolist()]
+                lists = [[x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (word, times)]
+                base = np.add.reduceat(value, begins) - room * sizes
+                yield rows_of(names, [part["rows"], part["doc_ids"], np.array(part["turns"]) < 0, sizes, np.add.reduceat((at >= 0).astype(np.int64), begins), base, score, *lists], types)
+
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word array<binary>, times array<int>"
-    first = written(numbered.mapInArrow(lean(run), schema))
+    first = written(every.mapInArrow(lean(run), schema))
+    known.destroy()
+    model.destroy()
+    remove(every)
     rare = first.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
-    # every word of this join is rarer than the cut, so no key is hot; a word never trained on adds log10 of 1, nothing
+    # a word of this join is rarer than the cut, so no key is hot; a word never trained on adds log10 of 1, nothing
     met = rare.join(counts.filter(F.col("n") < cutoff), "word")
     more = met.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))
@@ -204,7 +247,7 @@ def scored(docs: DataFrame) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + gain).alias("base_score"),
         (F.col("score") + gain).alias("score"),
     )

@@ -75,9 +75,10 @@ def lower(text):
 # --- op1 --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("head", [1 << 18, 5])
-def test_lm_base_is_exact_and_the_model_beats_it(docs, rows, monkeypatch, head):
+@pytest.mark.parametrize("head,part", [(1 << 18, 4 << 20), (5, 3000), (0, 10)])
+def test_lm_base_is_exact_and_the_model_beats_it(docs, rows, monkeypatch, head, part):
     monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "PART", part)
     words = [(i, [w for w in re.split("[\x20\x09-\x0d]+", lower(t)) if w] + [""]) for i, t, _ in rows]
     c = collections.Counter(w for i, ws in words if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(c.values()), len(c)
@@ -102,6 +103,43 @@ def test_lm_state_carries_over_windows_and_lanes():
     assert gru.score(p, many, 2) == pytest.approx(alone, rel=1e-4)
 
 
+def test_lm_lanes_follow_the_tokens():
+    long = [np.arange(1_000_000, dtype=np.int32) % 60, *(np.full(5, i, np.int32) for i in range(300))]
+    every = gru.Lanes(long)
+    assert every.steps == 1_000_000 and len(every.tokens) == 1_001_500 and every.active(600_000) == 1
+    seen = collections.defaultdict(list)
+    for at in range(0, 1024, 64):
+        t, b, owner = every.window(at, 64)
+        for step, lane in zip(*np.nonzero(owner >= 0), strict=True):
+            assert b[step, lane] == (not seen[owner[step, lane]])
+            seen[owner[step, lane]].append(t[step, lane])
+    assert all(seen[i + 1] == [i] * 5 for i in range(300)) and seen[0] == [k % 60 for k in range(1024)]
+
+
+def plain_log10(p, text):
+    """The model said token by token, without lanes, windows or batches."""
+    h, before, total = np.zeros(gru.HIDDEN), gru.Run(p).start, 0.0
+    q = {k: x.astype(np.float64) for k, x in p.items()}
+    for y in text:
+        into = q["enter"][before]
+        z, r = np.split(1 / (1 + np.exp(-(into[: 2 * gru.HIDDEN] + h @ q["gates"]))), 2)
+        h = h + z * (np.tanh(into[2 * gru.HIDDEN :] + (r * h) @ q["state"]) - h)
+        k, own = divmod(int(y), gru.PER_CLASS)
+        of_class, within = h @ q["class_w"] + q["class_b"], h @ q["word_w"][k] + q["word_b"][k]
+        total += of_class[k] - np.log(np.exp(of_class).sum()) + within[own] - np.log(np.exp(within).sum())
+        before = y
+    return total / np.log(10)
+
+
+def test_lm_scores_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(4)
+    p = gru.initial(rng.dirichlet(np.ones(3 * gru.PER_CLASS)))
+    many = [rng.integers(0, 3 * gru.PER_CLASS, n).astype(np.int32) for n in (1, 7, 300, 90, 1500)]
+    learner = gru.Learner(p)
+    learner.learn(many)
+    assert gru.score(learner.p, many, 3) == pytest.approx([plain_log10(learner.p, x) for x in many], rel=1e-4)
+
+
 def test_lm_gradients_match_differences():
     rng = np.random.default_rng(1)
     p = gru.initial(rng.dirichlet(np.ones(gru.PER_CLASS)))
