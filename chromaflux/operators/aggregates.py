@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 from .windows import over
 
 
@@ -23,8 +25,9 @@ def segment_area(samples: DataFrame, on: list[str]) -> DataFrame:
 
 def band_integrals(samples: DataFrame, bands: DataFrame, on: list[str]) -> DataFrame:
     """Per signal and band (seq, name, x_min, x_max): trapezoid area, highest value and its place; empty bands have area 0."""
-    named = F.broadcast(bands.withColumnRenamed("seq", "band"))
-    every = samples.select(*on).distinct().crossJoin(named)  # keys times the method's few bands
+    named = small(bands.withColumnRenamed("seq", "band"))
+    listed = bands.agg(F.collect_list(F.struct(F.col("seq").alias("band"), *(c for c in bands.columns if c != "seq"))).alias("bands"))
+    every = samples.select(*on).distinct().join(listed, F.lit(True)).select(*on, F.inline("bands"))  # keys times the method's few bands
     inside = samples.join(named, F.col("x").between(F.col("x_min"), F.col("x_max")))
     strips = trapezoids(inside, [*on, "name"])
     found = strips.groupBy(*on, "name").agg(F.abs(F.sum("strip")).alias("area"), F.max("y").alias("peak"), F.max_by("x", F.struct("y", -F.col("seq"))).alias("peak_x"), F.count("*").alias("points"))
@@ -33,7 +36,7 @@ def band_integrals(samples: DataFrame, bands: DataFrame, on: list[str]) -> DataF
 
 def peak_groups(peaks: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """Peaks claimed by the first group (seq, g_low, g_high) that holds them are summed; the others stay; all renumbered."""
-    claimed = peaks.join(F.broadcast(groups), peaks["rt"].between(groups["g_low"], groups["g_high"]), "left")
+    claimed = peaks.join(small(groups), peaks["rt"].between(groups["g_low"], groups["g_high"]), "left")
     first = claimed.groupBy(*(peaks[c] for c in peaks.columns)).agg(F.min_by(F.struct("seq", "g_low", "g_high"), "seq").alias("g"))
     grouped = first.filter("g is not null").groupBy(*on, "g").agg(F.sum("area").alias("area"), F.count("*").alias("members"))
     a = grouped.select(*on, F.col("g.g_low").alias("rt"), "area", "members", F.lit("Group").alias("compound_id"))

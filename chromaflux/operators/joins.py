@@ -1,7 +1,8 @@
 """Retention-time, library and interval joins.
 
-Tables of windows, factors and compounds belong to a method and are small; they are broadcast only when their size in
-rows is checked (:func:`small`), else the join falls back to one that shuffles both sides.
+Tables of windows, factors and compounds belong to a method and are small. Up to ``ARRAY_ROWS`` rows, which is checked, such
+a table goes to every peak as one array and nothing is shuffled; larger ones meet the peaks by buckets of the axis in an
+equi-join. Other small sides are broadcast only when their size in rows is checked (:func:`small`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from ..functions.scalars import SENTINEL_CAS, cas_pad, is_unassigned, unknown_la
 
 #: Rows up to which a method table is broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows up to which a method table is looked through for each peak.
+ARRAY_ROWS = 1_000
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,12 +37,19 @@ def match_window(peaks: DataFrame, table: DataFrame, expansion: float = 0.0) ->
 
     ``table``: seq, compound, start, apex, end.
     """
-    return _best(peaks, table, lambda p, t: p["rt"].between(t["start"] - expansion, t["end"] + expansion), lambda p, t: t["end"] - t["start"])
+    return _best(peaks, table, lambda t: (t["start"] - expansion, t["end"] + expansion), lambda p, t: t["end"] - t["start"])
 
 
 def match_apex(peaks: DataFrame, table: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """The compound whose apex is nearest within ``tolerance``."""
-    return _best(peaks, table, lambda p, t: F.abs(t["apex"] - p["rt"]) <= tolerance, lambda p, t: F.abs(t["apex"] - p["rt"]))
+    near = lambda p, t: F.abs(t["apex"] - p["rt"])
+    return _best(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) <= tolerance)
+
+
+def _around(at: Column, reach: float) -> tuple[Column, Column]:
+    """Bounds a little wider than ``reach``: rounding must not lose a peak that the exact condition then keeps."""
+    slack = F.lit(reach) + 1e-9 * (F.abs(at) + reach)
+    return at - slack, at + slack
 
 
 def match_weighted(peaks: DataFrame, table: DataFrame, weights: tuple[float, float, float] = (0.25, 0.5, 0.25)) -> DataFrame:
@@ -54,27 +64,49 @@ def match_weighted(peaks: DataFrame, table: DataFrame, weights: tuple[float, flo
     ws, wa, we = weights
     score = lambda p, t: ws * F.abs(t["start"] - p["rt"]) + wa * F.abs(t["apex"] - p["rt"]) + we * F.abs(t["end"] - p["rt"])
     inside = peaks.join(F.broadcast(limits), F.lit(True)).withColumn("g_in", F.col("rt").between(F.col("g_low"), F.col("g_high"))).drop("g_low", "g_high")
-    found = _best(inside, table, lambda p, t: p["g_in"], score, keep=("start", "end"))
+    found = _best(inside, table, None, score, lambda p, t: p["g_in"], keep=("start", "end"))
     outside = F.greatest(F.col("start") - F.col("rt"), F.col("rt") - F.col("end"), F.lit(0.0))
     accepted = outside <= 0.75 * (F.col("end") - F.col("start"))
     return found.withColumn("compound", F.when(accepted, F.col("compound"))).drop("start", "end", "g_in")
 
 
-def _best(peaks: DataFrame, table: DataFrame, holds, cost, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Left join with the row of ``table`` that ``holds`` at least ``cost``, ties by ``seq``; one row a peak."""
+def _best(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each peak with ``compound`` (and ``keep``) of the row of ``table`` of least ``cost`` that ``holds``, ties by ``seq``.
+
+    ``span`` gives the bounds of rt that a row can serve; without it every row may serve every peak.
+    """
     fields = ["compound", *keep]
-    t = small(table).alias("t")
-    tc = {c: F.col(f"t.{c}") for c in table.columns}
-    numbered = peaks.withColumn("__peak", F.struct(*peaks.columns)).withColumn("__id", F.monotonically_increasing_id())
-    joined = numbered.join(t, holds(numbered, tc), "left")
-    best = F.min_by(F.struct(*(tc[f].alias(f) for f in fields)), F.struct(cost(numbered, tc), tc["seq"]))
-    picked = joined.groupBy("__id").agg(F.first("__peak").alias("__peak"), best.alias("__best"))
+    within = lambda p, t: p["rt"].between(*span(t)) if span else F.lit(True)
+    fits = (lambda p, t: within(p, t) & holds(p, t)) if holds else within
+    rank = lambda p, t: F.struct(cost(p, t).alias("cost"), t["seq"].alias("seq"), *(t[f].alias(f) for f in fields))
+    if table.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS:
+        rows = table.agg(F.collect_list(F.struct(*table.columns)).alias("__table"))
+        held = peaks.join(F.broadcast(rows), F.lit(True))  # one row
+        best = F.array_min(F.transform(F.filter("__table", lambda t: fits(held, t)), lambda t: rank(held, t)))
+        return held.withColumn("__best", best).select(*peaks.columns, *(F.col(f"__best.{f}").alias(f) for f in fields))
+    numbered = peaks.withColumn("__id", F.monotonically_increasing_id())
+    if span:
+        numbered, t = (x.alias(n) for x, n in zip(bucketed(numbered, F.col("rt"), table, *span(table), _width(table, span)), ("p", "t"), strict=True))
+        condition = F.col("p.bucket") == F.col("t.bucket")
+    else:  # no bounds to bucket by: a table of several arrays, each looked through
+        t, condition = table.alias("t"), F.lit(True)
+        numbered = numbered.alias("p")
+    tc, pc = {c: F.col(f"t.{c}") for c in table.columns}, {c: F.col(f"p.{c}") for c in peaks.columns}
+    joined = numbered.join(t, condition & fits(pc, tc), "left")
+    best = F.min(F.when(tc["seq"].isNotNull(), rank(pc, tc))).alias("__best")
+    picked = joined.groupBy("__id").agg(F.first(F.struct(*pc.values())).alias("__peak"), best)
     return picked.select("__peak.*", *(F.col(f"__best.{f}").alias(f) for f in fields))
 
 
+def _width(table: DataFrame, span) -> float:
+    """A bucket as wide as the mean span of the table's rows."""
+    low, high = span(table)
+    return table.agg(F.avg(high - low)).first()[0] or 1.0
+
+
 def match(peaks: DataFrame, table: DataFrame, mode: int, tolerance: float = 0.1, expansion: float = 0.0, weights=(0.25, 0.5, 0.25)) -> DataFrame:
     """Dispatch by mode: 0 window, 1 apex, 2 weighted; any other mode, or an empty table, matches nothing."""
-    if mode not in (0, 1, 2) or table.isEmpty():
+    if mode not in (0, 1, 2):
         return peaks.withColumn("compound", F.lit(None).cast("string"))
     return (lambda: match_window(peaks, table, expansion), lambda: match_apex(peaks, table, tolerance), lambda: match_weighted(peaks, table, weights))[mode]()
 
@@ -95,7 +127,8 @@ def assign(peaks: DataFrame, high_priority: bool = False) -> DataFrame:
 
 def identify(peaks: DataFrame, table: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Nearest apex strictly within ``tolerance``, else ``Unknown (rt)``."""
-    found = _best(peaks, table, lambda p, t: F.abs(t["apex"] - p["rt"]) < tolerance, lambda p, t: F.abs(t["apex"] - p["rt"]))
+    near = lambda p, t: F.abs(t["apex"] - p["rt"])
+    found = _best(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) < tolerance)
     return found.withColumn("compound", F.coalesce("compound", unknown_label(F.col("rt"))))
 
 
@@ -106,7 +139,7 @@ def library_lookup(peaks: DataFrame, library: DataFrame, record: list[str]) -> D
     """
     def last(key: Column, rows: DataFrame, name: str) -> DataFrame:
         kept = rows.withColumn("__k", key).filter("__k is not null and __k <> ''")
-        return small(kept.groupBy("__k").agg(F.max_by(F.struct(*record), "seq").alias(name)).withColumnRenamed("__k", f"{name}_k"))
+        return kept.groupBy("__k").agg(F.max_by(F.struct(*record), "seq").alias(name)).withColumnRenamed("__k", f"{name}_k")
 
     by_cas = last(cas_pad(F.col("casno")), library.filter(cas_pad(F.col("casno")) != SENTINEL_CAS), "r_cas")
     by_name = last(F.col("name"), library, "r_name")
@@ -133,16 +166,28 @@ def deduplicated_lookup(rows: DataFrame, table: DataFrame, key: str, seq: str, v
     return rows.join(last, key, how).select(*rows.columns, *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
-def override_interval(peaks: DataFrame, overrides: DataFrame, tolerance: float = 0.05, similarity: Column | None = None, least: float = 0.7) -> DataFrame:
-    """The first override (``seq``, ``override_rt``, ``compound``) within ``tolerance`` of a peak and, if given, alike enough."""
-    o = overrides.select(*(F.col(c).alias(f"o_{c}") for c in overrides.columns))
-    holds = F.abs(F.col("rt") - F.col("o_override_rt")) <= tolerance
-    if similarity is not None:
-        holds = holds & (F.coalesce(similarity, F.lit(1.0)) >= least)
-    numbered = peaks.withColumn("__peak", F.struct(*peaks.columns)).withColumn("__id", F.monotonically_increasing_id())
-    joined = numbered.join(small(o), holds, "left")
-    picked = joined.groupBy("__id").agg(F.first("__peak").alias("__peak"), F.min_by("o_compound", "o_seq").alias("manual"))
-    return picked.select("__peak.*", F.col("manual").alias("manual_compound"), F.col("manual").isNotNull().alias("manual_assignment"))
+def override_interval(peaks: DataFrame, overrides: DataFrame, tolerance: float = 0.05, similarity=None, least: float = 0.7) -> DataFrame:
+    """The first override (``seq``, ``override_rt``, ``compound``) within ``tolerance`` of a peak and, if given, alike enough.
+
+    ``similarity``: a function of (peak, override) columns; where it is null the spectra don't decide.
+    """
+    holds = lambda p, t: F.abs(p["rt"] - t["override_rt"]) <= tolerance
+    both = (lambda p, t: holds(p, t) & (F.coalesce(similarity(p, t), F.lit(1.0)) >= least)) if similarity else holds
+    found = _best(peaks, overrides, lambda t: _around(t["override_rt"], tolerance), lambda p, t: t["seq"], both)
+    return found.withColumn("manual_assignment", F.col("compound").isNotNull()).withColumnRenamed("compound", "manual_compound").select(*peaks.columns, "manual_compound", "manual_assignment")
+
+
+def across(rows: DataFrame, on: list[str], run: str, x: str, tolerance: float) -> DataFrame:
+    """Rows of two runs (``run`` < ``other``) with equal keys and ``x`` within ``tolerance``.
+
+    Both sides meet by the keys and a bucket of ``x`` as wide as the tolerance, so a key that many rows share is split along
+    the axis; a row is sent to three buckets on one side only.
+    """
+    cut = F.floor(F.col(x) / F.lit(tolerance))
+    a = rows.withColumn("__b", cut)
+    b = rows.select(*on, F.col(run).alias("other"), F.col(x).alias("__x"), F.explode(F.sequence(cut - 1, cut + 1)).alias("__b"))
+    near = (F.col(run) < F.col("other")) & (F.abs(F.col(x) - F.col("__x")) <= tolerance)
+    return a.join(b, [*on, "__b"]).filter(near).drop("__b", "__x")
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, on: list[str], how: str = "inner") -> DataFrame:

@@ -153,6 +153,87 @@ def smooth_whittaker(y: Array, w: Array, lam: float, order: int = 2) -> Array:
     return z
 
 
+def whittaker_many(y: Array, w: Array, lengths: Array, lam: float, order: int = 2) -> Array:
+    """:func:`smooth_whittaker` of many signals at once, one a row, padded beyond their ``lengths``; a step of the band serves all rows."""
+    n, d = y.shape[1], np.diff(np.eye(order + 1), order, axis=0)[0]
+    bands = np.zeros((order + 1, n, len(y)))
+    for k in range(n - order):
+        there = lam * (k < lengths - order)
+        for i in range(order + 1):
+            for j in range(i, order + 1):
+                bands[j - i, k + i] += d[i] * d[j] * there
+    bands[0] += w.T
+    z = (w * y).T.copy()
+    for i in range(n):
+        bands[0, i] = np.sqrt(bands[0, i])
+        m = min(order, n - 1 - i)
+        bands[1 : m + 1, i] /= bands[0, i]
+        for k in range(1, m + 1):
+            bands[: m + 1 - k, i + k] -= bands[k, i] * bands[k : m + 1, i]
+        z[i] /= bands[0, i]
+        z[i + 1 : i + 1 + m] -= bands[1 : m + 1, i] * z[i]
+    for i in range(n - 1, -1, -1):
+        m = min(order, n - 1 - i)
+        z[i] = (z[i] - (bands[1 : m + 1, i] * z[i + 1 : i + 1 + m]).sum(0)) / bands[0, i]
+    return z.T
+
+
+def reweighted_many(many: list[Array], method: str, lam: float, p: float = 0.01, order: int = 2, rounds: int = 50, tolerance: float = 1e-3) -> list[Array]:
+    """asls, arpls or airpls baselines of signals of like length; each stops by its own rule."""
+    lengths = np.array([len(y) for y in many])
+    y = np.stack([np.pad(np.asarray(v, float), (0, lengths.max() - len(v))) for v in many])
+    real = np.arange(y.shape[1]) < lengths[:, None]
+    w, out, left = np.ones(y.shape), y.copy(), np.arange(len(y))
+    for turn in range(1, rounds + 1):
+        if not len(left):
+            break
+        own, was = real[left], w[left]
+        z = whittaker_many(y[left], was, lengths[left], lam, order)
+        out[left] = z
+        d = np.where(own, y[left] - z, 0.0)
+        below, stop = d < 0, np.zeros(len(left), bool)
+        if method == "asls":
+            new = np.where(d > 0, p, 1 - p)
+        elif method == "arpls":
+            count = np.maximum(below.sum(1), 1)[:, None]
+            mean = (d * below).sum(1, keepdims=True) / count
+            spread = np.sqrt((((d - mean) ** 2) * below).sum(1, keepdims=True) / count)
+            stop = (below.sum(1) < 2) | (spread[:, 0] == 0)
+            spread[stop] = 1.0
+            new = 1 / (1 + np.exp(np.clip(2 * (d - (2 * spread - mean)) / spread, -500, 500)))
+        else:
+            total = (np.abs(d) * below).sum(1, keepdims=True)
+            stop = total[:, 0] < tolerance * np.abs(y[left]).sum(1)
+            total[stop] = 1.0
+            new = np.where(below, np.exp(np.minimum(turn * np.abs(d) / total, 500)), 0.0)
+            edge = np.exp(np.minimum(turn * (np.abs(d) * below).max(1) / total[:, 0], 500))
+            new[:, 0] = edge
+            new[np.arange(len(left)), lengths[left] - 1] = edge
+        new = np.where(own, new, 1.0)
+        settled = np.sqrt((((new - was) * own) ** 2).sum(1) / ((was * own) ** 2).sum(1)) < tolerance
+        w[left] = np.maximum(new, 1e-12)
+        left = left[~(stop | settled)]
+    return [z[:n] for z, n in zip(out, lengths, strict=True)]
+
+
+def baselines(many: list[Array], method: str, lam: float, together: int = 512) -> list[Array]:
+    """:func:`baseline` of each signal; reweighted ones of like length are solved together."""
+    out: list[Array | None] = [None] * len(many)
+    if method not in ("asls", "arpls", "airpls"):
+        return [baseline(y, method, lam) for y in many]
+    order = sorted((i for i in range(len(many)) if len(many[i]) >= 4), key=lambda i: len(many[i]))
+    at = 0
+    while at < len(order):
+        room = 1.25 * len(many[order[at]]) + 8
+        end = at + 1
+        while end < len(order) and end - at < together and len(many[order[end]]) <= room:
+            end += 1
+        for i, z in zip(order[at:end], reweighted_many([many[i] for i in order[at:end]], method, lam), strict=True):
+            out[i] = z
+        at = end
+    return [baseline(y, method, lam) if z is None else z for y, z in zip(many, out, strict=True)]
+
+
 def spline_basis(n: int, knots: int, degree: int = 3) -> Array:
     """B-splines of evenly spaced knots at ``n`` even places, one a column; rows sum to 1."""
     x, inner = np.linspace(0, 1, n)[:, None], np.linspace(0, 1, knots)

@@ -64,7 +64,7 @@ def broadcast_factors(peaks: DataFrame, library: DataFrame, anchors: DataFrame,
     """
     found = deduplicated_lookup(peaks, library, "compound", "seq", ["c", "mw", "anchor"])
     a = anchors.groupBy("anchor").agg(F.max_by(F.struct("c", "mw", "known_wt_pct", "area"), "seq").alias("a"))
-    j = found.join(F.broadcast(a), "anchor", "left").join(F.broadcast(samples), "sample_id", "left")
+    j = found.join(a, "anchor", "left").join(samples, "sample_id", "left")
     matched = (F.col("c") > 0) & F.col("a").isNotNull()
     rf = F.when(matched, F.col("a.known_wt_pct") / F.col("a.area") * (F.col("a.c") / F.col("c")) * (F.col("mw") / F.col("a.mw")))
     held = j.withColumn("matched", F.coalesce(matched, F.lit(False))).withColumn("rf", rf)

@@ -6,12 +6,15 @@ a signal at once (banded solves, prominences, folds).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from . import kernels as K
@@ -42,9 +45,62 @@ class Method:
     skew_limit: float | None = None
 
 
+#: Points of whole signals that a task works on together.
+TOGETHER = 1 << 17
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many tasks as the session shuffles to: small tables that are dear to compute stay spread."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def grouped(samples: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``one`` for each sample, rows in order of ``seq``."""
-    return samples.groupBy("sample_id").applyInPandas(lambda p: one(p.sort_values("seq", kind="stable")), schema)
+    return spread(samples, "sample_id").groupBy("sample_id").applyInPandas(lambda p: one(p.sort_values("seq", kind="stable")), schema)
+
+
+@dataclass
+class Signal:
+    """One run's columns in order of ``seq``."""
+
+    sample_id: int
+    columns: dict[str, np.ndarray]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+
+def together(samples: DataFrame, names: list[str], many: Callable[[list[Signal]], dict[str, list]], schema: str) -> DataFrame:
+    """``many`` over whole signals, some ``TOGETHER`` points at a time; it returns the columns of ``schema``.
+
+    Signals are dealt to tasks and sorted by Spark; a task cuts its rows where the sample changes. One signal is never split.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    own = spread(samples.select("sample_id", "seq", *names), "sample_id").sortWithinPartitions("sample_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            ids = table["sample_id"].to_numpy()
+            columns = {c: table[c].to_numpy() for c in ("seq", *names)}
+            cuts = [0, *(np.nonzero(ids[1:] != ids[:-1])[0] + 1).tolist(), len(ids)]
+            found = many([Signal(int(ids[a]), {c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)])
+            return pa.RecordBatch.from_pydict(found, schema=arrow)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                table = pa.Table.from_batches(held)
+                ids = table["sample_id"].to_numpy()
+                begun = int(np.searchsorted(ids, ids[-1], side="left"))  # the last signal may go on
+                if begun:
+                    yield out(table.slice(0, begun))
+                held = table.slice(begun).to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield out(table)
+
+    return own.filter("sample_id is not null").mapInArrow(run, schema)
 
 
 def filled(y: np.ndarray) -> np.ndarray:
@@ -64,21 +120,34 @@ def segments(x: np.ndarray, breaks: tuple[float, ...], ms_range: tuple[float, fl
     return out + ([(high + 1, n, False)] if high + 1 < n else [])
 
 
+def corrected(many: list[Signal], m: Method) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Smoothed signal and baseline of each; masked segments have no baseline (NaN). Baselines are solved together."""
+    smoothed = [K.smooth(filled(s["y"]), m.smoothing, **m.smoothing_options) for s in many]
+    if not m.baseline:
+        return [(s, np.zeros(len(s))) for s in smoothed]
+    parts = []
+    for k, (signal, s) in enumerate(zip(many, smoothed, strict=True)):
+        for a, b, fit in segments(signal["x"], m.breaks, m.ms_range) if m.breaks or m.ms_range else [(0, len(s), True)]:
+            if fit:
+                parts.append((k, a, b))
+    out = [np.full(len(s), np.nan) for s in smoothed]
+    for (k, a, b), z in zip(parts, K.baselines([smoothed[k][a:b] for k, a, b in parts], m.baseline, m.lam), strict=True):
+        out[k][a:b] = z - m.offset
+    return list(zip(smoothed, out, strict=True))
+
+
 def processed(samples: DataFrame, m: Method = Method()) -> DataFrame:
-    """Smoothed signal, baseline and corrected signal; masked segments have no baseline (null)."""
+    """Smoothed signal, baseline and corrected signal; masked segments have no baseline (NaN)."""
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
-        s = K.smooth(filled(y), m.smoothing, **m.smoothing_options)
-        base = np.zeros(len(y))
-        if m.baseline:
-            base[:] = np.nan
-            for a, b, fit in segments(x, m.breaks, m.ms_range) if m.breaks or m.ms_range else [(0, len(x), True)]:
-                if fit:
-                    base[a:b] = K.baseline(s[a:b], m.baseline, m.lam) - m.offset
-        return pd.DataFrame({"sample_id": p["sample_id"].to_numpy(), "seq": p["seq"].to_numpy(), "x": x, "original_y": y, "smoothed_y": s, "baseline_y": base, "corrected_y": s - base})
+    def many(signals: list[Signal]) -> dict[str, list]:
+        found = corrected(signals, m)
+        every = {
+            "sample_id": [np.full(len(s["x"]), s.sample_id) for s in signals], "seq": [s["seq"] for s in signals], "x": [s["x"] for s in signals],
+            "original_y": [s["y"] for s in signals], "smoothed_y": [s for s, _ in found], "baseline_y": [b for _, b in found], "corrected_y": [s - b for s, b in found],
+        }
+        return {c: np.concatenate(v) for c, v in every.items()}
 
-    return grouped(samples, one, schemas.PROCESSED)
+    return together(samples, ["x", "y"], many, schemas.PROCESSED)
 
 
 def noise(y: np.ndarray, quiet: np.ndarray) -> float:
@@ -166,41 +235,54 @@ def bounds(y: np.ndarray, at: np.ndarray, fraction: float = 0.0025) -> list[tupl
     return out
 
 
-def integrated(y_frame: DataFrame, m: Method = Method()) -> DataFrame:
-    """One row for each apex: bounds, Simpson area (absolute, times the factor), width, asymmetry and quality."""
+def peaks_of(sample_id: int, x: np.ndarray, y: np.ndarray, m: Method) -> list[tuple]:
+    """Rows of ``schemas.PEAKS`` of one corrected signal."""
+    span = float(y.max() - y.min()) if len(y) else 0.0
+    kinds = [(k, "peak") for k in K.find_peaks(y, prominence=m.min_prominence if m.min_prominence > 1 else m.min_prominence * span, width=m.min_width)]
+    if m.shoulders:
+        kinds += [(k, "shoulder") for k in shoulders_of(x, y, np.array([k for k, _ in kinds], int), m)]
+    if m.ranges:
+        kinds = [r for r in kinds if any(a <= x[r[0]] <= b for a, b in m.ranges)]
+    kinds.sort()
+    at = np.array([k for k, _ in kinds], int)
+    rows = []
+    for number, (a, (_, kind), (left, right)) in enumerate(zip(at, kinds, bounds(y, at), strict=True), 1):
+        part = y[left : right + 1]
+        area = abs(K.simpson(part, x[left : right + 1])) * (m.area_factor or 1.0)
+        height = part.max() - part.min()
+        z = (part - part.min()) / height if height > 0 else np.zeros(len(part))
+        var = z.var()
+        skew = float(((z - z.mean()) ** 3).mean() / var**1.5) if var > 0 else 0.0
+        issues = ["too few points"] if len(part) < 5 else []
+        bent = m.skew_limit is not None and abs(skew) > m.skew_limit
+        if bent:
+            issues.append("skewed")
+        back, front = x[right] - x[a], x[a] - x[left]
+        rows.append((sample_id, "Unknown (%.3f)" % x[a], number, float(x[a]), "py", float(x[right] - x[left]), float(area), float(x[left]), float(x[right]), left, right, kind == "shoulder", False, bent, float(back / front) if front > 0 else None, skew, issues))
+    return rows
+
+
+PEAK_NAMES = [c.split()[0] for c in schemas.PEAKS.split(", ")]
+
+
+def _columns(rows: list[tuple]) -> dict[str, list]:
+    return {c: [r[i] for r in rows] for i, c in enumerate(PEAK_NAMES)}
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p["x"].to_numpy(), filled(p["corrected_y"].to_numpy())
-        kinds = [(k, "peak") for k in K.find_peaks(y, prominence=m.min_prominence if m.min_prominence > 1 else m.min_prominence * float(y.max() - y.min()), width=m.min_width)]
-        if m.shoulders:
-            kinds += [(k, "shoulder") for k in shoulders_of(x, y, np.array([k for k, _ in kinds], int), m)]
-        if m.ranges:
-            kinds = [r for r in kinds if any(a <= x[r[0]] <= b for a, b in m.ranges)]
-        kinds.sort()
-        at = np.array([k for k, _ in kinds], int)
-        rows = []
-        for number, (a, (_, kind), (left, right)) in enumerate(zip(at, kinds, bounds(y, at), strict=True), 1):
-            part = y[left : right + 1]
-            area = abs(K.simpson(part, x[left : right + 1])) * (m.area_factor or 1.0)
-            span = part.max() - part.min()
-            z = (part - part.min()) / span if span > 0 else np.zeros(len(part))
-            var = z.var()
-            skew = float(((z - z.mean()) ** 3).mean() / var**1.5) if var > 0 else 0.0
-            issues = ["too few points"] if len(part) < 5 else []
-            bent = m.skew_limit is not None and abs(skew) > m.skew_limit
-            if bent:
-                issues.append("skewed")
-            back, front = x[right] - x[a], x[a] - x[left]
-            rows.append((p["sample_id"].iloc[0], "Unknown (%.3f)" % x[a], number, x[a], "py", x[right] - x[left], area, x[left], x[right], left, right, kind == "shoulder", False, bent, back / front if front > 0 else None, skew, issues))
-        names = [c.split()[0] for c in schemas.PEAKS.split(", ")]
-        return pd.DataFrame(rows, columns=names)
-
-    return grouped(y_frame, one, schemas.PEAKS)
+
+def integrated(y_frame: DataFrame, m: Method = Method()) -> DataFrame:
+    """One row for each apex of processed signals: bounds, Simpson area (absolute, times the factor), width, asymmetry and quality."""
+    many = lambda signals: _columns([r for s in signals for r in peaks_of(s.sample_id, s["x"], filled(s["corrected_y"]), m)])
+    return together(y_frame, ["x", "corrected_y"], many, schemas.PEAKS)
 
 
 def run(samples: DataFrame, m: Method = Method()) -> DataFrame:
-    """Process and integrate in one go."""
-    return integrated(processed(samples, m), m)
+    """Process and integrate in one go: signals are dealt once and only peaks come back."""
+
+    def many(signals: list[Signal]) -> dict[str, list]:
+        found = corrected(signals, m)
+        return _columns([r for s, (y, base) in zip(signals, found, strict=True) for r in peaks_of(s.sample_id, s["x"], filled(y - base), m)])
+
+    return together(samples, ["x", "y"], many, schemas.PEAKS)
 
 
 def chunked(samples: DataFrame, pad: float = 0.5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .joins import small
+from .signal import spread
 
 
 def tic(scans: DataFrame, on: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.
         })
 
     schema = "sample_id long, mz int, rt_apex double, left double, right double, height double, sharpness double, shared boolean, rts array<double>, ys array<double>"
-    return strong.groupBy("sample_id", "mz").applyInPandas(one, schema)
+    return spread(strong, "sample_id", "mz").groupBy("sample_id", "mz").applyInPandas(one, schema)
 
 
 def complete_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
@@ -160,7 +161,7 @@ def assign_greedy(pairs: DataFrame, tolerance: float) -> DataFrame:
                 rows.append((r.sample_id, r.peak, r.component, r.distance))
         return pd.DataFrame(rows, columns=["sample_id", "peak", "component", "distance"])
 
-    return pairs.groupBy("sample_id").applyInPandas(one, "sample_id long, peak long, component long, distance double")
+    return spread(pairs, "sample_id").groupBy("sample_id").applyInPandas(one, "sample_id long, peak long, component long, distance double")
 
 
 def match_optimal(truth: DataFrame, found: DataFrame, most: float) -> DataFrame:
@@ -227,4 +228,4 @@ def peaks_2d(plane: DataFrame, tolerance: int = 2, least: int = 2, prominence: f
         return out.assign(number=range(1, len(out) + 1))
 
     schema = "sample_id long, mod_centre double, apex_scan double, volume double, n_sub_peaks int, mod_start int, mod_end int, apex_mod int, number int"
-    return plane.groupBy("sample_id").applyInPandas(one, schema)
+    return spread(plane, "sample_id").groupBy("sample_id").applyInPandas(one, schema)

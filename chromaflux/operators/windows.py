@@ -94,13 +94,28 @@ def valleys(samples: DataFrame, apexes: DataFrame, on: list[str]) -> DataFrame:
 
 
 def bound_walk(samples: DataFrame, apexes: DataFrame, on: list[str], fraction: float = 0.0025) -> DataFrame:
-    """From each apex outward to the first sample at or below ``fraction`` of its height; without one the apex itself."""
-    a = apexes.select(*on, F.col("seq").alias("apex"), F.col("y").alias("height"))
-    j = samples.join(a, on)
-    below = F.col("y") <= fraction * F.col("height")
-    left = F.max(F.when((F.col("seq") < F.col("apex")) & below, F.col("seq")))
-    right = F.min(F.when((F.col("seq") > F.col("apex")) & below, F.col("seq")))
-    return j.groupBy(*on, "apex").agg(F.coalesce(left, F.col("apex")).alias("left"), F.coalesce(right, F.col("apex")).alias("right"))
+    """From each apex outward to the first sample at or below ``fraction`` of its height; without one the apex itself.
+
+    A signal goes to its apexes as one array, so rows are as many as apexes.
+    """
+    signal = samples.groupBy(*on).agg(F.collect_list(F.struct("seq", "y")).alias("__s"))
+    held = apexes.select(*on, F.col("seq").alias("apex"), F.col("y").alias("height")).join(signal, on)
+    low = F.transform(F.filter("__s", lambda s: s["y"] <= fraction * F.col("height")), lambda s: s["seq"])
+    left, right = F.array_max(F.filter(low, lambda i: i < F.col("apex"))), F.array_min(F.filter(low, lambda i: i > F.col("apex")))
+    return held.select(*on, "apex", F.coalesce(left, F.col("apex")).alias("left"), F.coalesce(right, F.col("apex")).alias("right"))
+
+
+def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Rows with their ``name`` (from 1) in the order of all rows, without bringing them into one task.
+
+    Rows are dealt by range; a part's rows are numbered from where the parts before it end.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a part
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__n", "__before", "__own")
 
 
 def neighbour_clamp(bounds: DataFrame, on: list[str]) -> DataFrame:

@@ -34,15 +34,15 @@ PEAKS = """peaks AS (SELECT l_orderkey AS sample_id, row_number() OVER (PARTITIO
   l_partkey AS part, l_quantity AS rt, l_extendedprice AS area FROM lineitem)"""
 
 
-def rt_table(spark: SparkSession, sf_dir: str, rows: int = 40) -> DataFrame:
-    """seq, compound, start, apex, end: windows of two units from the first parts."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") < rows)
-    size = F.col("p_size").cast("double")
-    return p.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("cmp"), F.col("p_partkey").cast("string")).alias("compound"), size.alias("start"), (size + 0.5 + F.col("p_partkey") % 3 * 0.25).alias("apex"), (size + 1.25 + F.col("p_partkey") % 4 * 0.5).alias("end"))
+def rt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, compound, start, apex, end: a method's windows, one for each nation."""
+    k = F.col("n_nationkey")
+    start = (k * 2).cast("double")
+    return table(spark, sf_dir, "nation").select(k.alias("seq"), F.concat(F.lit("cmp"), k.cast("string")).alias("compound"), start.alias("start"), (start + 0.5 + k % 3 * 0.25).alias("apex"), (start + 1.25 + k % 4 * 0.5).alias("end"))
 
 
-RT_TABLE = """rt_table AS (SELECT p_partkey AS seq, 'cmp' || p_partkey AS compound, p_size::DOUBLE AS start, p_size + 0.5 + p_partkey % 3 * 0.25 AS apex,
-  p_size + 1.25 + p_partkey % 4 * 0.5 AS "end" FROM part WHERE p_partkey < 40)"""
+RT_TABLE = """rt_table AS (SELECT n_nationkey AS seq, 'cmp' || n_nationkey AS compound, (n_nationkey * 2)::DOUBLE AS start, n_nationkey * 2 + 0.5 + n_nationkey % 3 * 0.25 AS apex,
+  n_nationkey * 2 + 1.25 + n_nationkey % 4 * 0.5 AS "end" FROM nation)"""
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:

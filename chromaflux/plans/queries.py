@@ -161,14 +161,14 @@ def identify_tolerance(spark, d):
     return J.identify(_rt_peaks(spark, d), rt_table(spark, d), 0.3).select("sample_id", "peak_number", "compound")
 
 
-@query(RT_PEAKS + """, o AS (SELECT p_partkey AS seq, p_size + 0.15 AS ort, p_name AS c FROM part WHERE p_partkey < 60)
+@query(RT_PEAKS + """, o AS (SELECT n_nationkey AS seq, n_nationkey * 2 + 0.15 AS ort, n_name AS c FROM nation)
 SELECT sample_id, peak_number, arg_min(c, seq) AS manual_compound, count(c) > 0 AS manual_assignment FROM p LEFT JOIN o ON abs(rt - ort) <= 0.05 GROUP BY ALL""")
 def manual_override(spark, d):
-    o = table(spark, d, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("seq"), (F.col("p_size") + 0.15).alias("override_rt"), F.col("p_name").alias("compound"))
+    o = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), (F.col("n_nationkey") * 2 + 0.15).alias("override_rt"), F.col("n_name").alias("compound"))
     return J.override_interval(_rt_peaks(spark, d), o).select("sample_id", "peak_number", "manual_compound", "manual_assignment")
 
 
-@query("""WITH l AS (SELECT l_suppkey AS s, l_partkey AS part, l_quantity AS q, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 2),
+@query("""WITH l AS (SELECT l_suppkey AS s, l_partkey AS part, l_quantity AS q, l_linenumber AS n FROM lineitem),
 lib AS (SELECT p_partkey AS seq, printf('%d-%02d-1', p_partkey, p_size) AS cas, p_name AS name FROM part),
 c AS (SELECT cas AS k, max(seq) AS r FROM lib GROUP BY 1), n AS (SELECT name AS k, max(seq) AS r FROM lib GROUP BY 1)
 SELECT s, part, q, n, coalesce(c.r, n1.r, n2.r) AS lib_seq FROM (SELECT l.*, CASE WHEN part % 3 = 0 THEN printf('%d-%02d-1', part, p_size) ELSE 'none' END AS cas, CASE WHEN part % 3 = 1 THEN p_name WHEN part % 3 = 2 THEN upper(p_name) END AS nm FROM l JOIN part ON part = p_partkey) x
@@ -178,7 +178,7 @@ def library_lookup(spark, d):
     cas = F.format_string("%d-%02d-1", "p_partkey", "p_size")
     lib = p.select(F.col("p_partkey").alias("seq"), cas.alias("casno"), F.col("p_name").alias("name"))
     k = F.col("l_partkey") % 3
-    q = table(spark, d, "lineitem").filter("l_linenumber <= 2").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    q = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     q = q.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("n"), F.when(k == 0, cas).otherwise("none").alias("casno"), F.when(k == 1, F.col("p_name")).when(k == 2, F.upper("p_name")).alias("name"))
     return J.library_lookup(q, lib, ["seq"]).select("s", "part", "q", "n", "lib_seq")
 
@@ -340,10 +340,10 @@ def peak_skew(spark, d):
     return signals(spark, d).groupBy("sample_id").agg(F.round(F.skewness("y"), 6).alias("skew"))
 
 
-@query(f"""WITH {SPECTRA}, s AS (SELECT * FROM spectra WHERE mz <= 10), p AS (SELECT a.label, a.mz AS i, b.mz AS j, corr(a.intensity, b.intensity) AS r FROM s a JOIN s b ON a.id = b.id AND a.label = b.label AND a.mz < b.mz GROUP BY ALL)
+@query(f"""WITH {SPECTRA}, s AS (SELECT * FROM spectra), p AS (SELECT a.label, a.mz AS i, b.mz AS j, corr(a.intensity, b.intensity) AS r FROM s a JOIN s b ON a.id = b.id AND a.label = b.label AND a.mz < b.mz GROUP BY ALL)
 SELECT label, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.9 THEN 1.0 ELSE 0.0 END), 6) AS share_high, count(*) AS pairs FROM p WHERE r IS NOT NULL GROUP BY 1""")
 def coherence(spark, d):
-    return A.coherence(spectra(spark, d).filter("mz <= 10"), ["label"], "mz", "id", "intensity").select("label", *r6("mean_r", "share_high"), "pairs")
+    return A.coherence(spectra(spark, d), ["label"], "mz", "id", "intensity").select("label", *r6("mean_r", "share_high"), "pairs")
 
 
 @query(f"""WITH {PEAKS} SELECT sample_id, round(CASE WHEN count(*) >= 2 THEN 0.5 * median(area / 1000) ELSE 0.3 END, 7) AS gap FROM peaks GROUP BY 1""")
@@ -440,10 +440,10 @@ def having_max(spark, d):
 # --- scans, sets, keys ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SIGNALS}, t AS (SELECT o_orderkey AS target, o_custkey % 15 AS sample_id, (o_orderkey * 7 % 40000)::DOUBLE AS goal FROM orders WHERE o_orderkey < 3000)
+@query(f"""WITH {SIGNALS}, t AS (SELECT o_orderkey AS target, o_custkey % 15 AS sample_id, (o_orderkey * 7 % 40000)::DOUBLE AS goal FROM orders)
 SELECT target, arg_min(seq, abs(x - goal) * 1e6 + seq * 1e-4) AS nearest_scan FROM t JOIN signals USING (sample_id) GROUP BY 1""")
 def nearest_scan(spark, d):
-    t = table(spark, d, "orders").filter("o_orderkey < 3000").select(F.col("o_orderkey").alias("target"), (F.col("o_custkey") % 15).alias("sample_id"), (F.col("o_orderkey") * 7 % 40000).cast("double").alias("at"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("target"), (F.col("o_custkey") % 15).alias("sample_id"), (F.col("o_orderkey") * 7 % 40000).cast("double").alias("at"))
     return J.nearest_scan(t, signals(spark, d), ["sample_id"], "at", "x", "seq").filter("nearest_scan is not null").select("target", "nearest_scan")
 
 

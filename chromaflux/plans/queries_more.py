@@ -35,12 +35,11 @@ def peak_volume(spark, d):
     )
 
 
-@query(f"""WITH {PEAKS}, s AS (SELECT DISTINCT sample_id, part, rt, area FROM peaks WHERE sample_id < 2000)
+@query(f"""WITH {PEAKS}, s AS (SELECT DISTINCT sample_id, part, rt, area FROM peaks)
 SELECT a.sample_id, a.part, b.sample_id AS other, count(*) AS n FROM s a JOIN s b ON a.part = b.part AND a.sample_id < b.sample_id AND abs(a.rt - b.rt) <= 1 GROUP BY ALL""")
 def cross_file_match(spark, d):
-    s = peaks(spark, d).filter("sample_id < 2000").select("sample_id", "part", "rt", "area").distinct()
-    b = s.select(F.col("sample_id").alias("other"), "part", F.col("rt").alias("rt2"))
-    return s.join(b, "part").filter("sample_id < other and abs(rt - rt2) <= 1").groupBy("sample_id", "part", "other").agg(F.count("*").alias("n"))
+    s = peaks(spark, d).select("sample_id", "part", "rt", "area").distinct()
+    return J.across(s, ["part"], "sample_id", "rt", 1.0).groupBy("sample_id", "part", "other").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PEAKS}, n AS (SELECT p.*, CASE WHEN o.o_orderkey IS NOT NULL AND peak_number = 1 THEN 'new' ELSE 'old' END AS id FROM peaks p LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0) o ON o_orderkey = sample_id)
@@ -50,12 +49,10 @@ def results_update(spark, d):
     return sinks.updated_ids(peaks(spark, d).select("sample_id", "peak_number", F.lit("old").alias("compound_id")), ids)
 
 
-@query("""SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END NULLS LAST, o_orderkey) AS place FROM orders WHERE o_custkey < 300""")
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END NULLS LAST, o_orderkey) AS place FROM orders""")
 def chronological(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 300").withColumn("at", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")))
-    # places over all runs: sort by range, count each part, then number within it
-    part = o.repartitionByRange(8, F.col("at").asc_nulls_last(), "o_orderkey").sortWithinPartitions(F.col("at").asc_nulls_last(), "o_orderkey").rdd.zipWithIndex()
-    return part.map(lambda x: (x[0]["o_orderkey"], x[1] + 1)).toDF("o_orderkey long, place long")
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("at"))
+    return W.placed(o, F.col("at").asc_nulls_last(), F.col("o_orderkey").asc()).select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT c_custkey, left(trim(replace(replace(c_mktsegment || '/' || c_name, '/', ''), '#', '#')), 31) AS sheet FROM customer""")
@@ -157,10 +154,10 @@ def cas_join(spark, d):
     return J.deduplicated_lookup(line, lib, "l_partkey", "seq", ["cas"])
 
 
-@query(f"""WITH {SIGNALS}, u AS (SELECT DISTINCT sample_id, x FROM signals UNION SELECT DISTINCT sample_id, x + 30 FROM signals), k AS (SELECT u.sample_id, u.x, arg_max(struct_pack(x := s.x, y := s.y), s.x * 1e3 + s.seq * 1e-6) FILTER (WHERE s.x <= u.x) AS b, arg_min(struct_pack(x := s.x, y := s.y), s.x * 1e3 + s.seq * 1e-6) FILTER (WHERE s.x >= u.x) AS a FROM u JOIN signals s ON s.sample_id = u.sample_id WHERE u.sample_id < 15 GROUP BY ALL)
+@query(f"""WITH {SIGNALS}, u AS (SELECT DISTINCT sample_id, x FROM signals UNION SELECT DISTINCT sample_id, x + 30 FROM signals), k AS (SELECT u.sample_id, u.x, arg_max(struct_pack(x := s.x, y := s.y), s.x * 1e3 + s.seq * 1e-6) FILTER (WHERE s.x <= u.x) AS b, arg_min(struct_pack(x := s.x, y := s.y), s.x * 1e3 + s.seq * 1e-6) FILTER (WHERE s.x >= u.x) AS a FROM u JOIN signals s ON s.sample_id = u.sample_id GROUP BY ALL)
 SELECT sample_id, round(x, 9) AS x, round(CASE WHEN b IS NULL THEN a.y WHEN a IS NULL THEN b.y WHEN a.x = b.x THEN b.y ELSE b.y + (a.y - b.y) * (x - b.x) / (a.x - b.x) END, 6) AS y FROM k""")
 def axis_union(spark, d):
-    s = signals(spark, d).filter("sample_id < 15")
+    s = signals(spark, d)
     u = s.select("sample_id", "x").union(s.select("sample_id", F.col("x") + 30)).distinct()
     grid = u.withColumn("i", F.row_number().over(Window.partitionBy("sample_id").orderBy("x")) - 1)
     return R.resampled(s, grid, ["sample_id"], clamp=True).select("sample_id", F.round("x", 9).alias("x"), *r6("y"))
@@ -186,14 +183,15 @@ def missing_anchors(spark, d):
     return p.join(p.filter("p_partkey < 10").select("anchor").distinct(), "anchor", "left_anti").groupBy("anchor").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PEAKS}, {RT_TABLE}, p AS (SELECT sample_id, peak_number, rt FROM peaks WHERE sample_id < 3000)
+@query(f"""WITH {PEAKS}, {RT_TABLE}, g AS (SELECT min(start) AS lo, max("end") AS hi, least(greatest(avg("end" - start), 0.05 * (max("end") - min(start))), 1.0) AS m FROM rt_table), p AS (SELECT sample_id, peak_number, rt FROM peaks),
+w AS (SELECT sample_id, peak_number, rt, arg_min(struct_pack(c := compound, s := start, e := "end"), (0.25 * abs(start - rt) + 0.5 * abs(apex - rt) + 0.25 * abs("end" - rt)) * 1e6 + seq) AS t FROM p LEFT JOIN rt_table ON (SELECT rt BETWEEN lo - m AND hi + m FROM g) GROUP BY ALL)
 SELECT 0::BIGINT AS mode, sample_id, peak_number, arg_min(compound, ("end" - start) * 1e6 + seq) AS compound FROM p LEFT JOIN rt_table ON rt BETWEEN start - 0.5 AND "end" + 0.5 GROUP BY ALL
-UNION ALL SELECT 1, sample_id, peak_number, arg_min(compound, abs(apex - rt) * 1e6 + seq) FROM p LEFT JOIN rt_table ON abs(apex - rt) <= 0.1 GROUP BY ALL UNION ALL SELECT 7, sample_id, peak_number, NULL FROM p""")
+UNION ALL SELECT 1, sample_id, peak_number, arg_min(compound, abs(apex - rt) * 1e6 + seq) FROM p LEFT JOIN rt_table ON abs(apex - rt) <= 0.1 GROUP BY ALL UNION ALL SELECT 2, sample_id, peak_number, CASE WHEN greatest(t.s - rt, rt - t.e, 0) <= 0.75 * (t.e - t.s) THEN t.c END FROM w UNION ALL SELECT 7, sample_id, peak_number, NULL FROM p""")
 def rt_match_dispatch(spark, d):
-    p = peaks(spark, d).filter("sample_id < 3000").select("sample_id", "peak_number", "rt")
+    p = peaks(spark, d).select("sample_id", "peak_number", "rt")
     t = rt_table(spark, d)
-    parts = [J.match(p, t, m, 0.1, 0.5).withColumn("mode", F.lit(m).cast("long")).select("mode", "sample_id", "peak_number", "compound") for m in (0, 1, 7)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [J.match(p, t, m, 0.1, 0.5).withColumn("mode", F.lit(m).cast("long")).select("mode", "sample_id", "peak_number", "compound") for m in (0, 1, 2, 7)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"""WITH {SIGNALS} SELECT sample_id, seq, round(-log10(greatest(y, 1) / 100), 6) AS absorbance FROM signals""")

@@ -21,7 +21,7 @@ def full_run(spark: SparkSession, d: str) -> DataFrame:
     rt = rt_table(spark, d).withColumns({c: F.col(c) * 800 for c in ("start", "apex", "end")})
     peaks = found.withColumn("rt", F.col("retention_time"))
     named = J.assign(J.match_window(peaks, rt).select("sample_id", "peak_number", "rt", "area", "compound_id", "compound"))
-    factors = table(spark, d, "part").filter("p_partkey < 40").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("cmp"), F.col("p_partkey").cast("string")).alias("compound"), F.col("p_retailprice").alias("response_factor"))
+    factors = rt.select("seq", "compound", (F.col("seq") + 1.5).alias("response_factor"))
     out = Q.by_response_factor(named.withColumn("compound", F.col("compound_id")), factors, ["sample_id"], "area_per_mass")
     return out.select("sample_id", "peak_number", F.round("rt", 6).alias("rt"), F.round("area", 6).alias("area"), "compound_id", "source", F.round("composition_percent", 6).alias("composition_percent"))
 
@@ -54,7 +54,7 @@ def geometric_split(spark, d):
 
 
 def emg_fit(spark, d):
-    return G.fit_emg(signals(spark, d).filter("seq < 40"))
+    return G.fit_emg(signals(spark, d))
 
 
 def tic_align(spark, d):
@@ -67,7 +67,7 @@ def gcxgc_peaks(spark, d):
 
 
 def _scans(spark, d):
-    s = spectra(spark, d).filter("mz <= 16")
+    s = spectra(spark, d)
     return s.select(F.col("label").cast("long").alias("sample_id"), F.col("id").cast("int").alias("scan"), (F.col("id") / 100).alias("rt"), F.col("mz").cast("int").alias("mz"), (F.col("intensity") * 1e5).alias("intensity"))
 
 
