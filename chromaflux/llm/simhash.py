@@ -7,6 +7,7 @@ chain: the segments that the budgets let differ are left out, the others must be
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, remove, rows_of, text_bytes, texts, written
+from .common import arrow_map, column, lean, remove, rows_of, text_bytes, texts, written
 
 SEED = 42
 #: Groups of distinct fingerprints up to this size compare their members; larger ones are split by further chains.
@@ -68,23 +69,15 @@ def chain_masks(segment: list[int], tau: int, length: int) -> list[int]:
     return list(dict.fromkeys(masks))
 
 
-def chains(tau: int, m: int, length: int) -> tuple[list[int], list[list[tuple[int, int]]]]:
-    """Key masks of all chains of ``length`` segments, and for each start the (mask, budget) of its first l segments."""
-    segment = parts(list(range(64)), m)
-    rings = [[(sum(segment[(start + k) % m] for k in range(i + 1)), (i + 1) * tau // m) for i in range(m)] for start in range(m)]
-    return chain_masks(segment, tau, length), rings
+def chains(tau: int, m: int, length: int) -> list[int]:
+    """Key masks of all chains of ``length`` of the ``m`` segments of a fingerprint."""
+    return chain_masks(parts(list(range(64)), m), tau, length)
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near(a: str, b: str, tau: int, rings: list[list[tuple[int, int]]]) -> str:
-    """SQL: whether some chain round the ring keeps all its budgets, and then whether the whole distance is at most ``tau``."""
-    ring = " or ".join("(" + " and ".join(f"bit_count(({a} ^ {b}) & {signed(mask)}L) <= {most}" for mask, most in r) + ")" for r in rings)
-    return f"({ring}) and bit_count({a} ^ {b}) <= {tau}"
-
-
 def shared(keyed: DataFrame) -> DataFrame:
     """``keyed`` (with ``key``) without keys that stand once, and with ``n``, how often each stands; written."""
     return written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
@@ -93,34 +86,39 @@ def shared(keyed: DataFrame) -> DataFrame:
 def links(fps: DataFrame, tau: int = 4, m: int = 9, length: int = 6) -> DataFrame:
     """Links (``a``, ``b``), a < b, whose components are those of all pairs of distinct ``fp`` within ``tau`` bits.
 
-    Every key sends a fingerprint to one group. Groups of up to ``SMALL`` return their links. In a larger group the bits
-    that its key leaves free form a ring of their own, whose chains split it again: a key then fixes twelve bits more,
-    so chance alone fills no group. What is still large is a crowd around one value: its fingerprints go to all values
-    within tau/2 bits; two of them share such a midpoint just if they are within ``tau``, so a link to the smallest at
-    each midpoint joins the same components without forming pairs.
+    Every key sends a fingerprint to one group: two meet in a key just if a chain of segments keeps its budgets. Groups of
+    up to ``SMALL`` compare their members in full. In a larger group the bits that its key leaves free form a ring of their
+    own, whose chains split it again: a key then fixes twelve bits more, so chance alone fills no group. What is still
+    large is a crowd around one value: its fingerprints go to all values within tau/2 bits; two of them share such a
+    midpoint just if they are within ``tau``, so a link to the smallest at each midpoint joins the same components without
+    forming pairs.
     """
-    masks, rings = chains(tau, m, length)
+    spark = fps.sparkSession
+    masks = chains(tau, m, length)
     further = [[mask | x for x in chain_masks(parts([i for i in range(64) if not mask >> i & 1], FURTHER), tau, FURTHER)] for mask in masks]
-    list_of = lambda xs: "array(" + ", ".join(f"{signed(x)}L" for x in xs) + ")"
-    first = lambda of, at: f"array_position(transform({of}, mask -> ((a ^ b) & mask) = 0), true) = {at} + 1"
-    own, sub = list_of(masks), f"element_at(array({', '.join(map(list_of, further))}), chain + 1)"
-
-    def paired(groups: DataFrame, once: str) -> DataFrame:
-        """Each link of the groups, from the first of its chains alone."""
-        lists = groups.groupBy("key").agg(F.min("chain").alias("chain"), F.min("sub").alias("sub"), F.sort_array(F.collect_list("fp")).alias("fps"))
-        pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, size(fps)), b -> {near('a', 'b', tau, rings)} and {once}), b -> struct(a, b))))"
-        return lists.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
-
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(masks)))
-    one = shared(fps.select("fp", F.posexplode(keys).alias("chain", "key")).withColumn("sub", F.lit(0)))
-    found = paired(one.filter(F.col("n") <= SMALL), first(own, "chain"))
+    own = spark.createDataFrame([([signed(x) for x in masks],)], "masks array<long>")
+    subs = spark.createDataFrame([(i, [signed(x) for x in xs]) for i, xs in enumerate(further)], "chain int, masks array<long>")
+
+    def paired(groups: DataFrame, place: str) -> DataFrame:
+        """Links of the groups whose first common mask of ``masks`` is that of the group, so that each is returned once."""
+        once = f"array_position(transform(masks, mask -> ((a ^ b) & mask) = 0), true) = {place} + 1"
+        pairs = f"flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, size(fps)), b -> bit_count(a ^ b) <= {tau} and {once}), b -> struct(a, b))))"
+        return groups.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.min("chain").alias("chain"), F.min("sub").alias("sub"), F.sort_array(F.collect_list("fp")).alias("fps"))
+
+    key = F.expr("posexplode(transform(masks, (mask, i) -> xxhash64(i, fp & mask))) as (chain, key)")
+    one = shared(fps.join(F.broadcast(own), F.lit(True)).select("fp", key).withColumn("sub", F.lit(0)))
+    found = paired(listed(one).join(F.broadcast(own), F.lit(True)), "chain")
     hot = one.filter(F.col("n") > SMALL)
     if hot.isEmpty():
-        return found.distinct()
-    again = hot.select("fp", "chain", F.col("key").alias("was"), F.posexplode(F.expr(sub)).alias("sub", "mask"))
+        return found
+    again = hot.join(F.broadcast(subs), "chain").select("fp", "chain", F.col("key").alias("was"), F.posexplode("masks").alias("sub", "mask"))
     two = shared(again.select("fp", "chain", "sub", F.xxhash64("was", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")))
-    found = found.unionByName(paired(two.filter(F.col("n") <= SMALL), f"{first(own, 'chain')} and {first(sub, 'sub')}"))
-    return found.unionByName(midpoint_links(two.filter(F.col("n") > SMALL).select("fp").distinct(), tau)).distinct()
+    found = found.unionByName(paired(listed(two).join(F.broadcast(subs), "chain"), "sub"))
+    crowd = two.filter(F.col("n") > SMALL).select("fp").distinct()
+    return (found if crowd.isEmpty() else found.unionByName(midpoint_links(crowd, tau))).distinct()
 
 
 def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
@@ -130,27 +128,54 @@ def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
     return at.select(least.alias("a"), F.col("fp").alias("b")).filter("a < b")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """The links (``u``, ``v``) of each task's share as stars: every node with the smallest that the share joins it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for batch in batches:
+            for a, b in zip(column(batch, "u").to_pylist(), column(batch, "v").to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        if pairs := [(x, top(x)) for x in list(parent) if parent[x] != x]:
+            yield rows_of(["u", "v"], list(map(list, zip(*pairs, strict=True))), [pa.int64()] * 2)
+
+    return edges.mapInArrow(lean(run), "u long, v long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of the nodes that have links; links are (a, b), a != b.
 
-    Large-star and small-star by turns until nothing changes; each round's links are written to the shared folder.
+    Each task first makes stars of its share of the links. Then large-star and small-star by turns until nothing changes;
+    each round's links are written to the shared folder, and those of the round before removed.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last = now_table = None
+
+    def mark(links: DataFrame):
+        return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    now = written(forest(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
+    last = mark(now)
     for _ in range(rounds):
+        was = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         now = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         joined = now.join(least, "u")
         now = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now, was = written(now), now_table
-        now_table = now
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = written(now)
+        new = mark(now)
         remove(was)
-        if mark == last:
+        if new == last:
             break
-        last = mark
+        last = new
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
