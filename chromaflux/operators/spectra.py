@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .joins import small
 from .signal import spread
+from .windows import dbscan_1d
 
 
 def tic(scans: DataFrame, on: list[str]) -> DataFrame:
@@ -56,9 +57,13 @@ def search(queries: DataFrame, library: DataFrame, n: int = 5, mass_power: float
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.0) -> DataFrame:
-    """Peaks of each ion's chromatogram, bounded at half height; ions that never reach ``height`` are left out first."""
-    strong = scans.withColumn("__m", F.max("intensity").over(Window.partitionBy("sample_id", "mz"))).filter(F.col("__m") >= height).drop("__m")
+def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.0, on: list[str] | None = None) -> DataFrame:
+    """Peaks of each ion's chromatogram, bounded at half height; ions that never reach ``height`` are left out first.
+
+    A chromatogram is one run's, or that of the keys ``on`` (whole numbers).
+    """
+    keys = [*(on or ["sample_id"]), "mz"]
+    strong = scans.withColumn("__m", F.max("intensity").over(Window.partitionBy(*keys))).filter(F.col("__m") >= height).drop("__m")
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("scan")
@@ -67,14 +72,14 @@ def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.
         _, left, right = K.widths(y, at, 0.5)
         a, b = np.floor(left).astype(int), np.minimum(np.ceil(right).astype(int), len(y) - 1)
         return pd.DataFrame({
-            "sample_id": p["sample_id"].iloc[0], "mz": p["mz"].iloc[0], "rt_apex": rt[at], "left": rt[a], "right": rt[b], "height": y[at],
+            **{k: p[k].iloc[0] for k in keys}, "rt_apex": rt[at], "left": rt[a], "right": rt[b], "height": y[at],
             "sharpness": [K.sharpness(rt, y, i, k, j) for i, k, j in zip(a, at, b, strict=True)],
             "shared": [K.is_shared(y[i : j + 1]) for i, j in zip(a, b, strict=True)],
-            "rts": [rt[i : j + 1] for i, j in zip(a, b, strict=True)], "ys": [y[i : j + 1] for i, j in zip(a, b, strict=True)],
+            "rts": pd.Series([rt[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object), "ys": pd.Series([y[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object),
         })
 
-    schema = "sample_id long, mz int, rt_apex double, left double, right double, height double, sharpness double, shared boolean, rts array<double>, ys array<double>"
-    return spread(strong, "sample_id", "mz").groupBy("sample_id", "mz").applyInPandas(one, schema)
+    schema = ", ".join(f"{k} long" for k in keys[:-1]) + ", mz int, rt_apex double, left double, right double, height double, sharpness double, shared boolean, rts array<double>, ys array<double>"
+    return spread(strong, *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def complete_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
@@ -95,73 +100,69 @@ def complete_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpness: float = 10.0, angle: float = 30.0) -> DataFrame:
+def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpness: float = 10.0, angle: float = 30.0, on: list[str] | None = None) -> DataFrame:
     """Components of each cluster of ion peaks: model peaks by shape, other ions shared out by non-negative least squares.
 
-    ``peaks`` is what :func:`ion_peaks` returns. A cluster without a fit candidate has its sharpest peak as model.
+    ``peaks`` is what :func:`ion_peaks` returns. Peaks are clustered by their times first (:func:`.windows.dbscan_1d`), and
+    a cluster is a group of its own, so a long run is many tasks. A cluster without a fit candidate has its sharpest peak as
+    model. Components are numbered by cluster.
     """
+    keys = on or ["sample_id"]
+    clustered = dbscan_1d(peaks, keys, "rt_apex", eps, least, "mz").filter("cluster is not null")
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["rt_apex", "mz"]).reset_index(drop=True)
+        good = own[(~own["shared"]) & (own["sharpness"] >= min_sharpness)]
+        if len(good) == 0:
+            models = own.loc[[own["sharpness"].idxmax()]]
+        else:
+            m = len(good)
+            rts, shapes = good["rts"].tolist(), [y / h for y, h in zip(good["ys"], good["height"], strict=True)]
+            dist = np.zeros((m, m))
+            for i in range(m):
+                for j in range(i):
+                    dist[i, j] = dist[j, i] = K.shape_angle(rts[i], shapes[i], rts[j], shapes[j])
+            label = complete_linkage(dist, angle)
+            models = good.loc[[good.index[label == s][np.argmax(good["sharpness"].to_numpy()[label == s])] for s in np.unique(label)]]
+        model_rt, model_x = models["rt_apex"].tolist(), models["rts"].tolist()
+        model_y = [y / h for y, h in zip(models["ys"], models["height"], strict=True)]
+        spectra: list[dict[int, float]] = [{} for _ in model_rt]
+        for q in own.itertuples():
+            inside = [i for i, t in enumerate(model_rt) if q.left <= t <= q.right]
+            if not inside:
+                continue
+            axis = np.unique(np.concatenate([q.rts, *(model_x[i] for i in inside)]))
+            a = np.stack([np.interp(axis, model_x[i], model_y[i], 0, 0) for i in inside], 1)
+            for i, v in zip(inside, K.nnls(a, np.interp(axis, q.rts, q.ys / q.height, 0, 0)), strict=True):
+                if v > 0:
+                    spectra[i][int(q.mz)] = spectra[i].get(int(q.mz), 0.0) + v * q.height
+        key = [own[k].iloc[0] for k in (*keys, "cluster")]
+        rows = [(*key, i, model_rt[i], int(models["mz"].iloc[i]), mz, v) for i, s in enumerate(spectra) for mz, v in sorted(s.items())]
+        return pd.DataFrame(rows, columns=[*keys, "cluster", "of_cluster", "rt", "model_mz", "mz", "intensity"])
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", cluster long, of_cluster int, rt double, model_mz int, mz int, intensity double"
+    found = spread(clustered, *keys, "cluster").groupBy(*keys, "cluster").applyInPandas(one, schema)
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cluster", "of_cluster")) - 1
+    return found.select(*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity")
+
+
+def assign_greedy(pairs: DataFrame, tolerance: float, on: list[str] | None = None) -> DataFrame:
+    """One-to-one, nearest first (then strongest component, then ids); pairs: sample_id (or ``on``), peak, component, distance, total."""
+    keys = on or ["sample_id"]
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["rt_apex", "mz"]).reset_index(drop=True)
-        rt = p["rt_apex"].to_numpy()
-        core = np.array([(np.abs(rt - r) <= eps).sum() >= least for r in rt])
-        label, current, last = np.full(len(rt), -1), -1, None
-        for i in np.nonzero(core)[0]:
-            if last is None or rt[i] - last > eps:
-                current += 1
-            label[i], last = current, rt[i]
-        for i in np.nonzero(~core)[0]:
-            near = [k for k in np.nonzero(core)[0] if abs(rt[k] - rt[i]) <= eps]
-            if near:
-                label[i] = label[near[0]]
-        rows, number = [], 0
-        for c in range(current + 1):
-            own = p[label == c]
-            good = own[(~own["shared"]) & (own["sharpness"] >= min_sharpness)]
-            if len(good) == 0:
-                models = own.loc[[own["sharpness"].idxmax()]]
-            else:
-                m = len(good)
-                dist = np.zeros((m, m))
-                for i in range(m):
-                    for j in range(i):
-                        a, b = good.iloc[i], good.iloc[j]
-                        dist[i, j] = dist[j, i] = K.shape_angle(a["rts"], a["ys"] / a["height"], b["rts"], b["ys"] / b["height"])
-                shapes = complete_linkage(dist, angle)
-                models = good.loc[[good.index[shapes == s][np.argmax(good["sharpness"].to_numpy()[shapes == s])] for s in np.unique(shapes)]]
-            spectra = [dict() for _ in range(len(models))]
-            for _, q in own.iterrows():
-                inside = [i for i in range(len(models)) if q["left"] <= models.iloc[i]["rt_apex"] <= q["right"]]
-                if not inside:
-                    continue
-                axis = np.unique(np.concatenate([q["rts"], *(models.iloc[i]["rts"] for i in inside)]))
-                a = np.stack([np.interp(axis, models.iloc[i]["rts"], models.iloc[i]["ys"] / models.iloc[i]["height"], 0, 0) for i in inside], 1)
-                x = K.nnls(a, np.interp(axis, q["rts"], q["ys"] / q["height"], 0, 0))
-                for i, v in zip(inside, x, strict=True):
-                    if v > 0:
-                        spectra[i][int(q["mz"])] = spectra[i].get(int(q["mz"]), 0.0) + v * q["height"]
-            for i, s in enumerate(spectra):
-                rows += [(p["sample_id"].iloc[0], number, models.iloc[i]["rt_apex"], int(models.iloc[i]["mz"]), mz, v) for mz, v in sorted(s.items())]
-                number += 1
-        return pd.DataFrame(rows, columns=["sample_id", "component", "rt", "model_mz", "mz", "intensity"])
-
-    return peaks.groupBy("sample_id").applyInPandas(one, "sample_id long, component int, rt double, model_mz int, mz int, intensity double")
-
-
-def assign_greedy(pairs: DataFrame, tolerance: float) -> DataFrame:
-    """One-to-one, nearest first (then strongest component, then ids); pairs: sample_id, peak, component, distance, total."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["distance"] <= tolerance].assign(weak=-p["total"]).sort_values(["distance", "weak", "peak", "component"])
+        p = p.assign(weak=-p["total"]).sort_values(["distance", "weak", "peak", "component"])
         used_p, used_c, rows = set(), set(), []
+        key = [p[k].iloc[0] for k in keys]
         for r in p.itertuples():
             if r.peak not in used_p and r.component not in used_c:
                 used_p.add(r.peak)
                 used_c.add(r.component)
-                rows.append((r.sample_id, r.peak, r.component, r.distance))
-        return pd.DataFrame(rows, columns=["sample_id", "peak", "component", "distance"])
+                rows.append((*key, r.peak, r.component, r.distance))
+        return pd.DataFrame(rows, columns=[*keys, "peak", "component", "distance"])
 
-    return spread(pairs, "sample_id").groupBy("sample_id").applyInPandas(one, "sample_id long, peak long, component long, distance double")
+    schema = ", ".join(f"{k} long" for k in keys) + ", peak long, component long, distance double"
+    return spread(pairs.filter(F.col("distance") <= tolerance), *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def match_optimal(truth: DataFrame, found: DataFrame, most: float) -> DataFrame:

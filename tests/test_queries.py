@@ -5,7 +5,7 @@ import math
 import pytest
 
 from chromaflux.plans import queries as relational
-from chromaflux.plans import queries_more  # noqa: F401
+from chromaflux.plans import queries_more, queries_spectra  # noqa: F401
 from chromaflux.plans import signal_queries
 
 SF = "/root/testdata/sf0.001"
@@ -43,9 +43,9 @@ def test_against_sql(spark, duck, name):
     assert ordered([tuple(plain(r[c]) for c in names) for r in df.collect()]) == ordered(want)
 
 
-@pytest.mark.parametrize("name", [n for n in signal_queries.QUERIES if n not in signal_queries.SQL])
-def test_signal_queries_run(spark, name):
-    assert signal_queries.QUERIES[name](spark, SF).count() > 0
+@pytest.mark.parametrize("name", [n for n in {**relational.QUERIES, **signal_queries.QUERIES} if n not in {**relational.SQL, **signal_queries.SQL}])
+def test_queries_without_sql_run(spark, name):
+    assert {**relational.QUERIES, **signal_queries.QUERIES}[name](spark, SF).count() > 0
 
 
 def test_entry_and_names():
