@@ -123,11 +123,12 @@ class Run:
         np.exp(exp, out=exp)  # states lie within 1 and weights are small: no overflow
         total = exp @ np.ones(exp.shape[1], np.float32)
         log -= np.log(total)
-        if learn:
-            exp /= total[:, None]
-            exp[row, of_class] -= 1
-            grad = {"class_w": hs.T @ exp, "class_b": np.ones(len(exp), np.float32) @ exp, "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        if learn:  # (exp / total - target): the narrow side is divided, not the wide one
+            exp[row, of_class] -= total
+            share = (1 / total)[:, None]
+            grad = {"class_w": (hs * share).T @ exp, "class_b": share[:, 0] @ exp, "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
             dh = exp @ p["class_w"].T
+            dh *= share
         ones = np.ones(PER_CLASS, np.float32)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a == b:
@@ -140,11 +141,11 @@ class Run:
             s = e @ ones
             log[a:b] -= np.log(s)
             if learn:
-                e /= s[:, None]
-                e[r, own] -= 1
-                np.matmul(h.T, e, out=grad["word_w"][k])
-                np.matmul(np.ones(b - a, np.float32), e, out=grad["word_b"][k])
-                dh[a:b] += e @ w.T
+                e[r, own] -= s
+                share = (1 / s)[:, None]
+                np.matmul((h * share).T, e, out=grad["word_w"][k])
+                np.matmul(share[:, 0], e, out=grad["word_b"][k])
+                dh[a:b] += (e @ w.T) * share
         back = np.empty_like(order)
         back[order] = row
         return (log[back], grad, dh[back]) if learn else (log[back], None, None)

@@ -22,6 +22,8 @@ from .common import column, documents, lean, remove, rows_of, text_bytes, texts,
 
 #: Words that are broadcast with their counts at most, outputs of the network (buckets included), passes of averaging.
 HEAD, OUTPUTS, ROUNDS = 1 << 18, 1024 + gru.PER_CLASS, 2
+#: Tokens that a text is trained on in one go: the state begins anew in each piece of a longer one (scores carry it to the end).
+SEGMENT = 4096
 #: Bytes of text in a part; a longer text is a part of its own.
 PART = 4 << 20
 END = b""
@@ -177,7 +179,8 @@ def trained(of_parts: DataFrame, known, unigram: np.ndarray) -> dict[str, np.nda
                 for i in range(batch.num_rows):
                     part = batch.slice(i, 1).to_pylist()[0]
                     _, outputs, _, ends = of_part(part, v)
-                    many += [x for x, t in zip(np.split(outputs, ends[:-1]), part["turns"], strict=True) if t == turn]
+                    own = [x for x, t in zip(np.split(outputs, ends[:-1]), part["turns"], strict=True) if t == turn]
+                    many += [x[k : k + SEGMENT] for x in own for k in range(0, len(x), SEGMENT)]
                     if sum(map(len, many)) > 1 << 21:
                         learner.learn(many)
                         many = []
@@ -215,22 +218,34 @@ def scored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         room = float(np.log10(v.total + v.distinct + 1))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1).to_pylist()[0]
-                local, outputs, at, ends = of_part(part, v)
+
+        def out(held: list[dict]) -> Iterator[pa.RecordBatch]:
+            """Parts whose texts go through the network together: the longest of them holds up the others less."""
+            read = [of_part(part, v) for part in held]
+            scores = np.split(gru.score(model.value, [x for _, outputs, _, ends in read for x in np.split(outputs, ends[:-1])]), np.cumsum([len(p["sizes"]) for p in held])[:-1])
+            for part, (local, outputs, at, ends), score in zip(held, read, scores, strict=True):
                 begins, sizes = ends - part["sizes"], np.array(part["sizes"])
                 value = v.log[at]
                 tail = outputs - v.first_bucket
                 inside = np.where(tail >= 0, value + v.within[np.maximum(tail, 0)], 0.0)
-                score = gru.score(model.value, np.split(outputs, ends[:-1])) + np.add.reduceat(inside, begins)
                 rare = np.nonzero(at < 0)[0]
                 keys, times = np.unique((np.searchsorted(ends, rare, side="right") << 32) + local[rare], return_counts=True)
                 cuts = np.searchsorted(keys >> 32, np.arange(len(ends) + 1)).tolist()
                 word = [part["words"][k] for k in (keys & 0xFFFFFFFF).tolist()]
                 lists = [[x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (word, times)]
                 base = np.add.reduceat(value, begins) - room * sizes
-                yield rows_of(names, [part["rows"], part["doc_ids"], np.array(part["turns"]) < 0, sizes, np.add.reduceat((at >= 0).astype(np.int64), begins), base, score, *lists], types)
+                known_ = np.add.reduceat((at >= 0).astype(np.int64), begins)
+                yield rows_of(names, [part["rows"], part["doc_ids"], np.array(part["turns"]) < 0, sizes, known_, base, score + np.add.reduceat(inside, begins), *lists], types)
+
+        held: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(batch.slice(i, 1).to_pylist()[0])
+                if sum(len(p["tokens"]) for p in held) > 1 << 23:  # four bytes a token
+                    yield from out(held)
+                    held = []
+        if held:
+            yield from out(held)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word array<binary>, times array<int>"
     first = written(every.mapInArrow(lean(run), schema))
