@@ -157,3 +157,29 @@ def sheet_name(raw: Column) -> Column:
     """A name a spreadsheet accepts: forbidden characters go, at most 31 stay, blank is ``Sheet``."""
     clean = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\[\]:*?/\\]", ""))
     return F.when(clean == "", "Sheet").otherwise(F.substring(clean, 1, 31))
+
+
+def timestamp_formatted(text: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time in another format; text that is no time passes as it is."""
+    return F.coalesce(F.date_format(timestamp_parsed(text), form), text)
+
+
+#: Fields a peak's record always has; others only where they are not null.
+RECORD_FIELDS = ("compound_id", "peak_number", "retention_time", "integrator", "width", "area", "start_time", "end_time", "is_shoulder", "is_negative", "is_convoluted", "quality_issues")
+
+
+def peak_record(columns: list[str]) -> Column:
+    """A peak as JSON, optional fields only where they are not null; what must be there is there as null at least."""
+    fixed = [c for c in RECORD_FIELDS if c in columns]
+    always, some = F.to_json(F.struct(*fixed), {"ignoreNullFields": "false"}), F.to_json(F.struct(*(c for c in columns if c not in fixed)), {"ignoreNullFields": "true"})
+    return F.when(some == "{}", always).otherwise(F.concat(F.regexp_replace(always, r"\}$", ","), F.substring(some, 2, 1 << 30))) if len(fixed) < len(columns) else always
+
+
+def peak_from_record(record: Column, schema: str) -> Column:
+    """The peak of a record; fields that it lacks are null."""
+    return F.from_json(record, schema)
+
+
+def apex_distance(least: Column, width: Column, share: float = 0.03, pixels: int = 256) -> Column:
+    """Least distance of apexes in pixels of a window: ``least`` or ``share`` of time, whichever is more."""
+    return F.greatest(least, F.ceil(F.lit(share) / width * pixels))

@@ -203,7 +203,7 @@ def reweighted_many(many: list[Array], method: str, lam: float, p: float = 0.01,
             new = 1 / (1 + np.exp(np.clip(2 * (d - (2 * spread - mean)) / spread, -500, 500)))
         else:
             total = (np.abs(d) * below).sum(1, keepdims=True)
-            stop = total[:, 0] < tolerance * np.abs(y[left]).sum(1)
+            stop = total[:, 0] <= tolerance * np.abs(y[left]).sum(1)
             total[stop] = 1.0
             new = np.where(below, np.exp(np.minimum(turn * np.abs(d) / total, 500)), 0.0)
             edge = np.exp(np.minimum(turn * (np.abs(d) * below).max(1) / total[:, 0], 500))
@@ -330,7 +330,7 @@ def baseline(y: Array, method: str = "arpls", lam: float = 1e4, p: float = 0.01,
                 new = 1 / (1 + np.exp(np.clip(2 * (d - (2 * s - m)) / s, -500, 500)))
             else:
                 total = np.abs(d[d < 0]).sum()
-                if total < tolerance * np.abs(y).sum():
+                if total <= tolerance * np.abs(y).sum():
                     break
                 new = np.where(d >= 0, 0.0, np.exp(np.minimum(turn * np.abs(d) / total, 500)))
                 new[0] = new[-1] = np.exp(min(turn * (np.abs(d[d < 0]).max() / total), 500))

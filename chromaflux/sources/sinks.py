@@ -44,3 +44,49 @@ def updated_ids(peaks: DataFrame, ids: DataFrame) -> DataFrame:
     diff = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("compound_id"))
     changed = F.max(diff).over(Window.partitionBy("sample_id"))
     return j.withColumn("changed", changed).withColumn("compound_id", F.coalesce("__new", "compound_id")).drop("__new").select(*peaks.columns, "changed")
+
+
+def container_results(features: DataFrame, manifest: DataFrame, path: str) -> None:
+    """``features.json`` (manifest, parameters and features of each run as one line) and ``features.csv`` (all columns; left out where there are no rows)."""
+    rows = features.groupBy("sample_id").agg(F.collect_list(F.struct(*(c for c in features.columns if c != "sample_id"))).alias("features"))
+    manifest.join(rows, "sample_id", "left").write.mode("overwrite").option("ignoreNullFields", True).json(f"{path}/features.json")
+    if not features.isEmpty():
+        flat(features, f"{path}/features.csv")
+
+
+def aligned(resampled: DataFrame, channels: list[str]) -> DataFrame:
+    """One row a place of the common grid (sample_id, i, x) and a column for each channel; NaN and missing are null. resampled: sample_id, i, x, channel, y."""
+    return resampled.groupBy("sample_id", "i", "x").pivot("channel", channels).agg(F.first(F.when(~F.isnan("y"), F.col("y"))))
+
+
+def rt_table(windows: DataFrame, path: str, as_json: bool = False) -> None:
+    """Windows of a method as a delimited table (Compound, Start, Apex, End) or as one document with ``compounds``."""
+    if as_json:
+        entry = F.struct("seq", "compound", "start", "apex", "end")
+        windows.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda c: c.dropFields("seq")).alias("compounds")).coalesce(1).write.mode("overwrite").json(path)  # a method's table, small by nature
+        return
+    named = windows.orderBy("seq").select(F.col("compound").alias("Compound"), F.col("start").alias("Start"), F.col("apex").alias("Apex"), F.col("end").alias("End"))
+    named.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def sidecar(entries: DataFrame, path: str, key: str) -> None:
+    """Entries as documents keyed by ``key``, what :func:`.tables.offsets` and :func:`.tables.overrides` read: one for each task, keys stay apart."""
+    rest = F.struct(*(c for c in entries.columns if c != key))
+    entries.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(rest)), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def export(peaks: DataFrame, path: str, form: str = "json") -> None:
+    """Peaks as result documents, delimited text or a table, by name; another form raises."""
+    if form == "json":
+        documents(peaks, path, ["sample_id"])
+    elif form == "csv":
+        flat(peaks, path)
+    elif form == "parquet":
+        peaks.write.mode("overwrite").partitionBy("sample_id").parquet(path) if peaks.select("sample_id").distinct().limit(1001).count() <= 1000 else peaks.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"unknown form {form}")
+
+
+def library_table(library: DataFrame, path: str) -> None:
+    """A compound library as delimited text, in the columns that :func:`.tables.compounds` reads."""
+    library.select("compound", "cas", "group1", "group2", "group3", "c", "h", "o", "s", "n", "anchor").write.mode("overwrite").option("header", True).csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -150,3 +150,74 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,struct<compound_name:string,spectrum:array<struct<mz:double,intensity:double>>>>"))).alias("seq", "e"))
     return entries.select("seq", F.col("e.key").try_cast("double").alias("override_rt"), F.col("e.value.compound_name").alias("compound"), F.col("e.value.spectrum").alias("spectrum")).filter("override_rt is not null")
+
+
+LIBRARY_ITEM = "struct<casno:string,formula:string,mw:double,mz:array<double>,intensity:array<double>>"
+
+
+def spectral_library(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+    """A spectral library: id, name, casno, formula, mw, mz, intensity (long). ``cache``, where it is there, is read instead (Parquet)."""
+    if cache:
+        files = spark._jvm.org.apache.hadoop.fs.Path(cache)
+        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            return spark.read.parquet(cache)
+    raw = spark.read.text(path, wholetext=True)
+    entries = raw.select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{LIBRARY_ITEM}>"))).alias("id", "e"))
+    named = entries.select(F.col("id").cast("long").alias("id"), F.col("e.key").alias("name"), "e.value.*")
+    ions = named.select("id", "name", "casno", "formula", "mw", F.inline(F.arrays_zip("mz", "intensity")))
+    return ions.filter("mz is not null and intensity is not null")
+
+
+def batch_results(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Peaks of one result document for each sample id; a document without peaks has one row of nulls."""
+    name = F.create_map(*(x for k, p in paths.items() for x in (F.lit(p.rpartition("/")[2]), F.lit(k))))
+    docs = spark.read.option("multiLine", True).schema(RESULT).json(list(paths.values())).withColumn("__file", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)))
+    return docs.select(name[F.col("__file")].alias("sample_id"), "detector", F.explode_outer("peaks").alias("p")).select("sample_id", "detector", "p.*")
+
+
+#: fixed values: keys of a container's manifest that a result carries
+MANIFEST_KEYS = ("sample_id", "timestamp", "method", "notebook", "detector")
+
+
+def containers(spark: SparkSession, path: str) -> DataFrame:
+    """Sample containers under ``path``: folder, signal_type, source_format, csv_columns and the metadata keys, missing ones empty.
+
+    A manifest without a signal type raises.
+    """
+    schema = "signal_type string, source_format string, csv_columns map<string,string>, " + ", ".join(f"{k} string" for k in MANIFEST_KEYS)
+    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").schema(schema).json(path)
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1).alias("folder"), "signal_type", "source_format", "csv_columns", *(F.coalesce(k, F.lit("")).alias(k) for k in MANIFEST_KEYS))
+    _refuse(rows.select("folder", "signal_type"), F.col("signal_type").isNull(), "manifests without a signal type")
+    return rows
+
+
+def run_metadata(runs: DataFrame, fallback: str = "") -> DataFrame:
+    """timestamp, method and notebook of each run (sample_id, detector_metadata, directory_metadata: maps): detector's, then directory's, then a default."""
+    pick = lambda key, last: F.coalesce(F.col("detector_metadata")[key], F.col("directory_metadata")[key], last).alias(key)
+    return runs.select("sample_id", pick("timestamp", F.lit(fallback)), pick("method", F.lit("Unknown")), pick("notebook", F.col("sample_id")))
+
+
+def siblings(runs: DataFrame) -> DataFrame:
+    """``runs`` (path) with their ``parent``, ``place`` among the runs of that folder (from 0) and how many there are."""
+    parent = F.regexp_extract("path", "^(.*?)/?[^/]+/?$", 1)
+    w = Window.partitionBy("parent")
+    held = runs.withColumn("parent", parent)
+    return held.withColumn("place", F.row_number().over(w.orderBy("path")) - 1).withColumn("siblings", F.count("*").over(w))
+
+
+def file_groups(files: DataFrame) -> DataFrame:
+    """Groups of files (path) of two-dimensional runs: by the name of an ``.rsd`` file those that begin with it, where an ``.dbc.lsc`` is among them.
+
+    Files meet names by folder and by each of their own beginnings, so no pair of other files is formed.
+    """
+    named = files.select("path", F.regexp_extract("path", "^(.*?)/?[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    stems = named.filter("name like '%.rsd'").select("folder", F.expr("substring(name, 1, length(name) - 4)").alias("stem"))
+    ahead = named.select("path", "folder", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("stem"))
+    grouped = ahead.join(stems, ["folder", "stem"]).groupBy("folder", "stem").agg(F.sort_array(F.collect_set("path")).alias("files"), F.bool_or(F.col("name").endswith(".dbc.lsc")).alias("__both"))
+    return grouped.filter("__both").drop("__both")
+
+
+def export_signals(samples: DataFrame, runs: DataFrame, channels: list[str]) -> DataFrame:
+    """Samples of the asked channels with the run's ``title``: notebook of the detector, then of the directory, then its name, then its folder."""
+    title = F.coalesce(F.col("detector_metadata")["notebook"], F.col("directory_metadata")["notebook"], "name", F.regexp_extract("path", "([^/]+?)/*$", 1))
+    return samples.filter(F.col("channel").isin(channels)).join(runs.select("sample_id", title.alias("title")), "sample_id", "left")
