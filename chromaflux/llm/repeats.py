@@ -177,14 +177,19 @@ def settle(group: list[tuple[int, int, int, int, bytes, bytes]]) -> list[tuple[i
     """(ord, first, last start) of windows that an earlier member of the group has too.
 
     A member is (ord, place, first, last start, bytes from the anchor on, bytes before it turned round). Members share the
-    anchor's string. After sorting by what follows, two members share the least of the neighbouring common prefixes.
+    anchor's string, so the suffixes behind it are sorted. Two members share the least of the common prefixes of the
+    neighbours from one to the other; as that only falls, a member looks no further than its own windows reach.
     """
-    order = deep_shallow([x[4] for x in group])
+    behind = [x[4][GRAM:] for x in group]
+    order = deep_shallow(behind)
+    prefix = [common(behind[a], behind[b]) for a, b in zip(order, order[1:], strict=False)]
     out = []
     for k, i in enumerate(order):
-        right, before = len(group[i][4]), i
-        for m in order[k + 1 :]:
-            right, before = min(right, common(group[before][4], group[m][4])), m
+        right = len(group[i][4])
+        for n, m in enumerate(order[k + 1 :], k):
+            right = min(right, GRAM + prefix[n])
+            if right + len(group[i][5]) < LENGTH:
+                break
             a, b = sorted((group[i], group[m]), key=lambda x: x[:2])
             first, last = max(b[2], b[1] - common(a[5], b[5])), min(b[3], b[1] + right - LENGTH)  # starts that both sides cover
             if first <= last:

@@ -335,6 +335,28 @@ def test_deep_shallow_sorts():
     assert [strings[i] for i in repeats.deep_shallow(strings)] == sorted(strings)
 
 
+def test_suffixes_of_a_group_are_split_by_the_quicksort(monkeypatch):
+    r = random.Random(8)
+    shared = bytes(r.choice(b"abcdef") for _ in range(repeats.GRAM))
+    tails = [bytes(r.choice(b"ab") for _ in range(100)) for _ in range(6)]
+    group = [(i, 10, 0, 60, shared + tails[i % 6], b"x" * 10) for i in range(24)]
+    tries = []
+
+    class Counted(repeats.BlindTrie):
+        def __init__(self, strings):
+            tries.append(0)
+            super().__init__(strings)
+
+        def insert(self, i):
+            tries[-1] += 1
+            super().insert(i)
+
+    monkeypatch.setattr(repeats, "BlindTrie", Counted)
+    found = repeats.settle(group)
+    assert tries == [4] * 6  # each trie has the copies of one tail
+    assert {o for o, _, _ in found} == set(range(6, 24))
+
+
 # --- op6 --------------------------------------------------------------------------------------------------------------
 
 
