@@ -119,7 +119,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     both = F.array(F.struct(at.cast("int").alias("bucket"), F.lit(False).alias("extra")), F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("extra")))
     dealt = own.select("doc_id", "text", F.explode(F.filter(both, lambda x: x["bucket"].isNotNull())).alias("to"))
     order = [F.col("bucket"), F.col("extra"), F.col("doc_id").desc_nulls_last(), F.col("text")]
-    return dealt.select("doc_id", "text", "to.*").repartition(max(1, len(bounds)), "bucket").sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text", "to.*").repartitionById(max(1, len(bounds)), F.col("bucket")).sortWithinPartitions(*order)
 
 
 def edited(text: str, following: str) -> str:
