@@ -10,7 +10,7 @@ from ..operators import quant as Q
 from ..operators import signal as G
 from ..operators import spectra as M
 from ..operators import windows as W
-from .adapters import rt_table, signals, spectra, table
+from .adapters import SIGNALS, rt_table, signals, spectra, table
 
 METHOD = G.Method(lam=1e3, min_prominence=0.2)
 
@@ -100,9 +100,34 @@ def stream_ingest(spark, d):
     return ingest_once(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
 
+RAW = G.Method(baseline=None, min_prominence=0.2)
+
+
+def raw_peaks(spark, d):
+    """Apexes of the signals as they are, by prominence."""
+    s = signals(spark, d)
+    return G.detect(s.select("sample_id", "seq", "x", F.col("y").alias("original_y"), F.col("y").alias("smoothed_y"), F.lit(0.0).alias("baseline_y"), F.col("y").alias("corrected_y")), RAW).select("sample_id", "seq", F.round("y", 6).alias("y"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
+    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
 } | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
-SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"}
+#: A strict maximum's prominence: its height over the higher of the two lowest values up to the next higher ones.
+RAW_SQL = f"""WITH {SIGNALS}, b AS (SELECT *, lag(y) OVER w AS py, lead(y) OVER w AS ny, max(y) OVER (PARTITION BY sample_id) - min(y) OVER (PARTITION BY sample_id) AS span FROM signals WINDOW w AS (PARTITION BY sample_id ORDER BY seq)),
+a AS (SELECT sample_id, seq, y, span FROM b WHERE y > py AND y > ny),
+h AS (SELECT a.sample_id, a.seq, max(s.seq) FILTER (WHERE s.seq < a.seq AND s.y > a.y) AS lo, min(s.seq) FILTER (WHERE s.seq > a.seq AND s.y > a.y) AS hi FROM a JOIN signals s ON s.sample_id = a.sample_id GROUP BY ALL),
+m AS (SELECT a.sample_id, a.seq, any_value(a.y) AS y, any_value(span) AS span, min(s.y) FILTER (WHERE s.seq <= a.seq AND s.seq >= coalesce(lo, -1)) AS l, min(s.y) FILTER (WHERE s.seq >= a.seq AND s.seq <= coalesce(hi, 1000000000)) AS r FROM a JOIN h USING (sample_id, seq) JOIN signals s ON s.sample_id = a.sample_id GROUP BY ALL)
+SELECT sample_id, seq, round(y, 6) AS y FROM m WHERE y - greatest(l, r) >= 0.2 * span"""
+
+#: The pairs in order, each taken if neither side is taken yet.
+GREEDY_SQL = f"""WITH RECURSIVE {SIGNALS}, b AS (SELECT *, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM signals WINDOW w AS (PARTITION BY sample_id ORDER BY seq)),
+pairs AS (SELECT a.sample_id, a.seq AS peak, c.seq AS component, abs(a.seq - c.seq)::DOUBLE AS distance, c.y AS total FROM b a JOIN signals c ON c.sample_id = a.sample_id AND c.seq % 6 = 0 AND abs(a.seq - c.seq) <= 3 WHERE a.y > a.py AND a.y > a.ny AND a.y > 40),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY distance, total DESC, peak, component) AS k FROM pairs),
+r AS (SELECT DISTINCT sample_id, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS cs FROM ranked
+UNION ALL SELECT r.sample_id, n.k, CASE WHEN list_contains(ps, peak) OR list_contains(cs, component) THEN ps ELSE list_append(ps, peak) END, CASE WHEN list_contains(ps, peak) OR list_contains(cs, component) THEN cs ELSE list_append(cs, component) END FROM r JOIN ranked n ON n.sample_id = r.sample_id AND n.k = r.k + 1),
+f AS (SELECT sample_id, arg_max(ps, k) AS ps, arg_max(cs, k) AS cs FROM r GROUP BY 1), u AS (SELECT sample_id, unnest(ps) AS peak, unnest(cs) AS component FROM f)
+SELECT sample_id, peak, component, abs(peak - component)::DOUBLE AS distance FROM u"""
+
+SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL}
