@@ -183,3 +183,8 @@ def peak_from_record(record: Column, schema: str) -> Column:
 def apex_distance(least: Column, width: Column, share: float = 0.03, pixels: int = 256) -> Column:
     """Least distance of apexes in pixels of a window: ``least`` or ``share`` of time, whichever is more."""
     return F.greatest(least, F.ceil(F.lit(share) / width * pixels))
+
+
+def absorbance(transmittance: Column) -> Column:
+    """Absorbance of a transmittance in percent, which counts as 1 at least."""
+    return -F.log10(F.greatest(transmittance, F.lit(1.0)) / 100)

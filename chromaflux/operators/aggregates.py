@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import small
-
 from .windows import over
 
 
@@ -135,3 +134,22 @@ def detection_report(pairs: DataFrame, truth: Column, predicted: Column) -> Data
         hit.alias("hits"), miss.alias("misses"), false.alias("phantoms"),
         F.try_divide(hit, hit + false).alias("precision"), F.try_divide(hit, hit + miss).alias("recall"), F.try_divide(2 * hit, 2 * hit + miss + false).alias("f1"),
     )
+
+
+def search_summary(rows: DataFrame, on: list[str], matched: Column, saturated: Column) -> DataFrame:
+    """How many rows there are, how many matched and how many were saturated."""
+    return rows.groupBy(*on).agg(F.count("*").alias("total"), F.count_if(matched).alias("matched"), F.count_if(saturated).alias("saturated"))
+
+
+def timing_report(rows: DataFrame, on: list[str], seconds: Column, optional: Column) -> DataFrame:
+    """Files and mean seconds; the mean of an optional stage is over the files that went through it (not null)."""
+    return rows.groupBy(*on).agg(F.count("*").alias("files"), F.avg(seconds).alias("mean_s"), F.avg(optional).alias("mean_optional_s"))
+
+
+def skewness(rows: DataFrame, on: list[str], value: str) -> DataFrame:
+    return rows.groupBy(*on).agg(F.skewness(value).alias("skew"))
+
+
+def highest(rows: DataFrame, on: list[str], value: str, least: float) -> DataFrame:
+    """Keys that reach ``least``, with their ``highest`` value."""
+    return rows.groupBy(*on).agg(F.max(value).alias("highest")).filter(F.col("highest") >= least)

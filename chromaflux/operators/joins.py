@@ -153,11 +153,17 @@ def library_lookup(peaks: DataFrame, library: DataFrame, record: list[str]) -> D
     return out.select(*peaks.columns, *(found[c].alias(f"lib_{c}") for c in record), found.isNotNull().alias("matched"))
 
 
+def missing_anchors(library: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Anchors that the library names and the calibration lacks, and how often."""
+    named = library.filter("trim(coalesce(anchor, '')) <> ''")
+    return named.join(anchors.select("anchor").distinct(), "anchor", "left_anti").groupBy("anchor").agg(F.count("*").alias("n"))
+
+
 def require_anchors(library: DataFrame, anchors: DataFrame) -> None:
     """Raises, with counts, if the library names anchors that the calibration lacks."""
-    missing = library.filter("trim(coalesce(anchor, '')) <> ''").join(anchors.select("anchor").distinct(), "anchor", "left_anti").groupBy("anchor").count().orderBy("anchor").limit(21).collect()
+    missing = missing_anchors(library, anchors).orderBy("anchor").limit(21).collect()
     if missing:
-        raise ValueError("anchors without calibration: " + ", ".join(f"{r['anchor']} ({r['count']})" for r in missing[:20]) + (" ..." if len(missing) > 20 else ""))
+        raise ValueError("anchors without calibration: " + ", ".join(f"{r['anchor']} ({r['n']})" for r in missing[:20]) + (" ..." if len(missing) > 20 else ""))
 
 
 def deduplicated_lookup(rows: DataFrame, table: DataFrame, key: str, seq: str, values: list[str], how: str = "left") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,28 @@ def in_ranges(peaks: DataFrame, ranges: list[tuple[float, ...]], at: str = "rt")
 def median_area_filter(peaks: DataFrame, on: list[str], fraction: float) -> DataFrame:
     middle = peaks.groupBy(*on).agg(F.median("area").alias("__m"))
     return peaks.join(middle, on).filter(F.col("area") >= fraction * F.col("__m")).drop("__m")
+
+
+def shifted(rows: DataFrame, offset: float, x: str = "x") -> DataFrame:
+    """The axis moved; a positive offset is later."""
+    return rows.withColumn(x, F.col(x) + offset)
+
+
+def axis_segments(samples: DataFrame, on: list[str], breaks: list[float], least: int = 10, x: str = "x") -> DataFrame:
+    """Pieces of the axis between ``breaks``: number of samples, whether they are enough to be fitted, first and last of them."""
+    at = F.size(F.filter(F.array(*(F.lit(float(b)) for b in sorted(breaks))), lambda b: b <= F.col(x))) if breaks else F.lit(0)
+    return samples.groupBy(*on, at.cast("long").alias("segment")).agg(F.count("*").alias("n"), (F.count("*") >= least).alias("fitted"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def positive_above(rows: DataFrame, on: list[str], value: str, fraction: float) -> DataFrame:
+    """Values above zero and above ``fraction`` of their key's highest, which counts as 1 where it is not positive."""
+    top = F.max(value).over(Window.partitionBy(*on))
+    held = rows.withColumn("__top", top)
+    return held.filter((F.col(value) > 0) & (F.col(value) > fraction * F.when(F.col("__top") <= 0, 1.0).otherwise(F.col("__top")))).drop("__top")
+
+
+def report_fields(peaks: DataFrame, factor: Column, issues: Column) -> DataFrame:
+    """A report's peaks: scaled absolute area, retention time to four places, issues as text."""
+    from ..functions.scalars import scaled_area
+
+    return peaks.withColumn("area", scaled_area(F.col("area"), factor)).withColumn("rt", F.round("rt", 4)).withColumn("quality", F.concat_ws(", ", issues))

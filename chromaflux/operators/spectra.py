@@ -230,3 +230,28 @@ def peaks_2d(plane: DataFrame, tolerance: int = 2, least: int = 2, prominence: f
 
     schema = "sample_id long, mod_centre double, apex_scan double, volume double, n_sub_peaks int, mod_start int, mod_end int, apex_mod int, number int"
     return spread(plane, "sample_id").groupBy("sample_id").applyInPandas(one, schema)
+
+
+def volumes(plane: DataFrame, on: list[str]) -> DataFrame:
+    """Volume (trapezoids within each modulation), intensity-weighted modulation and highest sample of each key; plane: mod, seq, y."""
+    strip = (F.col("y") + F.lag("y").over(Window.partitionBy(*on, "mod").orderBy("seq"))) / 2
+    held = plane.withColumn("__strip", strip)
+    return held.groupBy(*on).agg(F.sum("__strip").alias("volume"), F.try_divide(F.sum(F.col("mod") * F.col("y")), F.sum("y")).alias("mod_centre"), F.max_by("seq", F.struct("y", -F.col("seq"))).alias("apex"))
+
+
+def saturation(scans: DataFrame, on: list[str], scan: str, limit: float) -> DataFrame:
+    """First scan whose highest ion reaches ``limit``, the last scan before it, and the highest level."""
+    tops = scans.groupBy(*on, scan).agg(F.max("intensity").alias("__top"))
+    first = tops.groupBy(*on).agg(F.min(F.when(F.col("__top") >= limit, F.col(scan))).alias("first_saturated"))
+    return tops.join(first, on).groupBy(*on, "first_saturated").agg(F.max(F.when(F.col(scan) < F.col("first_saturated"), F.col(scan))).alias("use_scan"), F.max("__top").alias("level"))
+
+
+def current_totals(scans: DataFrame, scan: str, trace: list[str]) -> DataFrame:
+    """Total current of each scan as it is, corrected and of the baseline, which is the lowest value of each ion's trace."""
+    held = scans.withColumn("__base", F.min("intensity").over(Window.partitionBy(*trace)))
+    return held.groupBy(scan).agg(F.sum("intensity").alias("original"), F.sum(F.greatest(F.col("intensity") - F.col("__base"), F.lit(0.0))).alias("corrected"), F.sum("__base").alias("baseline"))
+
+
+def ions_above(scans: DataFrame, on: list[str], least: float) -> DataFrame:
+    """Distinct ions that reach ``least`` in some scan of their key."""
+    return scans.filter(F.col("intensity") >= least).select(*on, "mz").distinct()

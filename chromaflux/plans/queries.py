@@ -337,7 +337,7 @@ def noise_floor(spark, d):
 
 @query(f"""WITH {SIGNALS}, m AS (SELECT sample_id, avg(y) AS m FROM signals GROUP BY 1) SELECT sample_id, round(avg((y - m) ** 3) / avg((y - m) ** 2) ** 1.5, 6) AS skew FROM signals JOIN m USING (sample_id) GROUP BY 1""")
 def peak_skew(spark, d):
-    return signals(spark, d).groupBy("sample_id").agg(F.round(F.skewness("y"), 6).alias("skew"))
+    return A.skewness(signals(spark, d), ["sample_id"], "y").select("sample_id", *r6("skew"))
 
 
 @query(f"""WITH {SPECTRA}, s AS (SELECT * FROM spectra), p AS (SELECT a.label, a.mz AS i, b.mz AS j, corr(a.intensity, b.intensity) AS r FROM s a JOIN s b ON a.id = b.id AND a.label = b.label AND a.mz < b.mz GROUP BY ALL)
@@ -378,7 +378,8 @@ def eval_report(spark, d):
 
 @query("""SELECT user_id, count(*) AS files, round(avg(value), 6) AS mean_s, round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS mean_optional_s FROM events GROUP BY 1""")
 def timing_report(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("files"), F.round(F.avg("value"), 6).alias("mean_s"), F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("mean_optional_s"))
+    found = A.timing_report(table(spark, d, "events"), ["user_id"], F.col("value"), F.when(F.col("event_type") == "click", F.col("value")))
+    return found.select("user_id", "files", *r6("mean_s", "mean_optional_s"))
 
 
 # --- spectra ----------------------------------------------------------------------------------------------------------
@@ -429,12 +430,12 @@ def best_hit_2d(spark, d):
 
 @query("""SELECT DISTINCT label, i AS mz FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) WHERE abs(embedding[i]) >= 0.3""")
 def distinct_mz(spark, d):
-    return spectra(spark, d).filter("intensity >= 0.30000001192092896").select("label", F.col("mz").cast("long").alias("mz")).distinct()
+    return M.ions_above(spectra(spark, d).withColumn("mz", F.col("mz").cast("long")), ["label"], 0.30000001192092896)
 
 
 @query(f"""WITH {SPECTRA} SELECT label, mz, round(max(intensity), 6) AS highest FROM spectra GROUP BY ALL HAVING max(intensity) >= 0.25""")
 def having_max(spark, d):
-    return spectra(spark, d).groupBy("label", F.col("mz").cast("long").alias("mz")).agg(F.max("intensity").alias("highest")).filter("highest >= 0.25").select("label", "mz", *r6("highest"))
+    return A.highest(spectra(spark, d).withColumn("mz", F.col("mz").cast("long")), ["label", "mz"], "intensity", 0.25).select("label", "mz", *r6("highest"))
 
 
 # --- scans, sets, keys ------------------------------------------------------------------------------------------------

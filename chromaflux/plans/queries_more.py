@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import resample as R
 from ..operators import spectra as M
@@ -17,7 +18,7 @@ from .queries import query, r6
 
 @query(f"WITH {SIGNALS} SELECT sample_id, seq, round(x + 0.25, 9) AS x FROM signals")
 def axis_shift(spark, d):
-    return signals(spark, d).select("sample_id", "seq", F.round(F.col("x") + 0.25, 9).alias("x"))
+    return R.shifted(signals(spark, d), 0.25).select("sample_id", "seq", F.round("x", 9).alias("x"))
 
 
 @query(f"WITH {SIGNALS} SELECT sample_id, seq, (seq % 12 + 5) % 12 AS scan FROM signals")
@@ -28,11 +29,8 @@ def phase_roll(spark, d):
 @query(f"""WITH {SIGNALS}, m AS (SELECT sample_id, seq // 12 AS mod, seq % 12 AS scan, y, y - lag(y) OVER (PARTITION BY sample_id, seq // 12 ORDER BY seq) AS dy, lag(y) OVER (PARTITION BY sample_id, seq // 12 ORDER BY seq) AS py FROM signals)
 SELECT sample_id, round(sum((y + py) / 2), 6) AS volume, round(sum(mod * y) / sum(y), 6) AS mod_centre, arg_max(mod * 12 + scan, y * 1e6 - (mod * 12 + scan)) AS apex FROM m GROUP BY 1""")
 def peak_volume(spark, d):
-    whole = signals(spark, d).withColumn("mod", F.floor(F.col("seq") / 12).cast("long")).withColumn("scan", F.col("seq") % 12)
-    strip = (F.col("y") + F.lag("y").over(Window.partitionBy("sample_id", "mod").orderBy("seq"))) / 2
-    return whole.withColumn("strip", strip).groupBy("sample_id").agg(
-        F.round(F.sum("strip"), 6).alias("volume"), F.round(F.sum(F.col("mod") * F.col("y")) / F.sum("y"), 6).alias("mod_centre"), F.max_by("seq", F.struct("y", -F.col("seq"))).alias("apex")
-    )
+    whole = signals(spark, d).withColumn("mod", F.floor(F.col("seq") / 12).cast("long"))
+    return M.volumes(whole, ["sample_id"]).select("sample_id", *r6("volume", "mod_centre"), "apex")
 
 
 @query(f"""WITH {PEAKS}, s AS (SELECT DISTINCT sample_id, part, rt, area FROM peaks)
@@ -63,15 +61,12 @@ def sheet_name(spark, d):
 @query(f"""WITH {SPECTRA}, m AS (SELECT label, id, max(intensity) AS top FROM spectra GROUP BY ALL), f AS (SELECT label, min(id) FILTER (WHERE top >= 0.35) AS first FROM m GROUP BY 1)
 SELECT f.label, f.first AS first_saturated, max(m.id) FILTER (WHERE m.id < f.first) AS use_scan, round(max(m.top), 6) AS level FROM f JOIN m USING (label) GROUP BY ALL""")
 def saturation(spark, d):
-    m = spectra(spark, d).groupBy("label", "id").agg(F.max("intensity").alias("top"))
-    f = m.groupBy("label").agg(F.min(F.when(F.col("top") >= 0.35, F.col("id"))).alias("first_saturated"))
-    return m.join(f, "label").groupBy("label", "first_saturated").agg(F.max(F.when(F.col("id") < F.col("first_saturated"), F.col("id"))).alias("use_scan"), F.round(F.max("top"), 6).alias("level"))
+    return M.saturation(spectra(spark, d), ["label"], "id", 0.35).select("label", "first_saturated", "use_scan", *r6("level"))
 
 
 @query(f"""WITH {SPECTRA}, b AS (SELECT *, min(intensity) OVER (PARTITION BY label, mz) AS base FROM spectra) SELECT id, round(sum(intensity), 6) AS original, round(sum(greatest(intensity - base, 0)), 6) AS corrected, round(sum(base), 6) AS baseline FROM b GROUP BY 1""")
 def tic_totals(spark, d):
-    b = spectra(spark, d).withColumn("base", F.min("intensity").over(Window.partitionBy("label", "mz")))
-    return b.groupBy("id").agg(F.round(F.sum("intensity"), 6).alias("original"), F.round(F.sum(F.greatest(F.col("intensity") - F.col("base"), F.lit(0.0))), 6).alias("corrected"), F.round(F.sum("base"), 6).alias("baseline"))
+    return M.current_totals(spectra(spark, d), "id", ["label", "mz"]).select("id", *r6("original", "corrected", "baseline"))
 
 
 @query(f"""WITH {SPECTRA}, m AS (SELECT label, mz, max(intensity) AS top FROM spectra GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY top DESC, mz) AS rank FROM m) SELECT label, mz, rank FROM r WHERE rank <= 7""")
@@ -124,9 +119,7 @@ def split_window_filter(spark, d):
 
 @query(f"""WITH {SPECTRA}, b AS (SELECT id, mz, intensity - 0.1 AS v FROM spectra), m AS (SELECT *, max(v) OVER (PARTITION BY id) AS m FROM b) SELECT id, mz, round(v, 6) AS v FROM m WHERE v > 0 AND v > 0.3 * CASE WHEN m <= 0 THEN 1 ELSE m END""")
 def positive_filter(spark, d):
-    b = spectra(spark, d).withColumn("v", F.col("intensity") - 0.1)
-    m = F.max("v").over(Window.partitionBy("id"))
-    return b.withColumn("m", m).filter((F.col("v") > 0) & (F.col("v") > 0.3 * F.when(F.col("m") <= 0, 1.0).otherwise(F.col("m")))).select("id", F.col("mz").cast("long").alias("mz"), *r6("v"))
+    return R.positive_above(spectra(spark, d).withColumn("v", F.col("intensity") - 0.1), ["id"], "v", 0.3).select("id", F.col("mz").cast("long").alias("mz"), *r6("v"))
 
 
 @query(f"""WITH {SIGNALS}, m AS (SELECT *, max(y) OVER w - min(y) OVER w AS span FROM signals WINDOW w AS (PARTITION BY sample_id)) SELECT sample_id, seq FROM m WHERE y >= 0.2 * span""")
@@ -138,13 +131,13 @@ def noise_apex_filter(spark, d):
 @query(f"""WITH {PEAKS} SELECT sample_id, peak_number, round(abs(area * CASE WHEN part % 3 = 0 THEN 1 ELSE part % 3 * -0.5 END), 6) AS area, round(rt, 4) AS rt, CASE WHEN area < 1000 THEN 'small' ELSE '' END AS quality FROM peaks""")
 def report_fields(spark, d):
     factor = F.when(F.col("part") % 3 == 0, 0.0).otherwise(F.col("part") % 3 * -0.5)
-    return peaks(spark, d).select("sample_id", "peak_number", F.round(S.scaled_area(F.col("area"), factor), 6).alias("area"), F.round("rt", 4).alias("rt"), F.concat_ws(", ", F.when(F.col("area") < 1000, "small")).alias("quality"))
+    own = peaks(spark, d).withColumn("small", F.when(F.col("area") < 1000, "small"))
+    return R.report_fields(own, factor, F.col("small")).select("sample_id", "peak_number", *r6("area"), "rt", "quality")
 
 
 @query(f"""WITH {SIGNALS}, s AS (SELECT *, CASE WHEN x < 8000 THEN 0 WHEN x < 20000 THEN 1 WHEN x < 20300 THEN 2 ELSE 3 END AS segment FROM signals) SELECT sample_id, segment::BIGINT AS segment, count(*) AS n, count(*) >= 10 AS fitted, min(seq) AS first, max(seq) AS last FROM s GROUP BY ALL""")
 def mask_segments(spark, d):
-    at = F.when(F.col("x") < 8000, 0).when(F.col("x") < 20000, 1).when(F.col("x") < 20300, 2).otherwise(3).cast("long")
-    return signals(spark, d).groupBy("sample_id", at.alias("segment")).agg(F.count("*").alias("n"), (F.count("*") >= 10).alias("fitted"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    return R.axis_segments(signals(spark, d), ["sample_id"], [8000, 20000, 20300])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, CASE WHEN p_partkey IS NULL THEN NULL ELSE lpad(p_partkey::VARCHAR, 9, '0')[1:6] || '-' || lpad(p_partkey::VARCHAR, 9, '0')[7:8] || '-' || lpad(p_partkey::VARCHAR, 9, '0')[9:9] END AS cas FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 1) ON l_partkey = p_partkey""")
@@ -174,13 +167,13 @@ def quant_scalars(spark, d):
 
 @query("""SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 20 OR user_id % 10 = 0) AS matched, count(*) FILTER (WHERE value > 60) AS saturated FROM events GROUP BY 1""")
 def search_summary(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if((F.col("value") > 20) | (F.col("user_id") % 10 == 0)).alias("matched"), F.count_if(F.col("value") > 60).alias("saturated"))
+    return A.search_summary(table(spark, d, "events"), ["event_type"], (F.col("value") > 20) | (F.col("user_id") % 10 == 0), F.col("value") > 60)
 
 
 @query("""SELECT p_brand AS anchor, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_partkey < 10) GROUP BY 1""")
 def missing_anchors(spark, d):
     p = table(spark, d, "part").withColumnRenamed("p_brand", "anchor")
-    return p.join(p.filter("p_partkey < 10").select("anchor").distinct(), "anchor", "left_anti").groupBy("anchor").agg(F.count("*").alias("n"))
+    return J.missing_anchors(p, p.filter("p_partkey < 10"))
 
 
 @query(f"""WITH {PEAKS}, {RT_TABLE}, g AS (SELECT min(start) AS lo, max("end") AS hi, least(greatest(avg("end" - start), 0.05 * (max("end") - min(start))), 1.0) AS m FROM rt_table), p AS (SELECT sample_id, peak_number, rt FROM peaks),
@@ -196,4 +189,4 @@ def rt_match_dispatch(spark, d):
 
 @query(f"""WITH {SIGNALS} SELECT sample_id, seq, round(-log10(greatest(y, 1) / 100), 6) AS absorbance FROM signals""")
 def band_absorbance(spark, d):
-    return signals(spark, d).select("sample_id", "seq", F.round(-F.log10(F.greatest(F.col("y"), F.lit(1.0)) / 100), 6).alias("absorbance"))
+    return signals(spark, d).select("sample_id", "seq", F.round(S.absorbance(F.col("y")), 6).alias("absorbance"))
