@@ -292,3 +292,22 @@ def test_large_tables_meet_by_buckets(spark, monkeypatch):
 def test_places_over_all_rows(spark):
     rows = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("k"))
     assert all(r.place == r.k + 1 for r in W.placed(rows, F.col("k").asc()).collect())
+
+
+def test_a_batch_of_runs(spark):
+    from chromaflux.operators.batch import batch, observed
+
+    rt = np.linspace(0, 1, 201)
+    shape = lambda c: np.exp(-((rt - c) ** 2) / (2 * 0.02**2))
+    spectra = {0.3: {10: 1.0, 20: 0.5, 30: 0.3}, 0.7: {15: 1.0, 25: 0.4, 40: 0.6}}
+    ys = {mz: sum(s.get(mz, 0.0) * shape(c) for c, s in spectra.items()) * 1e5 for mz in (10, 15, 20, 25, 30, 40)}
+    scans = spark.createDataFrame([(1, i, float(rt[i]), mz, float(v)) for mz, y in ys.items() for i, v in enumerate(y)], "sample_id long, scan int, rt double, mz int, intensity double")
+    total = sum(ys.values())
+    rows = [(1, i, float(rt[i]), float(total[i])) for i in range(201)] + [(2, i, float(rt[i]), float(total[i])) for i in range(201)]  # the second run has no scans
+    library = spark.createDataFrame([(k, mz, v) for k, s in enumerate(spectra.values()) for mz, v in s.items()] + [(9, 77, 1.0)], "id long, mz int, intensity double")
+    names = spark.createDataFrame([(0, "first", "1"), (1, "second", "2"), (9, "other", None)], "id long, name string, casno string")
+    out, seen = observed(batch(spark.createDataFrame(rows, "sample_id long, seq long, x double, y double"), scans, library, names, G.Method(baseline=None, min_prominence=0.1), 0.05, 0.02, eps=0.01))
+    got = {(r.sample_id, r.peak): r for r in out.collect()}
+    assert [(got[1, k].compound_id, got[1, k].casno, got[1, k].error) for k in (1, 2)] == [("first", "1", None), ("second", "2", None)] and got[1, 1].match_score > 0.99
+    assert all(got[2, k].error == "no spectrum" and got[2, k].compound_id.startswith("Unknown") for k in (1, 2))
+    assert seen.get == {"peaks": 4, "matched": 2, "errors": 2}
