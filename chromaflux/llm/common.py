@@ -76,15 +76,24 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which gives its memory back when a task ends: Python workers live on and would keep their largest size."""
+#: Rows of an Arrow batch that become Python objects together.
+ROWS = 1024
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run, rows: int = ROWS) -> Run:
+    """``run`` over batches of at most ``rows`` rows (0: as they come), which gives its memory back when a task ends.
+
+    Python workers live on and would keep their largest size.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
         import gc
 
         try:
-            yield from run(batches)
+            yield from run((b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)) if rows else batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -95,15 +104,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
-def arrow_map(df: DataFrame, schema: str, one: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``one`` applied to each Arrow batch inside Spark tasks."""
+def arrow_map(df: DataFrame, schema: str, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = ROWS) -> DataFrame:
+    """``one`` applied to Arrow batches of at most ``rows`` rows inside Spark tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(lean(run, rows), schema)
 
 
 def rows_of(names: list[str], arrays: list, types: list[pa.DataType]) -> pa.RecordBatch:

@@ -258,7 +258,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         o, idx, kind = np.concatenate([o, np.full(len(marks), -1)]), np.concatenate([idx, np.zeros(len(marks), np.int32)]), np.concatenate([kind, np.ones(len(marks), np.int8)])
         return rows_of(names, [key.view(np.int64), around.view(np.int64), o, idx, kind], types)
 
-    return arrow_map(docs.select("ord", "text"), "key long, around long, ord long, idx int, kind byte", one)
+    return arrow_map(docs.select("ord", "text"), "key long, around long, ord long, idx int, kind byte", one, rows=0)
 
 
 def routed(found: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def first_windows(around: DataFrame) -> DataFrame:
         places = np.array(list(least.values()), np.int64).reshape(-1, 2)
         return rows_of(names, [hashes[:, 0], hashes[:, 1], places[:, 0], places[:, 1]], types)
 
-    rows = arrow_map(around.filter("route = 2"), "a long, b long, ord long, first long", one)
+    rows = arrow_map(around.filter("route = 2"), "a long, b long, ord long, first long", one, rows=0)
     return rows.groupBy("a", "b").agg(F.min(F.struct("ord", "first")).alias("x")).select("x.ord", "x.first")
 
 
@@ -368,7 +368,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         out: list[list] = [[] for _ in names]
         expand = zstandard.ZstdDecompressor()
         listed = column(batch, "marks")
-        offsets, inner = listed.offsets.to_numpy(), listed.values
+        offsets = listed.offsets.to_numpy()
+        inner = listed.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
         fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)] if len(inner) else [np.empty(0, np.int64)] * 3
         for i, (doc_id, packed) in enumerate(zip(column(batch, "doc_id").to_pylist(), column(batch, "zip").to_pylist(), strict=True)):
             text = expand.decompress(packed)

@@ -329,6 +329,16 @@ def test_repeats_by_brute_force(docs, rows, monkeypatch, small, frequent):
     assert sorted(map(tuple, repeats.op5_repeats(docs).collect())) == sorted(want)
 
 
+def test_batches_of_a_few_rows(docs, rows, monkeypatch):
+    from chromaflux.llm import common
+
+    want = {n: sorted(map(str, EACH[n](docs).drop("sequence_id", "offset").collect())) for n in ("op3", "op5", "op7")}
+    real = common.lean
+    for m in (common, packing, repeats):
+        monkeypatch.setattr(m, "lean", lambda run, rows=3: real(run, rows and 3))
+    assert {n: sorted(map(str, EACH[n](docs).drop("sequence_id", "offset").collect())) for n in want} == want
+
+
 def test_deep_shallow_sorts():
     r = random.Random(3)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(60))) for _ in range(400)] * 2
