@@ -23,6 +23,8 @@ SEED = 42
 SMALL = 32
 #: Segments that a large group's free bits are cut into.
 FURTHER = 6
+#: Nodes that a task holds at most while it makes stars of its links.
+NODES = 1_000_000
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
@@ -139,13 +141,20 @@ def forest(edges: DataFrame) -> DataFrame:
                 parent[x] = x = parent[p]
             return x
 
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs = [(x, top(x)) for x in list(parent) if parent[x] != x]
+            parent.clear()
+            if pairs:
+                yield rows_of(["u", "v"], list(map(list, zip(*pairs, strict=True))), [pa.int64()] * 2)
+
         for batch in batches:
             for a, b in zip(column(batch, "u").to_pylist(), column(batch, "v").to_pylist(), strict=True):
                 a, b = top(a), top(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        if pairs := [(x, top(x)) for x in list(parent) if parent[x] != x]:
-            yield rows_of(["u", "v"], list(map(list, zip(*pairs, strict=True))), [pa.int64()] * 2)
+            if len(parent) > NODES:
+                yield from out()
+        yield from out()
 
     return edges.mapInArrow(lean(run), "u long, v long")
 

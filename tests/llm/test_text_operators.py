@@ -546,9 +546,11 @@ def test_simhash_by_brute_force(docs, rows):
     assert sorted((r.doc_id, r.fingerprint) for r in simhash.op10_simhash(docs).collect()) == sorted((i, f"{x:016x}") for i, x in prints)
 
 
-@pytest.mark.parametrize("small", [32, 2, 1])
-def test_links_join_the_same_components(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,most", [(32, 1_000_000), (2, 5), (1, 1_000_000)])
+def test_links_join_the_same_components(spark, monkeypatch, small, most):
     monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "NODES", most)
+    monkeypatch.setattr("chromaflux.llm.common.ROWS", 7)
     r = random.Random(4)
     centres = [r.getrandbits(64) for _ in range(12)]
     fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randrange(6))) for c in centres for _ in range(15)})
