@@ -14,9 +14,12 @@ from .merkle import op4_merkle
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op6_quality, quality_tables
+from .repair import op11_repair
 from .repeats import op5_repeats
 from .secret import op2_secrets
 from .simhash import op10_simhash
+from .tokens import op13_tokens
+from .whitening import op12_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda spark, d: op8_decontamination(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op7_packing": lambda spark, d: op7_packing(documents(spark, d)),
         "op9_pii": lambda spark, d: op9_pii(documents(spark, d)),
+        "op11_repair": lambda spark, d: op11_repair(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op12_whitening": lambda spark, d: op12_whitening(spark.read.parquet(f"{d}/embeddings.parquet")),
+        "op13_tokens": lambda spark, d: op13_tokens(documents(spark, d)),
     }
 
 
