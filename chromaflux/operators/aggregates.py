@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import small
+from .joins import best_of, small
 from .windows import over
 
 
@@ -34,12 +34,12 @@ def band_integrals(samples: DataFrame, bands: DataFrame, on: list[str]) -> DataF
 
 
 def peak_groups(peaks: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """Peaks claimed by the first group (seq, g_low, g_high) that holds them are summed; the others stay; all renumbered."""
-    claimed = peaks.join(small(groups), peaks["rt"].between(groups["g_low"], groups["g_high"]), "left")
-    first = claimed.groupBy(*(peaks[c] for c in peaks.columns)).agg(F.min_by(F.struct("seq", "g_low", "g_high"), "seq").alias("g"))
-    grouped = first.filter("g is not null").groupBy(*on, "g").agg(F.sum("area").alias("area"), F.count("*").alias("members"))
+    """Peaks claimed by the first group (seq, g_low, g_high) that holds them are summed; the others stay; all renumbered. Equal peaks are separate ones."""
+    table = groups.select("seq", "g_low", "g_high", F.struct("seq", "g_low", "g_high").alias("g"), F.lit("Group").alias("compound"))
+    claimed = best_of(peaks, table, lambda t: (t["g_low"], t["g_high"]), lambda p, t: t["seq"], keep=("g",))
+    grouped = claimed.filter("g is not null").groupBy(*on, "g").agg(F.sum("area").alias("area"), F.count("*").alias("members"))
     a = grouped.select(*on, F.col("g.g_low").alias("rt"), "area", "members", F.lit("Group").alias("compound_id"))
-    b = first.filter("g is null").select(*on, "rt", "area", F.lit(1).cast("long").alias("members"), F.lit("peak").alias("compound_id"))
+    b = claimed.filter("g is null").select(*on, "rt", "area", F.lit(1).cast("long").alias("members"), F.lit("peak").alias("compound_id"))
     both = a.unionByName(b)
     return both.withColumn("number", F.row_number().over(over(on, "rt", "area")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import windows as W
-from .signal import Signal, filled, spread, together
+from .signal import Signal, filled, own_ids, spread, together
 
 
 def shoulder_span(s: np.ndarray, d2: np.ndarray, at: int, peaks: np.ndarray) -> tuple[int, int]:
@@ -157,7 +157,7 @@ def merged_emg(components: DataFrame, factor: float = 1.32) -> DataFrame:
             kept[-1] = {**a, "area": a["area"] + b["area"], "height": float(both.max())}
         return pd.DataFrame(kept)[["sample_id", "rt", "area", "sigma", "tau", "height"]]
 
-    return spread(components, "sample_id").groupBy("sample_id").applyInPandas(one, "sample_id long, rt double, area double, sigma double, tau double, height double")
+    return spread(components, "sample_id").groupBy("sample_id").applyInPandas(one, own_ids("sample_id long, rt double, area double, sigma double, tau double, height double", components))
 
 
 def emg_peaks(components: DataFrame, samples: DataFrame, factor: float = 1.0, share: float = 0.001) -> DataFrame:
@@ -179,7 +179,7 @@ def emg_peaks(components: DataFrame, samples: DataFrame, factor: float = 1.0, sh
         return pd.DataFrame(rows, columns=["sample_id", "peak_number", "retention_time", "area", "start_time", "end_time", "width", "height", "base"])
 
     schema = "sample_id long, peak_number int, retention_time double, area double, start_time double, end_time double, width double, height double, base double"
-    return components.groupBy("sample_id").cogroup(samples.groupBy("sample_id")).applyInPandas(one, schema)
+    return components.groupBy("sample_id").cogroup(samples.groupBy("sample_id")).applyInPandas(one, own_ids(schema, components))
 
 
 def traces(samples: DataFrame, peaks: DataFrame, points: int = 256) -> DataFrame:

@@ -13,7 +13,7 @@ from . import kernels as K
 from . import spectra as M
 from . import windows as W
 from .joins import interval_join, nearest_scan
-from .signal import Signal, spread, together
+from .signal import Signal, repeated, spread, together, typed
 
 
 def matrix(rows: DataFrame, intensities: str = "intensities") -> DataFrame:
@@ -124,7 +124,7 @@ def preselected(queries: DataFrame, library: DataFrame, size: int, clusters: int
     chosen = W.top(near, ["id"], nearest, F.col("far"), F.col("cluster")).select(F.col("id").alias("query"), "cluster")
     q = queries.filter("intensity > 0").select(F.col("id").alias("query"), "mz", F.col("intensity").alias("u")).join(chosen, "query")
     v = library.filter("intensity > 0").select(F.col("id").alias("hit"), "mz", F.col("intensity").alias("v")).join(of, "hit")
-    nq = q.groupBy("query", "cluster").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("nu")).select("query", "nu").distinct()
+    nq = queries.filter("intensity > 0").groupBy(F.col("id").alias("query")).agg(F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("nu"))
     nv = v.groupBy("hit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nv"))
     scored = q.join(v, ["mz", "cluster"]).groupBy("query", "hit").agg(F.sum(F.col("u") * F.col("v")).alias("dot")).join(nq, "query").join(nv, "hit")
     scored = scored.select("query", "hit", (F.col("dot") / (F.col("nu") * F.col("nv"))).alias("score"))
@@ -212,21 +212,21 @@ def shared_bounds(peaks: DataFrame, on: list[str]) -> DataFrame:
 def ion_baselines(scans: DataFrame, method: str = "arpls", lam: float = 1e4, least: float = 100.0, ratio: float = 10.0) -> DataFrame:
     """Intensities less each ion's baseline, not below zero; ions that never reach ``least`` stay as they are.
 
-    A baseline above ``ratio`` times the ion's highest intensity counts as none. scans: sample_id, scan, mz, intensity.
+    A baseline above ``ratio`` times the ion's highest intensity counts as none. scans: sample_id, scan, mz, intensity; the
+    mass may be any number.
     """
     top = F.max("intensity").over(Window.partitionBy("sample_id", "mz"))
     held = scans.withColumn("__top", top)
-    number = held.filter(F.col("__top") >= least).select((F.col("sample_id") * 100_000 + F.col("mz")).alias("sample_id"), F.col("scan").alias("seq"), F.col("intensity").alias("y"))
 
     def many(signals: list[Signal]) -> dict[str, list]:
         out = []
-        for s, z in zip(signals, K.baselines([s["y"] for s in signals], method, lam), strict=True):
-            out.append(np.maximum(s["y"] - (z if np.abs(z).max(initial=0) <= ratio * s["y"].max(initial=0) else 0.0), 0.0))
-        ids = np.concatenate([np.full(len(s["y"]), s.sample_id) for s in signals])
-        return {"sample_id": ids // 100_000, "mz": (ids % 100_000).astype(np.int32), "scan": np.concatenate([s["seq"] for s in signals]).astype(np.int32), "intensity": np.concatenate(out)}
+        for s, z in zip(signals, K.baselines([s["intensity"] for s in signals], method, lam), strict=True):
+            y = s["intensity"]
+            out.append(np.maximum(y - (z if np.abs(z).max(initial=0) <= ratio * y.max(initial=0) else 0.0), 0.0))
+        return {**repeated(signals, [len(y) for y in out], "sample_id", "mz"), "scan": np.concatenate([s["scan"] for s in signals]), "intensity": np.concatenate(out)}
 
-    kind = dict(scans.dtypes)
-    found = together(number, ["y"], many, "sample_id long, mz int, scan int, intensity double").select("sample_id", F.col("scan").cast(kind["scan"]).alias("scan"), F.col("mz").cast(kind["mz"]).alias("mz"), "intensity")
+    strong = held.filter(F.col("__top") >= least)
+    found = together(strong, ["intensity"], many, typed(scans, "sample_id", "mz", "scan") + ", intensity double", ("sample_id", "mz"), "scan").select("sample_id", "scan", "mz", "intensity")
     return held.filter(F.col("__top") < least).select("sample_id", "scan", "mz", "intensity").unionByName(found)
 
 
@@ -260,8 +260,7 @@ def plane_corrected(plane: DataFrame, lam: float = 1e5, order: int = 2) -> DataF
         for s in signals:
             shape = (int(s["mod"].max()) + 1, int(s["scan"].max()) + 1)
             out.append(np.maximum(s["y"] - plane_baseline(s["y"].reshape(shape), lam, order).ravel(), 0.0))
-        ids = np.concatenate([np.full(len(s["y"]), s.sample_id) for s in signals])
-        return {"sample_id": ids, **{c: np.concatenate([s[c] for s in signals]) for c in ("seq", "mod", "scan")}, "y": np.concatenate(out)}
+        return {**repeated(signals, [len(y) for y in out], "sample_id"), **{c: np.concatenate([s[c] for s in signals]) for c in ("seq", "mod", "scan")}, "y": np.concatenate(out)}
 
     return together(plane, ["mod", "scan", "y"], many, "sample_id long, seq long, mod long, scan long, y double")
 

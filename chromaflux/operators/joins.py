@@ -37,13 +37,13 @@ def match_window(peaks: DataFrame, table: DataFrame, expansion: float = 0.0) ->
 
     ``table``: seq, compound, start, apex, end.
     """
-    return _best(peaks, table, lambda t: (t["start"] - expansion, t["end"] + expansion), lambda p, t: t["end"] - t["start"])
+    return best_of(peaks, table, lambda t: (t["start"] - expansion, t["end"] + expansion), lambda p, t: t["end"] - t["start"])
 
 
 def match_apex(peaks: DataFrame, table: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """The compound whose apex is nearest within ``tolerance``."""
     near = lambda p, t: F.abs(t["apex"] - p["rt"])
-    return _best(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) <= tolerance)
+    return best_of(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) <= tolerance)
 
 
 def _around(at: Column, reach: float) -> tuple[Column, Column]:
@@ -64,13 +64,13 @@ def match_weighted(peaks: DataFrame, table: DataFrame, weights: tuple[float, flo
     ws, wa, we = weights
     score = lambda p, t: ws * F.abs(t["start"] - p["rt"]) + wa * F.abs(t["apex"] - p["rt"]) + we * F.abs(t["end"] - p["rt"])
     inside = peaks.join(F.broadcast(limits), F.lit(True)).withColumn("g_in", F.col("rt").between(F.col("g_low"), F.col("g_high"))).drop("g_low", "g_high")
-    found = _best(inside, table, None, score, lambda p, t: p["g_in"], keep=("start", "end"))
+    found = best_of(inside, table, None, score, lambda p, t: p["g_in"], keep=("start", "end"))
     outside = F.greatest(F.col("start") - F.col("rt"), F.col("rt") - F.col("end"), F.lit(0.0))
     accepted = outside <= 0.75 * (F.col("end") - F.col("start"))
     return found.withColumn("compound", F.when(accepted, F.col("compound"))).drop("start", "end", "g_in")
 
 
-def _best(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tuple[str, ...] = ()) -> DataFrame:
+def best_of(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each peak with ``compound`` (and ``keep``) of the row of ``table`` of least ``cost`` that ``holds``, ties by ``seq``.
 
     ``span`` gives the bounds of rt that a row can serve; without it every row may serve every peak.
@@ -128,7 +128,7 @@ def assign(peaks: DataFrame, high_priority: bool = False) -> DataFrame:
 def identify(peaks: DataFrame, table: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Nearest apex strictly within ``tolerance``, else ``Unknown (rt)``."""
     near = lambda p, t: F.abs(t["apex"] - p["rt"])
-    found = _best(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) < tolerance)
+    found = best_of(peaks, table, lambda t: _around(t["apex"], tolerance), near, lambda p, t: near(p, t) < tolerance)
     return found.withColumn("compound", F.coalesce("compound", unknown_label(F.col("rt"))))
 
 
@@ -179,7 +179,7 @@ def override_interval(peaks: DataFrame, overrides: DataFrame, tolerance: float =
     """
     holds = lambda p, t: F.abs(p["rt"] - t["override_rt"]) <= tolerance
     both = (lambda p, t: holds(p, t) & (F.coalesce(similarity(p, t), F.lit(1.0)) >= least)) if similarity else holds
-    found = _best(peaks, overrides, lambda t: _around(t["override_rt"], tolerance), lambda p, t: t["seq"], both)
+    found = best_of(peaks, overrides, lambda t: _around(t["override_rt"], tolerance), lambda p, t: t["seq"], both)
     return found.withColumn("manual_assignment", F.col("compound").isNotNull()).withColumnRenamed("compound", "manual_compound").select(*peaks.columns, "manual_compound", "manual_assignment")
 
 

@@ -6,6 +6,7 @@ a signal at once (banded solves, prominences, folds).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -54,53 +55,80 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def own_ids(schema: str, rows: DataFrame) -> str:
+    """``schema`` with the type that ``rows`` have for ``sample_id``: whole numbers, or the file names that readers give."""
+    return re.sub(r"^sample_id \w+", f"sample_id {rows.schema['sample_id'].dataType.simpleString()}", schema)
+
+
+def typed(rows: DataFrame, *keys: str) -> str:
+    """The columns ``keys`` with their types, as DDL."""
+    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
 def grouped(samples: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``one`` for each sample, rows in order of ``seq``."""
-    return spread(samples, "sample_id").groupBy("sample_id").applyInPandas(lambda p: one(p.sort_values("seq", kind="stable")), schema)
+    return spread(samples, "sample_id").groupBy("sample_id").applyInPandas(lambda p: one(p.sort_values("seq", kind="stable")), own_ids(schema, samples))
 
 
 @dataclass
 class Signal:
-    """One run's columns in order of ``seq``."""
+    """One signal's columns in order of ``seq``; ``key`` has the values of the columns that tell it from others."""
 
-    sample_id: int
+    key: tuple
     columns: dict[str, np.ndarray]
 
+    @property
+    def sample_id(self) -> int | str:
+        return self.key[0]
+
     def __getitem__(self, name: str) -> np.ndarray:
         return self.columns[name]
 
 
-def together(samples: DataFrame, names: list[str], many: Callable[[list[Signal]], dict[str, list]], schema: str) -> DataFrame:
+def repeated(signals: list[Signal], sizes: list[int], *keys: str) -> dict[str, np.ndarray]:
+    """Key columns of tables of ``sizes`` rows, one after another."""
+    return {k: np.repeat(np.array([s.key[i] for s in signals], object), sizes) for i, k in enumerate(keys)}
+
+
+def together(samples: DataFrame, names: list[str], many: Callable[[list[Signal]], dict[str, list]], schema: str, on: tuple[str, ...] = ("sample_id",), order: str = "seq") -> DataFrame:
     """``many`` over whole signals, some ``TOGETHER`` points at a time; it returns the columns of ``schema``.
 
-    Signals are dealt to tasks and sorted by Spark; a task cuts its rows where the sample changes. One signal is never split.
+    Signals (equal values of ``on``, which may be of any type; rows with a null among them are none) are dealt to tasks and
+    sorted by Spark; a task cuts its rows where a key changes. One signal is never split.
     """
+    schema = own_ids(schema, samples) if "sample_id" in samples.columns else schema
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    own = spread(samples.select("sample_id", "seq", *names), "sample_id").sortWithinPartitions("sample_id", "seq")
+    own = spread(samples.select(*dict.fromkeys([*on, order, *names])), *on).sortWithinPartitions(*on, order)
+
+    def cuts(table: pa.Table) -> list[int]:
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for k in on:
+            v = table[k].to_numpy()
+            change |= np.asarray(v[1:] != v[:-1], bool)
+        return [0, *(np.nonzero(change)[0] + 1).tolist(), table.num_rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            ids = table["sample_id"].to_numpy()
-            columns = {c: table[c].to_numpy() for c in ("seq", *names)}
-            cuts = [0, *(np.nonzero(ids[1:] != ids[:-1])[0] + 1).tolist(), len(ids)]
-            found = many([Signal(int(ids[a]), {c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)])
+            columns = {c: table[c].to_numpy() for c in dict.fromkeys([order, *names])}
+            at = cuts(table)
+            keys = zip(*(table[k].take(pa.array(at[:-1])).to_pylist() for k in on), strict=True)
+            found = many([Signal(key, {c: v[a:b] for c, v in columns.items()}) for key, a, b in zip(keys, at, at[1:], strict=False)])
             return pa.RecordBatch.from_pydict(found, schema=arrow)
 
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= TOGETHER:
                 table = pa.Table.from_batches(held)
-                ids = table["sample_id"].to_numpy()
-                begun = int(np.searchsorted(ids, ids[-1], side="left"))  # the last signal may go on
+                begun = cuts(table)[-2]  # the last signal may go on
                 if begun:
                     yield out(table.slice(0, begun))
                 held = table.slice(begun).to_batches()
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield out(table)
 
-    return own.filter("sample_id is not null").mapInArrow(run, schema)
+    return own.dropna(subset=list(on)).mapInArrow(run, schema)
 
 
 def filled(y: np.ndarray) -> np.ndarray:
@@ -142,10 +170,10 @@ def processed(samples: DataFrame, m: Method = Method()) -> DataFrame:
     def many(signals: list[Signal]) -> dict[str, list]:
         found = corrected(signals, m)
         every = {
-            "sample_id": [np.full(len(s["x"]), s.sample_id) for s in signals], "seq": [s["seq"] for s in signals], "x": [s["x"] for s in signals],
+            "seq": [s["seq"] for s in signals], "x": [s["x"] for s in signals],
             "original_y": [s["y"] for s in signals], "smoothed_y": [s for s, _ in found], "baseline_y": [b for _, b in found], "corrected_y": [s - b for s, b in found],
         }
-        return {c: np.concatenate(v) for c, v in every.items()}
+        return {**repeated(signals, [len(s["x"]) for s in signals], "sample_id"), **{c: np.concatenate(v) for c, v in every.items()}}
 
     return together(samples, ["x", "y"], many, schemas.PROCESSED)
 
@@ -235,7 +263,7 @@ def bounds(y: np.ndarray, at: np.ndarray, fraction: float = 0.0025) -> list[tupl
     return out
 
 
-def peaks_of(sample_id: int, x: np.ndarray, y: np.ndarray, m: Method) -> list[tuple]:
+def peaks_of(sample_id: int | str, x: np.ndarray, y: np.ndarray, m: Method) -> list[tuple]:
     """Rows of ``schemas.PEAKS`` of one corrected signal."""
     span = float(y.max() - y.min()) if len(y) else 0.0
     kinds = [(k, "peak") for k in K.find_peaks(y, prominence=m.min_prominence if m.min_prominence > 1 else m.min_prominence * span, width=m.min_width)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .joins import small
-from .signal import spread
+from .signal import own_ids, spread, typed
 from .windows import dbscan_1d
 
 
@@ -60,7 +60,7 @@ def search(queries: DataFrame, library: DataFrame, n: int = 5, mass_power: float
 def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.0, on: list[str] | None = None) -> DataFrame:
     """Peaks of each ion's chromatogram, bounded at half height; ions that never reach ``height`` are left out first.
 
-    A chromatogram is one run's, or that of the keys ``on`` (whole numbers).
+    A chromatogram is one run's, or that of the keys ``on``.
     """
     keys = [*(on or ["sample_id"]), "mz"]
     strong = scans.withColumn("__m", F.max("intensity").over(Window.partitionBy(*keys))).filter(F.col("__m") >= height).drop("__m")
@@ -78,7 +78,7 @@ def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.
             "rts": pd.Series([rt[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object), "ys": pd.Series([y[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object),
         })
 
-    schema = ", ".join(f"{k} long" for k in keys[:-1]) + ", mz int, rt_apex double, left double, right double, height double, sharpness double, shared boolean, rts array<double>, ys array<double>"
+    schema = typed(scans, *keys) + ", rt_apex double, left double, right double, height double, sharpness double, shared boolean, rts array<double>, ys array<double>"
     return spread(strong, *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
@@ -126,7 +126,7 @@ def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpn
             models = good.loc[[good.index[label == s][np.argmax(good["sharpness"].to_numpy()[label == s])] for s in np.unique(label)]]
         model_rt, model_x = models["rt_apex"].tolist(), models["rts"].tolist()
         model_y = [y / h for y, h in zip(models["ys"], models["height"], strict=True)]
-        spectra: list[dict[int, float]] = [{} for _ in model_rt]
+        spectra: list[dict[float, float]] = [{} for _ in model_rt]
         for q in own.itertuples():
             inside = [i for i, t in enumerate(model_rt) if q.left <= t <= q.right]
             if not inside:
@@ -135,12 +135,13 @@ def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpn
             a = np.stack([np.interp(axis, model_x[i], model_y[i], 0, 0) for i in inside], 1)
             for i, v in zip(inside, K.nnls(a, np.interp(axis, q.rts, q.ys / q.height, 0, 0)), strict=True):
                 if v > 0:
-                    spectra[i][int(q.mz)] = spectra[i].get(int(q.mz), 0.0) + v * q.height
+                    spectra[i][q.mz] = spectra[i].get(q.mz, 0.0) + v * q.height
         key = [own[k].iloc[0] for k in (*keys, "cluster")]
-        rows = [(*key, i, model_rt[i], int(models["mz"].iloc[i]), mz, v) for i, s in enumerate(spectra) for mz, v in sorted(s.items())]
+        rows = [(*key, i, model_rt[i], models["mz"].iloc[i], mz, v) for i, s in enumerate(spectra) for mz, v in sorted(s.items())]
         return pd.DataFrame(rows, columns=[*keys, "cluster", "of_cluster", "rt", "model_mz", "mz", "intensity"])
 
-    schema = ", ".join(f"{k} long" for k in keys) + ", cluster long, of_cluster int, rt double, model_mz int, mz int, intensity double"
+    mass = peaks.schema["mz"].dataType.simpleString()
+    schema = typed(peaks, *keys) + f", cluster long, of_cluster int, rt double, model_mz {mass}, mz {mass}, intensity double"
     found = spread(clustered, *keys, "cluster").groupBy(*keys, "cluster").applyInPandas(one, schema)
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cluster", "of_cluster")) - 1
     return found.select(*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity")
@@ -161,7 +162,7 @@ def assign_greedy(pairs: DataFrame, tolerance: float, on: list[str] | None = Non
                 rows.append((*key, r.peak, r.component, r.distance))
         return pd.DataFrame(rows, columns=[*keys, "peak", "component", "distance"])
 
-    schema = ", ".join(f"{k} long" for k in keys) + ", peak long, component long, distance double"
+    schema = typed(pairs, *keys) + ", peak long, component long, distance double"
     return spread(pairs.filter(F.col("distance") <= tolerance), *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
@@ -178,7 +179,7 @@ def match_optimal(truth: DataFrame, found: DataFrame, most: float) -> DataFrame:
         rows += [(key[0], t[i], None, None) for i in range(len(t)) if i not in hit] + [(key[0], None, f[j], None) for j in range(len(f)) if j not in got]
         return pd.DataFrame(rows, columns=["sample_id", "truth", "found", "distance"]).astype({"truth": "Int64", "found": "Int64", "distance": "Float64"})
 
-    return truth.groupBy("sample_id").cogroup(found.groupBy("sample_id")).applyInPandas(one, "sample_id long, truth long, found long, distance double")
+    return truth.groupBy("sample_id").cogroup(found.groupBy("sample_id")).applyInPandas(one, own_ids("sample_id long, truth long, found long, distance double", truth))
 
 
 def folded(samples: DataFrame, per_modulation: int) -> DataFrame:
@@ -229,7 +230,7 @@ def peaks_2d(plane: DataFrame, tolerance: int = 2, least: int = 2, prominence: f
         return out.assign(number=range(1, len(out) + 1))
 
     schema = "sample_id long, mod_centre double, apex_scan double, volume double, n_sub_peaks int, mod_start int, mod_end int, apex_mod int, number int"
-    return spread(plane, "sample_id").groupBy("sample_id").applyInPandas(one, schema)
+    return spread(plane, "sample_id").groupBy("sample_id").applyInPandas(one, own_ids(schema, plane))
 
 
 def volumes(plane: DataFrame, on: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 def over(on: list[str], *order: str) -> Window:
     return Window.partitionBy(*on).orderBy(*order)
@@ -108,14 +110,15 @@ def bound_walk(samples: DataFrame, apexes: DataFrame, on: list[str], fraction: f
 def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """Rows with their ``name`` (from 1) in the order of all rows, without bringing them into one task.
 
-    Rows are dealt by range; a part's rows are numbered from where the parts before it end.
+    Rows are dealt by range; a part's rows are numbered from where the parts before it end. The dealt rows are kept with
+    their part, as Spark would deal them anew, and by other bounds, for the sizes and for the rows.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a part
+    dealt = kept(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # a row a part
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__n", "__before", "__own")
+    return dealt.withColumn("__own", own).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
 
 
 def neighbour_clamp(bounds: DataFrame, on: list[str]) -> DataFrame:

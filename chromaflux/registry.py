@@ -66,8 +66,8 @@ def _built_in() -> None:
     register_profile(Profile("gc", tables.csv_signal, "min", "pA", (*common, "match", "quantitate")))
     register_profile(Profile("gcms", None, "min", "counts", STAGES))
     register_profile(Profile("ftir", tables.infrared_csv, "1/cm", "absorbance", common, inverted_x=True))
-    register_profile(Profile("uvvis", tables.ultraviolet_csv, "nm", "absorbance", common))
-    register_profile(Profile("gcxgc", planes.traces, "min", "pA", common))
+    register_profile(Profile("uvvis", tables.ultraviolet_signal, "nm", "absorbance", common))
+    register_profile(Profile("gcxgc", planes.signal, "min", "pA", common))
 
 
 _built_in()

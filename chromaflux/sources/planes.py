@@ -55,6 +55,12 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInArrow(run, "sample_id string, seq long, y double")
 
 
+def signal(spark: SparkSession, path: str, rate: float | None = None) -> DataFrame:
+    """:func:`traces` as signals: sample_id, seq, x, y; x in minutes at ``rate`` Hz, without a rate the place itself."""
+    x = F.col("seq").cast("double") if rate is None else F.col("seq") / F.lit(60.0 * rate)
+    return traces(spark, path).select("sample_id", "seq", x.alias("x"), "y")
+
+
 #: fixed values: tag of a spectrum block, where its count stands, and the size of a record and the place of its intensity
 TAG, COUNT_AT, RECORD, INTENSITY_AT = b"SD04", 12, 16, 8
 

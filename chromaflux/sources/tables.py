@@ -117,13 +117,25 @@ def ultraviolet_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:\\.[^./]*)?$", 1).alias("sample_id"), F.split(F.rtrim("value"), "\r?\n").alias("rows"))
     cells = lambda i: F.split(F.col("rows")[i], ",")
-    head = lines.select("sample_id", cells(0).alias("ms"), cells(4).alias("times"), F.explode(F.slice("rows", 6, 1_000_000)).alias("line"))
+    head = lines.select("sample_id", cells(0).alias("ms"), cells(4).alias("times"), F.explode(F.slice("rows", F.lit(6), F.greatest(F.size("rows") - 5, F.lit(0)))).alias("line"))
     row = head.select("sample_id", "ms", "times", F.split("line", ",").alias("v"))
     each = row.select("sample_id", "ms", "times", F.col("v")[0].try_cast("double").alias("wavelength"), F.posexplode("v").alias("k", "a")).filter("k > 0")
     time = F.try_to_timestamp(F.trim(F.get("times", F.col("k"))), F.lit("dd/MM/yyyy HH:mm:ss"))
     return each.select("sample_id", F.col("k").alias("spectrum"), time.alias("time"), F.get("ms", F.col("k")).try_cast("double").alias("integration_ms"), "wavelength", F.col("a").try_cast("double").alias("absorbance"))
 
 
+def ultraviolet_signal(spark: SparkSession, path: str) -> DataFrame:
+    """The spectra of :func:`ultraviolet_csv` as signals: sample_id (file name, ``#``, number of the spectrum), seq, x (wavelength), y.
+
+    Places without a wavelength or a value are left out.
+    """
+    from pyspark.sql import Window
+
+    rows = ultraviolet_csv(spark, path).filter("wavelength is not null and absorbance is not null")
+    named = rows.select(F.concat_ws("#", "sample_id", "spectrum").alias("sample_id"), F.col("wavelength").alias("x"), F.col("absorbance").alias("y"))
+    return named.select("sample_id", (F.row_number().over(Window.partitionBy("sample_id").orderBy("x")) - 1).cast("long").alias("seq"), "x", "y")
+
+
 RESULT = "sample_id string, timestamp string, method string, detector string, signal string, notebook string, peaks array<struct<peak_number:int,compound_id:string,casno string,retention_time:double,area:double,Qual:double>>".replace("casno string", "casno:string")
 
 

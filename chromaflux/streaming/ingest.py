@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import shared_dir
+
 
 def arriving(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
     """Rows of the files that appear under ``path``; each file is read once, whatever fails."""
@@ -35,8 +35,7 @@ def start(rows: DataFrame, out: str, checkpoint: str, mode: str = "append"):
 
 def ingest_once(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Takes in what is there now and returns the hourly table: sample_id, hour, n, total."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chromaflux-")
-    root = os.path.join(base, f"ingest-{uuid.uuid4().hex}")
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     rows = arriving(spark, folder, schema, pathGlobFilter=name)
     state = rows.withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp"))).groupBy(F.col("user_id").alias("sample_id"), "hour").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
