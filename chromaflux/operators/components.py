@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import windows as W
+from .joins import interval_join
 from .signal import Signal, filled, own_ids, spread, together
 
 
@@ -78,12 +79,8 @@ def prominent(components: DataFrame, samples: DataFrame, least: float) -> DataFr
     return components.join(span, "sample_id").filter(F.col("height") >= F.col("__least")).drop("__least")
 
 
-def fit_groups(samples: DataFrame, apexes: DataFrame, on: list[str], share: float = 0.48, most: int = 4) -> DataFrame:
-    """Apexes with the ``group`` they are fitted in: neighbours join while the valley between them stays above ``share`` of the shorter.
-
-    A run of more than ``most`` is cut by count. ``low`` and ``high`` are the group's outermost apexes' middles to the next
-    group, a sixth of the group's width further out; at the ends of the signal its first and last sample.
-    """
+def apex_groups(samples: DataFrame, apexes: DataFrame, on: list[str], share: float = 0.48, most: int = 4) -> DataFrame:
+    """Each apex (keys, ``apex``) with the ``group`` it is fitted in: neighbours join while the valley between them stays above ``share`` of the shorter; a run of more than ``most`` is cut by count."""
     valley = W.valleys(samples, apexes, on).join(samples.select(*on, F.col("seq").alias("valley"), F.col("y").alias("depth")), [*on, "valley"])
     own = apexes.select(*on, F.col("seq").alias("apex"), "y")
     held = own.join(valley.select(*on, F.col("next_apex").alias("apex"), "depth"), [*on, "apex"], "left")
@@ -91,7 +88,11 @@ def fit_groups(samples: DataFrame, apexes: DataFrame, on: list[str], share: floa
     apart = F.col("depth").isNull() | (F.col("depth") <= share * F.least(F.col("y"), F.lag("y").over(w)))
     run = held.withColumn("__run", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     part = F.floor((F.row_number().over(Window.partitionBy(*on, "__run").orderBy("apex")) - 1) / most)
-    grouped = run.withColumn("__part", part).withColumn("group", F.dense_rank().over(W.over(on, "__run", "__part")) - 1)
+    return run.withColumn("__part", part).withColumn("group", F.dense_rank().over(W.over(on, "__run", "__part")) - 1).drop("__run", "__part")
+
+
+def group_spans(samples: DataFrame, grouped: DataFrame, on: list[str]) -> DataFrame:
+    """``low`` and ``high`` of each group of :func:`apex_groups`: its outermost apexes' middles to the next group, a sixth of the group's width further out; at the ends of the signal its first and last sample."""
     spans = grouped.groupBy(*on, "group").agg(F.min("apex").alias("first"), F.max("apex").alias("last"), F.count("*").alias("n"))
     ends = samples.groupBy(*on).agg(F.min("seq").alias("__low"), F.max("seq").alias("__high"))
     g = W.over(on, "group")
@@ -102,6 +103,11 @@ def fit_groups(samples: DataFrame, apexes: DataFrame, on: list[str], share: floa
     return spans.select(*on, "group", "first", "last", "n", F.greatest(F.floor(F.col("low") - pad), F.col("__low")).alias("low"), F.least(F.ceil(F.col("high") + pad), F.col("__high")).alias("high"))
 
 
+def fit_groups(samples: DataFrame, apexes: DataFrame, on: list[str], share: float = 0.48, most: int = 4) -> DataFrame:
+    """Groups of apexes that are fitted together (:func:`apex_groups`) with ``first``, ``last``, ``n``, ``low`` and ``high``."""
+    return group_spans(samples, apex_groups(samples, apexes, on, share, most), on)
+
+
 def _fold(rows: DataFrame, on: list[str], order: str, near, merge) -> DataFrame:
     """Rows in ``order``, each merged into the last one kept where ``near``; inside Catalyst, as what is kept may move."""
     names = [c for c in rows.columns if c not in on]
@@ -191,7 +197,7 @@ def traces(samples: DataFrame, peaks: DataFrame, points: int = 256) -> DataFrame
     spans = peaks.join(ends("left", "x0"), ["sample_id", "left"]).join(ends("right", "x1"), ["sample_id", "right"])
     grid = spans.select("sample_id", "peak", "x0", "x1", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("t", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / (points - 1))
     # each place meets the last sample at or before it by window, over the peak's own samples
-    own = peaks.join(samples.select("sample_id", "seq", "x", "y"), "sample_id").filter(F.col("seq").between(F.col("left"), F.col("right")))
+    own = interval_join(samples.select("sample_id", "seq", "x", "y"), peaks, "seq", "left", "right", ["sample_id"], whole=True)
     nxt = Window.partitionBy("sample_id", "peak").orderBy("seq")
     own = own.select("sample_id", "peak", F.col("x").alias("t"), F.struct("x", "y", F.lead("x").over(nxt).alias("xn"), F.lead("y").over(nxt).alias("yn")).alias("s"), F.lit(None).cast("int").alias("i"))
     both = own.unionByName(grid.select("sample_id", "peak", "t", F.lit(None).cast(own.schema["s"].dataType).alias("s"), "i"))

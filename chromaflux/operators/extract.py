@@ -52,7 +52,7 @@ def peak_spectra(
     sizes = per.groupBy("sample_id").agg(F.count("*").alias("n"))
     both = both.join(sizes, "sample_id").withColumn("right", F.when(F.col("right") <= F.col("left"), F.least(F.col("left") + 3, F.col("n") - 1)).otherwise(F.col("right")))
 
-    inside = interval_join(per.drop("n"), both.drop("n"), "idx", "left", "right", on)
+    inside = interval_join(per.drop("n"), both.drop("n"), "idx", "left", "right", on, whole=True)
     facts = inside.groupBy("sample_id", "peak", "left", "right").agg(
         F.max_by(F.struct("idx", "rt"), F.struct("tic", -F.col("idx"))).alias("apex"), F.min_by("idx", F.struct("tic", "idx")).alias("lowest"),
         F.max("top").alias("level"), F.min(F.when(F.col("top") >= saturation, F.col("idx"))).alias("first"),
@@ -73,8 +73,8 @@ def peak_spectra(
 
     indexed = scans.join(per.select("sample_id", "scan", "idx", "tic"), ["sample_id", "scan"]).select("sample_id", "idx", "tic", "mz", "intensity")
     w = F.when(F.col("low") == F.col("high"), 1.0).otherwise(F.col("tic") if tic_weight else 1.0)
-    total = interval_join(per.select("sample_id", "idx", "tic"), facts.select("sample_id", "peak", "low", "high"), "idx", "low", "high", on).groupBy("sample_id", "peak").agg(F.sum(w).alias("total"))
-    mean = interval_join(indexed, facts.select("sample_id", "peak", "low", "high"), "idx", "low", "high", on).groupBy("sample_id", "peak", "mz").agg(F.sum(w * F.col("intensity")).alias("s"))
+    total = interval_join(per.select("sample_id", "idx", "tic"), facts.select("sample_id", "peak", "low", "high"), "idx", "low", "high", on, whole=True).groupBy("sample_id", "peak").agg(F.sum(w).alias("total"))
+    mean = interval_join(indexed, facts.select("sample_id", "peak", "low", "high"), "idx", "low", "high", on, whole=True).groupBy("sample_id", "peak", "mz").agg(F.sum(w * F.col("intensity")).alias("s"))
     ions = mean.join(total, ["sample_id", "peak"]).select("sample_id", "peak", "mz", F.try_divide("s", "total").alias("v"))
     if background:
         ends = F.array("left", "right") if background == "average" else F.array({"left": "left", "right": "right"}.get(background, "lowest"))

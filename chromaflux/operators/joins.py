@@ -196,15 +196,28 @@ def across(rows: DataFrame, on: list[str], run: str, x: str, tolerance: float) -
     return a.join(b, [*on, "__b"]).filter(near).drop("__b", "__x")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, on: list[str], how: str = "inner") -> DataFrame:
-    """Points within intervals of the same keys ``on``; an equi-join with a range condition, so both sides may be large."""
+def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, on: list[str], how: str = "inner", whole: bool = False, width: float | None = None) -> DataFrame:
+    """Points within intervals of the same keys ``on``; an equi-join, so both sides may be large.
+
+    On an axis of whole numbers (``whole``) an interval meets its points place by place: what is compared is what comes out.
+    Else both meet in buckets of ``width``, the mean length of the intervals if not given, so that a key with many points
+    and intervals is no product of the two.
+    """
     rest = [c for c in intervals.columns if c not in on]
     i = intervals.select(*(F.col(k).alias(f"__{k}") for k in on), *rest)
-    condition = F.col(at).between(F.col(low), F.col(high))
+    condition = F.lit(True)
     for k in on:
         condition = condition & (F.col(k) == F.col(f"__{k}"))
+    if whole:
+        i = i.withColumn("__at", F.explode(F.when(F.col(low) <= F.col(high), F.sequence(F.col(low).cast("long"), F.col(high).cast("long")))))
+        condition = condition & (F.col(at) == F.col("__at"))
+    else:
+        size = F.lit(width or intervals.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1.0)
+        cut = lambda c: F.floor(F.col(c) / size)
+        i = i.withColumn("__at", F.explode(F.when(F.col(low) <= F.col(high), F.sequence(cut(low), cut(high)))))
+        condition = condition & (cut(at) == F.col("__at")) & F.col(at).between(F.col(low), F.col(high))
     joined = points.join(i, condition, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in on))
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__at", *(f"__{k}" for k in on))
 
 
 def nearest_scan(targets: DataFrame, scans: DataFrame, on: list[str], target: str, axis: str, scan: str) -> DataFrame:

@@ -313,35 +313,52 @@ def run(samples: DataFrame, m: Method = Method()) -> DataFrame:
     return together(samples, ["x", "y"], many, schemas.PEAKS)
 
 
-def chunked(samples: DataFrame, pad: float = 0.5) -> DataFrame:
-    """Windows of neighbouring peaks: bases at 90 % of the prominence, merged over half a median width, padded, cut at valleys."""
+def chunk_bounds(x: np.ndarray, y: np.ndarray, pad: float = 0.5) -> list[tuple[int, int, int]]:
+    """(first place, last place, peaks) of a signal's windows of neighbouring peaks."""
+    low = np.sort(np.abs(y))[: max(1, len(y) // 4)]
+    floor = max(3 * low.std(), 1e-10)
+    at = K.find_peaks(y, prominence=5 * floor, distance=10 if len(y) > 200 else 2)
+    if not len(at):
+        return []
+    w, left, right = K.widths(y, at, 0.9)
+    gap = 0.5 * float(np.median(w))
+    groups: list[list[float]] = []
+    for a, b in zip(left, right, strict=True):
+        if groups and a <= groups[-1][1] + gap:
+            groups[-1][1] = max(groups[-1][1], b)
+            groups[-1][2] += 1
+        else:
+            groups.append([a, b, 1])
+    spans = [[int(max(0, g[0] - max(1, pad * (g[1] - g[0])))), int(min(len(y) - 1, g[1] + max(1, pad * (g[1] - g[0]))))] for g in groups]
+    for k in range(len(spans) - 1):
+        if spans[k][1] >= spans[k + 1][0]:
+            a, b = int(groups[k][1]), max(int(groups[k][1]), int(groups[k + 1][0]))
+            cut = a + int(np.argmin(y[a : b + 1])) if b > a else (spans[k][1] + spans[k + 1][0]) // 2
+            spans[k][1] = spans[k + 1][0] = cut
+    return [(a, b, int(g[2])) for (a, b), g in zip(spans, groups, strict=True)]
+
+
+def chunk_places(samples: DataFrame, pad: float = 0.5) -> DataFrame:
+    """Windows of neighbouring peaks: bases at 90 % of the prominence, merged over half a median width, padded, cut at valleys.
+
+    ``start`` and ``end`` are on the axis, ``low`` and ``high`` the places (``seq``) of both.
+    """
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p["x"].to_numpy(), filled(p["y"].to_numpy())
-        low = np.sort(np.abs(y))[: max(1, len(y) // 4)]
-        floor = max(3 * low.std(), 1e-10)
-        dt = float(np.median(np.diff(x))) if len(x) > 1 else 1.0
-        at = K.find_peaks(y, prominence=5 * floor, distance=10 if len(y) > 200 else 2)
-        if not len(at):
-            return pd.DataFrame({"sample_id": [], "chunk": [], "start": [], "end": [], "peaks": []})
-        w, left, right = K.widths(y, at, 0.9)
-        gap = 0.5 * float(np.median(w))
-        groups: list[list[float]] = []
-        for a, b in zip(left, right, strict=True):
-            if groups and a <= groups[-1][1] + gap:
-                groups[-1][1] = max(groups[-1][1], b)
-                groups[-1][2] += 1
-            else:
-                groups.append([a, b, 1])
-        spans = [[int(max(0, g[0] - max(1, pad * (g[1] - g[0])))), int(min(len(y) - 1, g[1] + max(1, pad * (g[1] - g[0]))))] for g in groups]
-        for k in range(len(spans) - 1):
-            if spans[k][1] >= spans[k + 1][0]:
-                a, b = int(groups[k][1]), max(int(groups[k][1]), int(groups[k + 1][0]))
-                cut = a + int(np.argmin(y[a : b + 1])) if b > a else (spans[k][1] + spans[k + 1][0]) // 2
-                spans[k][1] = spans[k + 1][0] = cut
-        return pd.DataFrame({"sample_id": p["sample_id"].iloc[0], "chunk": range(len(spans)), "start": [x[a] for a, _ in spans], "end": [x[b] for _, b in spans], "peaks": [g[2] for g in groups], "dt": dt}).drop(columns="dt")
-
-    return grouped(samples, one, "sample_id long, chunk int, start double, end double, peaks int")
+    def many(signals: list[Signal]) -> dict[str, list]:
+        found = [chunk_bounds(s["x"], filled(s["y"]), pad) for s in signals]
+        each = [(s, k, *c) for s, own in zip(signals, found, strict=True) for k, c in enumerate(own)]
+        return {
+            **repeated(signals, [len(f) for f in found], "sample_id"), "chunk": [r[1] for r in each],
+            "start": [s["x"][a] for s, _, a, _, _ in each], "end": [s["x"][b] for s, _, _, b, _ in each], "peaks": [r[4] for r in each],
+            "low": [s["seq"][a] for s, _, a, _, _ in each], "high": [s["seq"][b] for s, _, _, b, _ in each],
+        }
+
+    return together(samples, ["x", "y"], many, "sample_id long, chunk int, start double, end double, peaks int, low long, high long")
+
+
+def chunked(samples: DataFrame, pad: float = 0.5) -> DataFrame:
+    """:func:`chunk_places` on the axis."""
+    return chunk_places(samples, pad).select("sample_id", "chunk", "start", "end", "peaks")
 
 
 def split_geometric(samples: DataFrame, valley: float = 0.48) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import emg as X
 from ..operators import joins as J
 from ..operators import quant as Q
 from ..operators import signal as G
@@ -57,6 +58,25 @@ def emg_fit(spark, d):
     return G.fit_emg(signals(spark, d))
 
 
+def _tops(s):
+    """The apexes of each signal that rise above the middle of its range."""
+    middle = s.groupBy("sample_id").agg(((F.max("y") + F.min("y")) / 2).alias("__m"))
+    return W.local_maxima(s, ["sample_id"]).join(middle, "sample_id").filter(F.col("y") > F.col("__m")).drop("__m")
+
+
+def emg_group_fit(spark, d):
+    """Neighbouring apexes of every signal fitted together."""
+    s = signals(spark, d)
+    return X.fitted(s, _tops(s), ["sample_id"])
+
+
+def boundary_refit(spark, d):
+    """The same within the signal's chunks; chunks that cut through a component are merged and fitted once more."""
+    s = signals(spark, d)
+    found, _ = X.refitted(s, _tops(s), G.chunk_places(s).select("sample_id", "chunk", "low", "high"))
+    return found
+
+
 def tic_align(spark, d):
     s = signals(spark, d)
     return G.aligned(s.withColumn("channel", F.when(F.col("channel") == "click", "a").otherwise("b")), 120.0, 2000)
@@ -111,7 +131,7 @@ def raw_peaks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
+    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
 } | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
 #: A strict maximum's prominence: its height over the higher of the two lowest values up to the next higher ones.
