@@ -61,8 +61,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+#: Spark's own number of rows that go to Python in one Arrow batch, and what takes its place for texts.
+USUAL_BATCH, TEXT_BATCH = "10000", "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have ``TEXT_BATCH`` rows, unless the session has a number of its own: 10,000 long texts a batch are held several times, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, USUAL_BATCH) == USUAL_BATCH:
+        spark.conf.set(name, TEXT_BATCH)
+
+
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` as long and ``text`` without nulls (a null text counts as empty), with ``extra`` columns."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 

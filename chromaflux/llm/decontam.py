@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lean, rows_of, text_bytes, texts
+from .common import column, lean, rows_of, small_batches, text_bytes, texts
 
 #: Bytes of a q-gram and of a window (a shorter item is one window), and edits allowed per byte.
 Q, WINDOW, EDITS = 12, 64, 0.05
@@ -297,6 +297,7 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the texts that hold a benchmark passage; all columns and all other rows stay as they are."""
+    small_batches(docs.sparkSession)
     for index in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import column, lean, remove, written
+from .common import column, lean, remove, small_batches, written
 
 #: Fixed values of the task: grammar (s?(ua)+)? as state -> role initial -> state, costs, and what a turn may end with.
 GRAMMAR = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
@@ -272,6 +272,7 @@ def repaired(turns: DataFrame, texts: bool = False) -> DataFrame:
     Equal rows are counted before anything is dealt by range, so no row is hot. What is not spread is what one value needs:
     the audit of a conversation, and its SHA-256, which reads the turns of a cut conversation in order as a stream.
     """
+    small_batches(turns.sparkSession)
     kind_of_id = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")), F.col("copies").cast("long").alias("copies"))
     rows = written(rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("digest", F.sha2("text", 256)))
