@@ -451,12 +451,27 @@ def hungarian(cost: Array) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
-def sharpness(x: Array, y: Array, left: int, apex: int, right: int) -> float:
-    """Half the difference of the median slopes to the apex from both sides, over points above a quarter of its height."""
-    high = y[apex] * 0.25
-    a = [(y[apex] - y[i]) / (apex - i) for i in range(left, apex) if y[i] > high]
-    b = [(y[apex] - y[i]) / (apex - i) for i in range(apex + 1, right + 1) if y[i] > high]
-    return float((np.median(a) - np.median(b)) / 2) if a and b else -1.0
+def sharpness(y: Array, left: int, right: int) -> float:
+    """Mean of the median slopes, a step, up to the top and down from it, over points a quarter of the way from the line between the bounds to the top.
+
+    Where only one side has such points its slope counts as it is, upward positive; no height above the line, or none at
+    all, gives -1.
+    """
+    part = np.asarray(y[left : right + 1], float)
+    top = int(np.argmax(part)) if len(part) else 0
+    if len(part) < 2 or part[top] <= 0:
+        return -1.0
+    line = part[0] + (part[-1] - part[0]) * top / (len(part) - 1)
+    if part[top] <= line:
+        return -1.0
+    place = np.arange(len(part))
+    high = part >= line + 0.25 * (part[top] - line)
+    up, down = (high & (place < top)).nonzero()[0], (high & (place > top)).nonzero()[0]
+    rise = float(np.median((part[top] - part[up]) / (top - up))) if len(up) else None
+    fall = float(np.median((part[down] - part[top]) / (down - top))) if len(down) else None
+    if rise is None and fall is None:
+        return -1.0
+    return fall if rise is None else rise if fall is None else (rise - fall) / 2
 
 
 def shape_angle(xa: Array, ya: Array, xb: Array, yb: Array) -> float:
@@ -468,9 +483,13 @@ def shape_angle(xa: Array, ya: Array, xb: Array, yb: Array) -> float:
 
 
 def is_shared(y: Array, edge: float = 0.3, delta: float = 0.3) -> bool:
-    """More than one inner maximum, or an edge too high, or edges too unlike."""
-    top = y.max() if len(y) else 0.0
-    return bool(top <= 0 or len(maxima(y)) > 1 or max(y[0], y[-1]) / top >= edge or abs(y[0] - y[-1]) / top >= delta)
+    """More than one inner maximum, or an edge too high, or edges too unlike; a single point or a trace at zero is not shared."""
+    if len(y) < 2:
+        return False
+    if len(maxima(y)) > 1:
+        return True
+    top = float(np.max(y))
+    return top != 0 and bool(max(y[0], y[-1]) / top >= edge or abs(y[0] - y[-1]) / top >= delta)
 
 
 def lag(xa: Array, ya: Array, xb: Array, yb: Array, most: float, points: int = 10_000) -> float:

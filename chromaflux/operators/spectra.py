@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import kernels as K
 from .joins import small
+from .library import direct_spectrum
 from .signal import own_ids, spread, typed
 from .windows import dbscan_1d
 
@@ -73,7 +75,7 @@ def ion_peaks(scans: DataFrame, height: float = 200.0, prominence: float = 1000.
         a, b = np.floor(left).astype(int), np.minimum(np.ceil(right).astype(int), len(y) - 1)
         return pd.DataFrame({
             **{k: p[k].iloc[0] for k in keys}, "rt_apex": rt[at], "left": rt[a], "right": rt[b], "height": y[at],
-            "sharpness": [K.sharpness(rt, y, i, k, j) for i, k, j in zip(a, at, b, strict=True)],
+            "sharpness": [K.sharpness(y, i, j) for i, j in zip(a, b, strict=True)],
             "shared": [K.is_shared(y[i : j + 1]) for i, j in zip(a, b, strict=True)],
             "rts": pd.Series([rt[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object), "ys": pd.Series([y[i : j + 1] for i, j in zip(a, b, strict=True)], dtype=object),
         })
@@ -100,30 +102,43 @@ def complete_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpness: float = 10.0, angle: float = 30.0, on: list[str] | None = None) -> DataFrame:
+#: How a cluster's model peak is chosen: the largest of this column.
+CHOICES = {"sharpness": "sharpness", "intensity": "height", "mz": "mz"}
+
+
+def deconvolved(
+    peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpness: float = 10.0, angle: float = 30.0, on: list[str] | None = None,
+    excluded: tuple[float, ...] = (), tolerance: float = 0.5, min_intensity: float = 200.0, choice: str = "sharpness",
+) -> DataFrame:
     """Components of each cluster of ion peaks: model peaks by shape, other ions shared out by non-negative least squares.
 
     ``peaks`` is what :func:`ion_peaks` returns. Peaks are clustered by their times first (:func:`.windows.dbscan_1d`), and
-    a cluster is a group of its own, so a long run is many tasks. A cluster without a fit candidate has its sharpest peak as
-    model. Components are numbered by cluster.
+    a cluster is a group of its own, so a long run is many tasks; one whose highest peak is below ``min_intensity`` is
+    left out. Candidates for models are sharp, unshared and not within ``tolerance`` of an ``excluded`` mass. A cluster
+    without any has its best peak by ``choice`` as model and the direct spectrum of the whole run at its time
+    (:func:`.library.direct_spectrum`). Components are numbered by cluster.
     """
-    keys = on or ["sample_id"]
+    keys, best = on or ["sample_id"], CHOICES[choice]
     clustered = dbscan_1d(peaks, keys, "rt_apex", eps, least, "mz").filter("cluster is not null")
+    clustered = clustered.withColumn("__top", F.max("height").over(Window.partitionBy(*keys, "cluster"))).filter(F.col("__top") >= min_intensity).drop("__top")
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["rt_apex", "mz"]).reset_index(drop=True)
-        good = own[(~own["shared"]) & (own["sharpness"] >= min_sharpness)]
+        key = [own[k].iloc[0] for k in (*keys, "cluster")]
+        names = [*keys, "cluster", "of_cluster", "rt", "model_mz", "mz", "intensity"]
+        barred = own["mz"].map(lambda m: any(abs(m - e) <= tolerance for e in excluded)).astype(bool)
+        good = own[(~own["shared"]) & (own["sharpness"] >= min_sharpness) & ~barred]
         if len(good) == 0:
-            models = own.loc[[own["sharpness"].idxmax()]]
-        else:
-            m = len(good)
-            rts, shapes = good["rts"].tolist(), [y / h for y, h in zip(good["ys"], good["height"], strict=True)]
-            dist = np.zeros((m, m))
-            for i in range(m):
-                for j in range(i):
-                    dist[i, j] = dist[j, i] = K.shape_angle(rts[i], shapes[i], rts[j], shapes[j])
-            label = complete_linkage(dist, angle)
-            models = good.loc[[good.index[label == s][np.argmax(good["sharpness"].to_numpy()[label == s])] for s in np.unique(label)]]
+            model = own.loc[own[best].idxmax()]
+            return pd.DataFrame([(*key, -1, model["rt_apex"], model["mz"], model["mz"], 0.0)], columns=names)
+        m = len(good)
+        rts, shapes = good["rts"].tolist(), [y / h for y, h in zip(good["ys"], good["height"], strict=True)]
+        dist = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i):
+                dist[i, j] = dist[j, i] = K.shape_angle(rts[i], shapes[i], rts[j], shapes[j])
+        label = complete_linkage(dist, angle)
+        models = good.loc[[good.index[label == s][np.argmax(good[best].to_numpy()[label == s])] for s in np.unique(label)]]
         model_rt, model_x = models["rt_apex"].tolist(), models["rts"].tolist()
         model_y = [y / h for y, h in zip(models["ys"], models["height"], strict=True)]
         spectra: list[dict[float, float]] = [{} for _ in model_rt]
@@ -136,15 +151,20 @@ def deconvolved(peaks: DataFrame, eps: float = 0.005, least: int = 2, min_sharpn
             for i, v in zip(inside, K.nnls(a, np.interp(axis, q.rts, q.ys / q.height, 0, 0)), strict=True):
                 if v > 0:
                     spectra[i][q.mz] = spectra[i].get(q.mz, 0.0) + v * q.height
-        key = [own[k].iloc[0] for k in (*keys, "cluster")]
         rows = [(*key, i, model_rt[i], models["mz"].iloc[i], mz, v) for i, s in enumerate(spectra) for mz, v in sorted(s.items())]
-        return pd.DataFrame(rows, columns=[*keys, "cluster", "of_cluster", "rt", "model_mz", "mz", "intensity"])
+        return pd.DataFrame(rows, columns=names)
 
     mass = peaks.schema["mz"].dataType.simpleString()
     schema = typed(peaks, *keys) + f", cluster long, of_cluster int, rt double, model_mz {mass}, mz {mass}, intensity double"
-    found = spread(clustered, *keys, "cluster").groupBy(*keys, "cluster").applyInPandas(one, schema)
+    found = kept(spread(clustered, *keys, "cluster").groupBy(*keys, "cluster").applyInPandas(one, schema))
+    # clusters without a candidate, which have one row
+    bare = found.filter("of_cluster < 0")
+    traces = peaks.join(bare.select(*keys).distinct(), keys, "left_semi").select(*keys, "mz", F.explode(F.arrays_zip("rts", "ys")).alias("p")).select(*keys, "mz", F.col("p.rts").alias("rt"), F.col("p.ys").alias("intensity"))
+    direct = direct_spectrum(bare.select(*keys, F.col("cluster").alias("model"), "rt"), peaks, traces, keys)
+    whole = bare.select(*keys, "cluster", "of_cluster", "rt", "model_mz").join(direct.select(*keys, F.col("model").alias("cluster"), "mz", "intensity"), [*keys, "cluster"])
+    both = found.filter("of_cluster >= 0").unionByName(whole)
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cluster", "of_cluster")) - 1
-    return found.select(*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity")
+    return both.select(*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity")
 
 
 def assign_greedy(pairs: DataFrame, tolerance: float, on: list[str] | None = None) -> DataFrame:

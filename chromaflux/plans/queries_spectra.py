@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import extract as E
+from ..operators import library as L
 from ..operators import spectra as M
 from ..operators import windows as W
 from .adapters import SIGNALS, SPECTRA, signals, spectra, table
@@ -116,6 +118,90 @@ def picked_scans(spark, d):
     return E.picked_scans(plane, peaks, 5, 12).select("sample_id", "number", F.col("at").cast("long").alias("at"))
 
 
+# --- library scores ---------------------------------------------------------------------------------------------------
+
+
+def _scored(weights: tuple[float, float], unmatched: str = "keep_all", shift: int = 0, composite: bool = True) -> str:
+    """DuckDB: the five best hits of every fiftieth spectrum; ratios go over a pair's shared ions in order of their masses."""
+    mass, power = weights
+    ions = {"keep_all": ("uu", "nu", "vv"), "remove_all": ("su", "n", "sv"), "keep_library": ("su", "n", "vv"), "keep_experimental": ("uu", "nu", "sv")}[unmatched]
+    uu, nu, vv = ions
+    score = f"dot / sqrt({uu} * {vv})"
+    if composite:
+        score = f"({nu} * {score} + n * r) / ({nu} + n)"
+    return f"""WITH {SPECTRA}, a AS (SELECT id AS query, mz + {shift} AS mz, intensity AS iu, pow(mz + {shift}, {mass}) * pow(intensity, {power}) AS u FROM spectra WHERE id % 50 = 0 AND intensity > 0),
+b AS (SELECT id AS hit, mz, intensity AS iv, pow(mz, {mass}) * pow(intensity, {power}) AS v FROM spectra WHERE intensity > 0),
+m AS (SELECT query, hit, u, v, (iv / lag(iv) OVER w) * (lag(iu) OVER w / iu) AS q FROM a JOIN b USING (mz) WINDOW w AS (PARTITION BY query, hit ORDER BY mz)),
+s AS (SELECT query, hit, sum(u * v) AS dot, sum(u * u) AS su, sum(v * v) AS sv, count(*) AS n, coalesce(sum(least(q, 1 / q)), 0) / count(*) AS r FROM m GROUP BY ALL),
+x AS (SELECT query, sum(u * u) AS uu, count(*) AS nu FROM a GROUP BY 1), y AS (SELECT hit, sum(v * v) AS vv FROM b GROUP BY 1),
+c AS (SELECT query, hit, {score} AS score FROM s JOIN x USING (query) JOIN y USING (hit)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, hit) AS rank FROM c)
+SELECT query, hit, round(score, 6) AS score, rank FROM k WHERE rank <= 5"""
+
+
+def _uneven(spark, d):
+    """Every embedding as a spectrum without its weakest ions, so that spectra differ in the ions they have."""
+    return M.relative_filter(spectra(spark, d).select("id", "mz", "intensity"), ["id"], 0.3)
+
+
+def _best_five(found):
+    return found.select("query", "hit", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _sparse(sql: str) -> str:
+    """The same over spectra without ions up to 0.3 of their highest."""
+    cut = "spectra AS (SELECT * FROM (SELECT *, max(intensity) OVER (PARTITION BY id) AS top FROM whole) WHERE intensity > 0.3 * top)"
+    return sql.replace(SPECTRA, SPECTRA.replace("spectra AS", "whole AS", 1) + ", " + cut, 1)
+
+
+def _library_query(name: str, scoring: L.Scoring):
+    def run(spark, d):
+        s = _uneven(spark, d)
+        return _best_five(L.vector_search(s.filter("id % 50 = 0"), s, 5, scoring))
+
+    run.__name__ = name
+    query(_sparse(_scored(L.WEIGHTINGS[scoring.weighting], scoring.unmatched, scoring.shift, scoring.similarity == "composite")))(run)
+
+
+for _name, _scoring in {
+    "composite_search": L.Scoring(),
+    "cosine_nist": L.Scoring("cosine", "NIST"),
+    "unmatched_remove_all": L.Scoring(unmatched="remove_all"),
+    "unmatched_keep_library": L.Scoring("cosine", "None", "keep_library"),
+    "unmatched_keep_experimental": L.Scoring(weighting="NIST", unmatched="keep_experimental"),
+    "shifted_search": L.Scoring(weighting="None", shift=1),
+}.items():
+    _library_query(_name, _scoring)
+
+
+@query()
+def embedding_search(spark, d):
+    s = _uneven(spark, d)
+    return L.embedding_search(s.filter("id % 50 = 0"), s, L.ion_vectors(s)).select("query", "hit", "score", "rank")
+
+
+@query()
+def hybrid_search(spark, d):
+    s = _uneven(spark, d)
+    return L.hybrid_search(s.filter("id % 50 = 0"), s, L.ion_vectors(s)).select("query", "hit", "score", "rank")
+
+
+#: Bounds of the ion peaks of `direct_spectrum`: five scans around each local maximum of an ion's trace.
+@query(f"""WITH {SCANS}, o AS (SELECT *, row_number() OVER w AS i, lag(intensity) OVER w AS p, lead(intensity) OVER w AS n FROM scans WINDOW w AS (PARTITION BY sample_id, mz ORDER BY scan)),
+b AS (SELECT *, lag(rt, 5) OVER w AS l, lead(rt, 5) OVER w AS r FROM o WINDOW w AS (PARTITION BY sample_id, mz ORDER BY scan)), pk AS (SELECT sample_id, mz, l, r FROM b WHERE intensity > p AND intensity > n AND l IS NOT NULL AND r IS NOT NULL),
+t AS (SELECT c_custkey % 10 AS sample_id, c_custkey AS model, (c_custkey * 37 % 20000) / 1000.0::DOUBLE AS goal FROM customer), h AS (SELECT DISTINCT t.sample_id, model, goal, mz FROM t JOIN pk ON t.sample_id = pk.sample_id AND goal BETWEEN l AND r),
+e AS (SELECT h.sample_id, model, goal, h.mz, arg_max(struct_pack(x := rt, y := intensity), rt) FILTER (WHERE rt <= goal) AS b, arg_min(struct_pack(x := rt, y := intensity), rt) FILTER (WHERE rt >= goal) AS a FROM h JOIN scans s ON s.sample_id = h.sample_id AND s.mz = h.mz GROUP BY ALL)
+SELECT sample_id, model, mz, round(CASE WHEN b IS NULL THEN a.y WHEN a IS NULL OR a.x = b.x THEN b.y ELSE b.y + (a.y - b.y) * (goal - b.x) / (a.x - b.x) END, 3) AS intensity FROM e""")
+def direct_spectrum(spark, d):
+    s = scans(spark, d)
+    w = Window.partitionBy("sample_id", "mz").orderBy("scan")
+    top = (F.col("intensity") > F.lag("intensity").over(w)) & (F.col("intensity") > F.lead("intensity").over(w))
+    peaks = s.select("sample_id", "mz", F.col("rt").alias("rt_apex"), F.lag("rt", 5).over(w).alias("left"), F.lead("rt", 5).over(w).alias("right"), top.alias("top")).filter("top and left is not null and right is not null")
+    k = F.col("c_custkey")
+    models = table(spark, d, "customer").select((k % 10).alias("sample_id"), k.alias("model"), ((k * 37 % 20000) / 1000.0).alias("rt"))
+    found = L.direct_spectrum(models, peaks, s, ["sample_id"])
+    return found.select("sample_id", "model", F.col("mz").cast("long").alias("mz"), F.round("intensity", 3).alias("intensity"))
+
+
 # --- components -------------------------------------------------------------------------------------------------------
 
 
