@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..shared import kept
 from . import kernels as K
 
 
@@ -313,6 +314,34 @@ def run(samples: DataFrame, m: Method = Method()) -> DataFrame:
     return together(samples, ["x", "y"], many, schemas.PEAKS)
 
 
+def run_isolated(samples: DataFrame, m: Method = Method()) -> tuple[DataFrame, DataFrame]:
+    """(peaks, failures) of :func:`run`, where a signal that raises holds up no other: it has a row (sample_id, error) instead.
+
+    Signals are worked on together as in :func:`run`; only where that raises are they taken one by one. The result is kept,
+    so signals are worked on once.
+    """
+    schema = f"{schemas.PEAKS}, error string"
+
+    def rows_of(signals: list[Signal]) -> list[tuple]:
+        found = corrected(signals, m)
+        return [(*r, None) for s, (y, base) in zip(signals, found, strict=True) for r in peaks_of(s.sample_id, s["x"], filled(y - base), m)]
+
+    def many(signals: list[Signal]) -> dict[str, list]:
+        try:
+            rows = rows_of(signals)
+        except Exception:  # whatever one signal brings
+            rows = []
+            for s in signals:
+                try:
+                    rows += rows_of([s])
+                except Exception as e:  # noqa: BLE001
+                    rows.append((s.sample_id, *[None] * (len(PEAK_NAMES) - 1), f"{type(e).__name__}: {e}"))
+        return {c: [r[i] for r in rows] for i, c in enumerate([*PEAK_NAMES, "error"])}
+
+    found = kept(together(samples, ["x", "y"], many, schema))
+    return found.filter("error is null").drop("error"), found.filter("error is not null").select("sample_id", "error")
+
+
 def chunk_bounds(x: np.ndarray, y: np.ndarray, pad: float = 0.5) -> list[tuple[int, int, int]]:
     """(first place, last place, peaks) of a signal's windows of neighbouring peaks."""
     low = np.sort(np.abs(y))[: max(1, len(y) // 4)]
