@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import quant as Q
 from ..operators import signal as G
 from ..operators import spectra as M
 from ..operators import windows as W
+from ..shared import shared_dir
 from .adapters import SIGNALS, rt_table, signals, spectra, table
 
 METHOD = G.Method(lam=1e3, min_prominence=0.2)
@@ -120,6 +123,37 @@ def stream_ingest(spark, d):
     return ingest_once(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
 
+LEVEL, LATE_HOURS = 60.0, 6
+
+
+def _timed(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("sample_id"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("y"))
+
+
+def _closed(found):
+    return found.select("sample_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end", "apex")), F.round("height", 6).alias("height"), F.round("area", 6).alias("area"), F.col("samples").cast("long").alias("samples"))
+
+
+def closed_peaks(spark, d):
+    """Stretches of events above a level, ended by one below."""
+    from ..streaming.online import closed_peaks
+
+    return _closed(closed_peaks(_timed(spark, d), LEVEL))
+
+
+def online_peaks(spark, d):
+    """The same from a stream: peaks closed by what the watermark has passed when the stream has taken in all events."""
+    from ..streaming import online
+
+    rows = online.with_state(spark).readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*").parquet(d)
+    samples = rows.select(F.col("user_id").alias("sample_id"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("y"))
+    root = f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    found = online.online_peaks(samples, LEVEL, f"{LATE_HOURS} hours")
+    found.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _closed(spark.read.schema(found.schema).parquet(f"{root}/table"))
+
+
 RAW = G.Method(baseline=None, min_prominence=0.2)
 
 
@@ -131,7 +165,7 @@ def raw_peaks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, full_run)
+    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, closed_peaks, online_peaks, full_run)
 } | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
 #: A strict maximum's prominence: its height over the higher of the two lowest values up to the next higher ones.
@@ -150,4 +184,18 @@ UNION ALL SELECT r.sample_id, n.k, CASE WHEN list_contains(ps, peak) OR list_con
 f AS (SELECT sample_id, arg_max(ps, k) AS ps, arg_max(cs, k) AS cs FROM r GROUP BY 1), u AS (SELECT sample_id, unnest(ps) AS peak, unnest(cs) AS component FROM f)
 SELECT sample_id, peak, component, abs(peak - component)::DOUBLE AS distance FROM u"""
 
-SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL}
+
+
+def _closed_sql(source: str) -> str:
+    return f"""WITH e AS ({source}), m AS (SELECT *, coalesce(y > {LEVEL}, false) AS high, lag(t) OVER w AS t0, lag(y) OVER w AS y0 FROM e WINDOW w AS (PARTITION BY sample_id ORDER BY t)),
+b AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY sample_id ORDER BY t), false) AS before FROM m), r AS (SELECT *, sum(CASE WHEN high AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id ORDER BY t) AS run FROM b),
+h AS (SELECT *, max(CASE WHEN high THEN y END) OVER (PARTITION BY sample_id, run) AS top FROM r WHERE run > 0)
+SELECT sample_id, min(t) FILTER (WHERE high) AS start, max(t) FILTER (WHERE high) AS "end", min(t) FILTER (WHERE high AND y = top) AS apex, round(any_value(top), 6) AS height,
+round(sum(CASE WHEN high AND before THEN (epoch_us(t) - epoch_us(t0)) / 6e7 * (y + y0) / 2 ELSE 0 END), 6) AS area, count(*) FILTER (WHERE high) AS samples FROM h GROUP BY sample_id, run HAVING bool_or(NOT high)"""
+
+
+EVENTS = "SELECT user_id AS sample_id, ts AS t, value AS y FROM events"
+#: The watermark is the time of the last event, in whole milliseconds, less what may come late.
+PASSED = f"{EVENTS} WHERE epoch_us(ts) < (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 - {LATE_HOURS} * 3600000000 FROM events)"
+
+SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL, "closed_peaks": _closed_sql(EVENTS), "online_peaks": _closed_sql(PASSED)}

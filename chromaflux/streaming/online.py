@@ -64,8 +64,8 @@ class OpenPeaks(StatefulProcessor):
         rest = every[len(ready) :]
         if rest:
             self.waiting.put(rest)
-            # milliseconds round down: the next one is past the last sample that waits
-            self.handle.registerTimer(max(watermark, rest[-1][0] // 1000) + 1)
+            # milliseconds round down: the next one is past the first sample that waits
+            self.handle.registerTimer(max(watermark, rest[0][0] // 1000) + 1)
         else:
             self.waiting.clear()
         now = tuple(self.open.get()) if self.open.exists() else None
