@@ -13,6 +13,7 @@ from ..operators import quant as Q
 from ..operators import signal as G
 from ..operators import spectra as M
 from ..operators import windows as W
+from ..registry import register_sql
 from ..shared import shared_dir
 from .adapters import SIGNALS, rt_table, signals, spectra, table
 
@@ -163,9 +164,24 @@ def raw_peaks(spark, d):
     return G.detect(s.select("sample_id", "seq", "x", F.col("y").alias("original_y"), F.col("y").alias("smoothed_y"), F.lit(0.0).alias("baseline_y"), F.col("y").alias("corrected_y")), RAW).select("sample_id", "seq", F.round("y", 6).alias("y"))
 
 
+def sql_run_peaks(spark, d):
+    """Peaks of whole runs by the table function in SQL."""
+    register_sql(spark)
+    signals(spark, d).select("sample_id", "x", "y").createOrReplaceTempView("chromaflux_runs")
+    found = spark.sql("SELECT * FROM run_peaks(TABLE(chromaflux_runs) PARTITION BY (sample_id) ORDER BY (x), 0.2D)")
+    return found.select("sample_id", F.round("retention_time", 6).alias("retention_time"))
+
+
+def sql_noise(spark, d):
+    """A grouped aggregate in SQL."""
+    register_sql(spark)
+    signals(spark, d).createOrReplaceTempView("chromaflux_runs")
+    return spark.sql("SELECT sample_id, round(noise_level(y), 6) AS noise FROM chromaflux_runs GROUP BY sample_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, closed_peaks, online_peaks, full_run)
+    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, closed_peaks, online_peaks, sql_run_peaks, sql_noise, full_run)
 } | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
 #: A strict maximum's prominence: its height over the higher of the two lowest values up to the next higher ones.
@@ -198,4 +214,7 @@ EVENTS = "SELECT user_id AS sample_id, ts AS t, value AS y FROM events"
 #: The watermark is the time of the last event, in whole milliseconds, less what may come late.
 PASSED = f"{EVENTS} WHERE epoch_us(ts) < (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 - {LATE_HOURS} * 3600000000 FROM events)"
 
-SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL, "closed_peaks": _closed_sql(EVENTS), "online_peaks": _closed_sql(PASSED)}
+SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL, "closed_peaks": _closed_sql(EVENTS), "online_peaks": _closed_sql(PASSED)} | {
+    "sql_run_peaks": f"WITH {SIGNALS} SELECT CAST(r.sample_id AS VARCHAR) AS sample_id, round(s.x, 6) AS retention_time FROM ({RAW_SQL}) r JOIN signals s USING (sample_id, seq)",
+    "sql_noise": f"WITH {SIGNALS}, m AS (SELECT *, median(y) OVER (PARTITION BY sample_id) AS middle FROM signals) SELECT sample_id, round(1.4826 * median(abs(y - middle)), 6) AS noise FROM m GROUP BY 1",
+}

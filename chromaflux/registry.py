@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import WEIGHTS
@@ -84,8 +84,10 @@ SQL_FUNCTIONS = (
 def register_sql(spark: SparkSession) -> list[str]:
     """Registers the engine's functions with a session, and returns their names.
 
-    Scalars are SQL functions; ``baseline``, ``smoothed`` and ``simpson_area`` take arrays, batch by batch; ``signal_peaks``
-    is a table function of a signal's arrays.
+    Scalars are SQL functions; ``baseline``, ``smoothed`` and ``simpson_area`` take arrays, batch by batch; ``simpson``, ``noise_level``
+    and ``asymmetry`` are aggregates of a group's x and y (y alone); ``signal_peaks`` is a table function of a signal's arrays and
+    ``run_peaks`` one of a table: ``run_peaks(TABLE(samples) PARTITION BY (sample_id) ORDER BY (x), 0.05)`` gets each run's rows (sample_id, x, y) as they
+    are dealt and sorted, without any array column.
     """
     names = []
     for name, params, result, body in SQL_FUNCTIONS:
@@ -109,6 +111,49 @@ def register_sql(spark: SparkSession) -> list[str]:
     def simpson_area(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else float(K.simpson(np.asarray(b, float), np.asarray(a, float))) for a, b in zip(x, y, strict=True)], dtype="float64")
 
+    def in_order(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        a, b = x.to_numpy(float), y.to_numpy(float)
+        ok = ~(np.isnan(a) | np.isnan(b))
+        order = np.argsort(a[ok], kind="stable")
+        return a[ok][order], b[ok][order]
+
+    @F.pandas_udf("double")
+    def simpson(x: pd.Series, y: pd.Series) -> float:
+        a, b = in_order(x, y)
+        return float(K.simpson(b, a)) if len(a) > 1 else 0.0
+
+    @F.pandas_udf("double")
+    def noise_level(y: pd.Series) -> float:
+        v = y.dropna().to_numpy(float)
+        return float(1.4826 * np.median(np.abs(v - np.median(v)))) if len(v) else 0.0
+
+    @F.pandas_udf("double")
+    def asymmetry(x: pd.Series, y: pd.Series) -> float | None:
+        """Back over front at a tenth of the height above the lowest value."""
+        a, b = in_order(x, y)
+        if len(b) < 3:
+            return None
+        high = np.nonzero(b - b.min() >= 0.1 * (b.max() - b.min()))[0]
+        top = int(np.argmax(b))
+        front = a[top] - a[high[0]]
+        return float((a[high[-1]] - a[top]) / front) if front > 0 else None
+
+    @F.udtf(returnType="sample_id string, peak_number int, retention_time double, area double, start_time double, end_time double")
+    class RunPeaks:
+        def __init__(self) -> None:
+            self.x, self.y, self.sample, self.least = [], [], None, 0.05
+
+        def eval(self, row: Row, prominence: float) -> None:
+            self.sample, self.least = row["sample_id"], float(prominence)
+            if row["x"] is not None:
+                self.x.append(row["x"])
+                self.y.append(np.nan if row["y"] is None else row["y"])
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.x:
+                for r in G.peaks_of(0, np.array(self.x), G.filled(np.array(self.y, float)), G.Method(min_prominence=self.least)):
+                    yield str(self.sample), r[2], r[3], r[6], r[7], r[8]
+
     @F.udtf(returnType="peak_number int, retention_time double, area double, start_time double, end_time double")
     class SignalPeaks:
         def eval(self, x: list, y: list, prominence: float) -> Iterator[tuple]:
@@ -116,8 +161,10 @@ def register_sql(spark: SparkSession) -> list[str]:
             for r in G.peaks_of(0, a, b, G.Method(min_prominence=prominence)):
                 yield r[2], r[3], r[6], r[7], r[8]
 
-    for name, f in (("baseline", baseline), ("smoothed", smoothed), ("simpson_area", simpson_area)):
+    aggregates = (("simpson", simpson), ("noise_level", noise_level), ("asymmetry", asymmetry))
+    for name, f in (("baseline", baseline), ("smoothed", smoothed), ("simpson_area", simpson_area), *aggregates):
         spark.udf.register(name, f)
         names.append(name)
     spark.udtf.register("signal_peaks", SignalPeaks)
-    return [*names, "signal_peaks"]
+    spark.udtf.register("run_peaks", RunPeaks)
+    return [*names, "signal_peaks", "run_peaks"]
