@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import kernels as K
 from . import spectra as M
 from . import windows as W
@@ -86,6 +87,43 @@ def peak_spectra(
     return kept.join(facts.select("sample_id", "peak", "apex_rt", "is_saturated", "level"), ["sample_id", "peak"]).select("sample_id", "peak", F.col("apex_rt").alias("rt"), "mz", F.col("v").alias("intensity"), "is_saturated", "level")
 
 
+def next_places(targets: DataFrame, axis: DataFrame, names: list[str]) -> DataFrame:
+    """``targets`` (sample_id, peak, columns ``names`` on the axis) with the place of the first scan at or after each: ``names`` with ``_idx``; beyond the last scan null.
+
+    axis: sample_id, idx, rt. Both are merged on the axis and looked up by window.
+    """
+    asked = targets.select("sample_id", "peak", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("t")) for c in names))).alias("a")).select("sample_id", "peak", "a.c", "a.t")
+    both = axis.select("sample_id", F.lit(None).cast(targets.schema["peak"].dataType).alias("peak"), F.lit(None).cast("string").alias("c"), F.col("rt").alias("t"), "idx").unionByName(asked.withColumn("idx", F.lit(None).cast(axis.schema["idx"].dataType)))
+    w = Window.partitionBy("sample_id").orderBy("t", F.col("idx").isNotNull()).rowsBetween(0, Window.unboundedFollowing)  # a target before the scan of its very time
+    found = both.withColumn("at", F.first("idx", ignorenulls=True).over(w)).filter("c is not null")
+    wide = found.groupBy("sample_id", "peak").agg(*(F.max(F.when(F.col("c") == c, F.col("at"))).alias(f"{c}_idx") for c in names))
+    return targets.join(wide, ["sample_id", "peak"])
+
+
+def peak_quality(peaks: DataFrame, scans: DataFrame, least: float = 0.7, high: float = 0.9, share: float = 0.5, ions: int = 10) -> DataFrame:
+    """Spectral coherence of each peak (sample_id, peak, rt, start, end): do its strongest ions rise and fall together?
+
+    The ``ions`` strongest of the scan at the apex are correlated pair by pair over the peak's scans (from the first at or
+    after its start to the first at or after its end); a scan without an ion counts 0, an ion that does not vary is left
+    out. Returns ``coherence`` (mean correlation), ``coherent`` (share of pairs above ``high``) and ``is_convoluted``: mean
+    below ``least`` or share below ``share``. Peaks of fewer than four scans, or without two ions that vary, have nulls and
+    are not convoluted. scans: sample_id, scan, rt, mz, intensity.
+    """
+    on = ["sample_id"]
+    axis = scans.select("sample_id", "scan", "rt").distinct().withColumn("idx", F.row_number().over(W.over(on, "rt", "scan")) - 1)
+    indexed = scans.join(axis.select("sample_id", "scan", "idx"), ["sample_id", "scan"]).select("sample_id", "idx", "mz", "intensity")
+    spans = kept(next_places(peaks.select("sample_id", "peak", "rt", "start", "end"), axis.select("sample_id", "idx", "rt"), ["rt", "start", "end"]).filter("end_idx - start_idx >= 3 and rt_idx is not null"))
+    top = W.top(indexed.join(spans.select("sample_id", "peak", F.col("rt_idx").alias("idx")), ["sample_id", "idx"]), ["sample_id", "peak"], ions, F.desc("intensity"), F.col("mz")).select("sample_id", "peak", "mz", (F.col("rank") - 1).alias("k"))
+    grid = spans.select("sample_id", "peak", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
+    cells = grid.join(top, ["sample_id", "peak"]).join(indexed, ["sample_id", "idx", "mz"], "left").select("sample_id", "peak", "idx", "k", F.coalesce("intensity", F.lit(0.0)).alias("v"))
+    rows = cells.groupBy("sample_id", "peak", "idx").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s"))  # a value for each of a few ions
+    pairs = rows.select("sample_id", "peak", F.posexplode("s").alias("i", "a"), "s").select("sample_id", "peak", "i", F.col("a.v").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    each = pairs.groupBy("sample_id", "peak", "i", F.col("b.k").alias("j")).agg(F.corr("x", F.col("b.v")).alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop(F.col("b.v")).alias("sy")).filter("sx > 0 and sy > 0")
+    found = each.groupBy("sample_id", "peak").agg(F.avg("r").alias("coherence"), F.avg(F.when(F.col("r") > high, 1.0).otherwise(0.0)).alias("coherent"))
+    bad = F.coalesce((F.col("coherence") < least) | (F.col("coherent") < share), F.lit(False))
+    return peaks.join(found, ["sample_id", "peak"], "left").withColumn("is_convoluted", bad)
+
+
 def batch_search(peaks: DataFrame, ions: DataFrame, library: DataFrame, names: DataFrame, n: int = 1, respect_manual: bool = True) -> DataFrame:
     """``peaks`` (sample_id, peak, compound_id, manual) with the best library hit's name, score and number written to them.
 
@@ -103,32 +141,49 @@ def batch_search(peaks: DataFrame, ions: DataFrame, library: DataFrame, names: D
     return out.select(*(c for c in peaks.columns if c != "compound_id"), F.coalesce("__name", "compound_id").alias("compound_id"), F.col("__score").alias("match_score"), F.col("__cas").alias("casno"), missing.alias("error"))
 
 
-def preselected(queries: DataFrame, library: DataFrame, size: int, clusters: int = 8, nearest: int = 2, n: int = 5, seed: int = 7) -> DataFrame:
-    """:func:`chromaflux.operators.spectra.search` within the ``nearest`` clusters of library spectra only; approximate.
+def preselected(queries: DataFrame, library: DataFrame, size: int, clusters: int = 8, nearest: int = 2, n: int = 5, seed: int = 7, exact: bool = True) -> DataFrame:
+    """:func:`chromaflux.operators.spectra.search` by clusters of library spectra: first the ``nearest`` ones of a query, then those that can still hold a better hit.
 
     Library spectra of ions 1 to ``size``, scaled to length 1, are clustered by k-means; a query meets the centres ion by ion.
+    No spectrum of a cluster is closer to a query than its centre less the cluster's radius, so with ``exact`` a cluster is
+    left out only where that bound is beyond the n-th hit found, and the hits are those of a search through all. Without it
+    only the nearest clusters are looked through: faster, and approximate.
     """
-    norm = F.sqrt(F.sum(F.col("intensity") * F.col("intensity")).over(Window.partitionBy("id")))
-    unit = library.filter(F.col("mz").between(1, size) & (F.col("intensity") > 0)).withColumn("u", F.col("intensity") / norm)
+    squares = lambda df: F.sqrt(F.sum(F.col("intensity") * F.col("intensity")).over(Window.partitionBy("id")))
+    unit = library.filter(F.col("mz").between(1, size) & (F.col("intensity") > 0)).withColumn("u", F.col("intensity") / squares(library))
     held = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("mz").cast("int"), "u"))).alias("ions"))
     vector = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.try_element_at("ions", i), F.lit(0.0)))
     rows = held.select("id", array_to_vector(vector).alias("features"))
     model = KMeans(k=clusters, seed=seed, maxIter=20).fit(rows)
-    of = model.transform(rows).select(F.col("id").alias("hit"), F.col("prediction").alias("cluster"))
+    of = kept(model.transform(rows).select(F.col("id").alias("hit"), F.col("prediction").alias("cluster")))
     spark = library.sparkSession
     centres = spark.createDataFrame([(k, i + 1, float(v)) for k, c in enumerate(model.clusterCenters()) for i, v in enumerate(c)], "cluster int, mz int, c double")
     lengths = centres.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-    dots = queries.join(F.broadcast(centres), "mz").groupBy("id", "cluster").agg(F.sum(F.col("intensity") * F.col("c")).alias("d"))
-    long = queries.groupBy("id").agg(F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("len"))
-    near = dots.join(F.broadcast(lengths), "cluster").join(long, "id").withColumn("far", F.col("cc") - 2 * F.col("d") / F.col("len"))
-    chosen = W.top(near, ["id"], nearest, F.col("far"), F.col("cluster")).select(F.col("id").alias("query"), "cluster")
-    q = queries.filter("intensity > 0").select(F.col("id").alias("query"), "mz", F.col("intensity").alias("u")).join(chosen, "query")
-    v = library.filter("intensity > 0").select(F.col("id").alias("hit"), "mz", F.col("intensity").alias("v")).join(of, "hit")
-    nq = queries.filter("intensity > 0").groupBy(F.col("id").alias("query")).agg(F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("nu"))
-    nv = v.groupBy("hit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nv"))
-    scored = q.join(v, ["mz", "cluster"]).groupBy("query", "hit").agg(F.sum(F.col("u") * F.col("v")).alias("dot")).join(nq, "query").join(nv, "hit")
-    scored = scored.select("query", "hit", (F.col("dot") / (F.col("nu") * F.col("nv"))).alias("score"))
-    return W.top(scored, ["query"], n, F.desc(F.round("score", 9)), F.col("hit"))
+
+    def apart(spectra: DataFrame, key: str) -> DataFrame:
+        """Distance of spectra (key, mz, u: of length 1) from every centre."""
+        dots = spectra.join(F.broadcast(centres), "mz").groupBy(key, "cluster").agg(F.sum(F.col("u") * F.col("c")).alias("d"))
+        return dots.join(F.broadcast(lengths), "cluster").select(key, "cluster", F.sqrt(F.greatest(1 + F.col("cc") - 2 * F.col("d"), F.lit(0.0))).alias("far"))
+
+    q = queries.filter("intensity > 0").select(F.col("id").alias("query"), "mz", (F.col("intensity") / squares(queries)).alias("u"))
+    v = library.filter("intensity > 0").select(F.col("id").alias("hit"), "mz", (F.col("intensity") / squares(library)).alias("v")).join(of, "hit")
+    near = kept(apart(q, "query"))
+    first = W.top(near, ["query"], nearest, F.col("far"), F.col("cluster")).select("query", "cluster")
+
+    def through(chosen: DataFrame) -> DataFrame:
+        return q.join(chosen, "query").join(v, ["mz", "cluster"]).groupBy("query", "hit").agg(F.sum(F.col("u") * F.col("v")).alias("score"))
+
+    best = lambda found: W.top(found, ["query"], n, F.desc(F.round("score", 9)), F.col("hit"))
+    found = best(through(first))
+    if not exact:
+        return found
+    found = kept(found.drop("rank"))
+    radius = apart(unit.select(F.col("id").alias("hit"), "mz", "u"), "hit").join(of, ["hit", "cluster"]).groupBy("cluster").agg(F.max("far").alias("radius"))
+    least = found.groupBy("query").agg(F.when(F.count("*") >= n, F.min("score")).alias("least"))
+    # the cosine of two unit vectors is one less half their squared distance
+    reach = 1 - F.pow(F.greatest(F.col("far") - F.col("radius"), F.lit(0.0)), 2) / 2
+    more = near.join(first, ["query", "cluster"], "left_anti").join(F.broadcast(radius), "cluster").join(least, "query", "left").filter(F.col("least").isNull() | (reach >= F.col("least") - 1e-9))
+    return best(found.unionByName(through(more.select("query", "cluster"))))
 
 
 def split_largest(rts: list[float], most: int) -> list[int]:

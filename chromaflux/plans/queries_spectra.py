@@ -11,7 +11,7 @@ from ..operators import library as L
 from ..operators import spectra as M
 from ..operators import windows as W
 from .adapters import SIGNALS, SPECTRA, signals, spectra, table
-from .queries import query, r6
+from .queries import SEARCH_SQL, query, r6
 
 
 def scans(spark, d):
@@ -78,10 +78,10 @@ def batch_search(spark, d):
     return E.batch_search(p, ions, s.select("id", "mz", "intensity"), names).select("peak", "compound_id", *r6("match_score"))
 
 
-@query()
+@query(SEARCH_SQL + " SELECT query, hit, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def preselected_topk(spark, d):
     s = spectra(spark, d).select("id", "mz", "intensity")
-    return E.preselected(s.filter("id % 50 = 0"), s, 64, 8, 4).select("query", "hit", "rank", *r6("score"))
+    return E.preselected(s.filter("id % 50 = 0"), s, 64, 8, 4).select("query", "hit", F.col("rank").cast("long").alias("rank"), *r6("score"))
 
 
 @query()
@@ -202,6 +202,26 @@ def direct_spectrum(spark, d):
     return found.select("sample_id", "model", F.col("mz").cast("long").alias("mz"), F.round("intensity", 3).alias("intensity"))
 
 
+def order_peaks(spark, d):
+    """Peaks of the ten runs, one for each order: sample_id, peak, rt, start, end."""
+    k = F.col("o_orderkey")
+    rt = (k * 0.37) % 20
+    return table(spark, d, "orders").select((k % 10).cast("long").alias("sample_id"), k.alias("peak"), rt.alias("rt"), (rt - 0.4).alias("start"), (rt + 0.4).alias("end"))
+
+
+@query(f"""WITH {SCANS}, ax AS (SELECT sample_id, scan, rt, row_number() OVER (PARTITION BY sample_id ORDER BY rt, scan) - 1 AS idx FROM (SELECT DISTINCT sample_id, scan, rt FROM scans)),
+p AS (SELECT o_orderkey % 10 AS sample_id, o_orderkey AS peak, (o_orderkey * 0.37::DOUBLE) % 20 AS rt FROM orders),
+s AS (SELECT p.sample_id, peak, min(idx) FILTER (WHERE ax.rt >= p.rt) AS a, min(idx) FILTER (WHERE ax.rt >= p.rt - 0.4) AS l, min(idx) FILTER (WHERE ax.rt >= p.rt + 0.4) AS r FROM p JOIN ax USING (sample_id) GROUP BY ALL),
+u AS (SELECT * FROM s WHERE r - l >= 3 AND a IS NOT NULL), ix AS (SELECT sample_id, idx, mz, intensity FROM scans JOIN ax USING (sample_id, scan)),
+t AS (SELECT u.sample_id, peak, mz, row_number() OVER (PARTITION BY u.sample_id, peak ORDER BY intensity DESC, mz) AS k FROM u JOIN ix ON ix.sample_id = u.sample_id AND ix.idx = u.a),
+c AS (SELECT u.sample_id, u.peak, ix.idx, t.k, ix.intensity AS v FROM u JOIN t ON t.sample_id = u.sample_id AND t.peak = u.peak AND t.k <= 10 JOIN ix ON ix.sample_id = u.sample_id AND ix.mz = t.mz AND ix.idx BETWEEN u.l AND u.r),
+e AS (SELECT x.sample_id, x.peak, corr(x.v, y.v) AS r FROM c x JOIN c y ON x.sample_id = y.sample_id AND x.peak = y.peak AND x.idx = y.idx AND x.k < y.k GROUP BY x.sample_id, x.peak, x.k, y.k HAVING stddev_pop(x.v) > 0 AND stddev_pop(y.v) > 0),
+f AS (SELECT sample_id, peak, avg(r) AS m, avg(CASE WHEN r > 0.9 THEN 1.0 ELSE 0.0 END) AS h FROM e GROUP BY ALL)
+SELECT p.sample_id, p.peak, round(m, 6) AS coherence, round(h, 6) AS coherent, coalesce(m < 0.7 OR h < 0.5, false) AS is_convoluted FROM p LEFT JOIN f USING (sample_id, peak)""")
+def peak_quality(spark, d):
+    return E.peak_quality(order_peaks(spark, d), scans(spark, d)).select("sample_id", "peak", *r6("coherence", "coherent"), "is_convoluted")
+
+
 # --- components -------------------------------------------------------------------------------------------------------
 
 
@@ -244,7 +264,19 @@ def _components(spark, d):
     return found.join(a, ["sample_id", "apex"]).select("sample_id", "rt", F.lit(1.0).alias("area"), "height", F.greatest(F.col("apex") - 1, F.lit(0)).alias("left"), F.col("valley").alias("right"))
 
 
-@query()
+MERGED_SQL = f"""WITH RECURSIVE {APEXES}, z AS (SELECT *, coalesce((x - lag(x) OVER w) * (greatest(y, 0) + lag(greatest(y, 0)) OVER w) / 2, 0) AS strip FROM signals WINDOW w AS (PARTITION BY sample_id ORDER BY seq)),
+cs AS (SELECT sample_id, seq, sum(strip) OVER (PARTITION BY sample_id ORDER BY seq) AS s FROM z),
+n AS (SELECT sample_id, seq, x, y, lead(seq) OVER (PARTITION BY sample_id ORDER BY seq) AS nx FROM ap),
+v AS (SELECT n.sample_id, n.seq, any_value(n.x) AS rt, any_value(n.y) AS height, min(struct_pack(y := t.y, seq := t.seq)).seq AS valley FROM n JOIN signals t ON t.sample_id = n.sample_id AND t.seq > n.seq AND t.seq < n.nx GROUP BY ALL),
+c AS (SELECT v.sample_id, rt, 1.0::DOUBLE AS area, height, greatest(v.seq - 1, 0) AS lo, valley AS hi, l.s AS sl, h.s AS sr, row_number() OVER (PARTITION BY v.sample_id ORDER BY rt) AS k FROM v JOIN cs l ON l.sample_id = v.sample_id AND l.seq = greatest(v.seq - 1, 0) JOIN cs h ON h.sample_id = v.sample_id AND h.seq = valley),
+f AS (SELECT sample_id, k, rt, area, height, lo, hi, sl, sr, 1::BIGINT AS part FROM c WHERE k = 1 UNION ALL SELECT f.sample_id, c.k,
+CASE WHEN abs(c.rt - f.rt) < 900 AND c.height <= f.height THEN f.rt ELSE c.rt END, CASE WHEN abs(c.rt - f.rt) < 900 THEN (CASE WHEN f.hi >= c.hi THEN f.sr ELSE c.sr END) - (CASE WHEN f.lo <= c.lo THEN f.sl ELSE c.sl END) ELSE c.area END,
+CASE WHEN abs(c.rt - f.rt) < 900 THEN greatest(f.height, c.height) ELSE c.height END, CASE WHEN abs(c.rt - f.rt) < 900 THEN least(f.lo, c.lo) ELSE c.lo END, CASE WHEN abs(c.rt - f.rt) < 900 THEN greatest(f.hi, c.hi) ELSE c.hi END,
+CASE WHEN abs(c.rt - f.rt) < 900 AND f.lo <= c.lo THEN f.sl ELSE c.sl END, CASE WHEN abs(c.rt - f.rt) < 900 AND f.hi >= c.hi THEN f.sr ELSE c.sr END, f.part + CASE WHEN abs(c.rt - f.rt) < 900 THEN 0 ELSE 1 END FROM f JOIN c ON c.sample_id = f.sample_id AND c.k = f.k + 1),
+e AS (SELECT *, max(k) OVER (PARTITION BY sample_id, part) AS last FROM f) SELECT sample_id, round(rt, 6) AS rt, round(area, 6) AS area, round(height, 6) AS height, lo AS "left", hi AS "right" FROM e WHERE k = last"""
+
+
+@query(MERGED_SQL)
 def merged_components(spark, d):
     return C.merged_geometric(_components(spark, d), signals(spark, d), 900.0).select("sample_id", *r6("rt", "area", "height"), "left", "right")
 
