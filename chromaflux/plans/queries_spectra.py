@@ -84,9 +84,19 @@ def preselected_topk(spark, d):
     return E.preselected(s.filter("id % 50 = 0"), s, 64, 8, 4).select("query", "hit", F.col("rank").cast("long").alias("rank"), *r6("score"))
 
 
-@query()
+#: Runs of peaks without a gap; while a part has more than four it is cut at its largest gap, the first of equals.
+WINDOWS_SQL = f"""WITH RECURSIVE {NATION_PEAKS}, p AS (SELECT sample_id % 2 AS sample_id, peak, rt, s, e FROM np), m AS (SELECT *, max(e) OVER (PARTITION BY sample_id ORDER BY s, peak ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM p),
+i AS (SELECT *, sum(CASE WHEN far IS NULL OR s - far > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id ORDER BY s, peak) AS island FROM m), l AS (SELECT sample_id, island, list(rt ORDER BY rt, peak) AS rts FROM i GROUP BY ALL),
+c AS (SELECT sample_id, island, rts, [rts[k + 1] - rts[k] for k in range(1, len(rts))] AS d FROM l UNION ALL
+SELECT sample_id, island, half, [half[k + 1] - half[k] for k in range(1, len(half))] FROM (SELECT sample_id, island, unnest([rts[:list_position(d, list_max(d))], rts[list_position(d, list_max(d)) + 1:]]) AS half FROM c WHERE len(rts) > 4)),
+f AS (SELECT sample_id, island, rts[1] AS r0, rts[-1] AS r1 FROM c WHERE len(rts) <= 4), j AS (SELECT i.*, r0, min(s) OVER w AS lo, max(e) OVER w AS hi FROM i JOIN f ON i.sample_id = f.sample_id AND i.island = f.island AND rt BETWEEN r0 AND r1 WINDOW w AS (PARTITION BY i.sample_id, i.island, r0))
+SELECT sample_id, peak, round(rt, 6) AS rt, dense_rank() OVER (PARTITION BY sample_id ORDER BY island, r0) AS "window", round(lo - greatest(0.5 * (hi - lo), 1e-6), 6) AS w_low, round(hi + greatest(0.5 * (hi - lo), 1e-6), 6) AS w_high FROM j"""
+
+
+@query(WINDOWS_SQL)
 def deconv_windows(spark, d):
-    return E.deconvolution_windows(nation_peaks(spark, d).withColumn("sample_id", F.col("sample_id") % 2), 0.0, 0.5, 4)
+    found = E.deconvolution_windows(nation_peaks(spark, d).withColumn("sample_id", F.col("sample_id") % 2), 0.0, 0.5, 4)
+    return found.select("sample_id", "peak", F.col("window").cast("long").alias("window"), *r6("rt", "w_low", "w_high"))
 
 
 @query()

@@ -164,6 +164,12 @@ def raw_peaks(spark, d):
     return G.detect(s.select("sample_id", "seq", "x", F.col("y").alias("original_y"), F.col("y").alias("smoothed_y"), F.lit(0.0).alias("baseline_y"), F.col("y").alias("corrected_y")), RAW).select("sample_id", "seq", F.round("y", 6).alias("y"))
 
 
+def raw_areas(spark, d):
+    """Bounds and Simpson areas of the peaks of the signals as they are."""
+    found = G.run(signals(spark, d), RAW)
+    return found.select("sample_id", F.col("peak_number").cast("long").alias("peak_number"), *(F.round(c, 4).alias(c) for c in ("retention_time", "start_time", "end_time", "area")))
+
+
 def sql_run_peaks(spark, d):
     """Peaks of whole runs by the table function in SQL."""
     register_sql(spark)
@@ -181,7 +187,7 @@ def sql_noise(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, closed_peaks, online_peaks, sql_run_peaks, sql_noise, full_run)
+    for f in (raw_peaks, process_signal, detect_peaks, integrate_peaks, chunks, geometric_split, emg_fit, emg_group_fit, boundary_refit, tic_align, gcxgc_peaks, eic_peaks, spectral_deconv, greedy_assign, hungarian, stream_ingest, closed_peaks, online_peaks, sql_run_peaks, sql_noise, raw_areas, full_run)
 } | {f"baseline_{m}": _baseline(m) for m in ("asls", "arpls", "airpls", "modpoly", "imodpoly", "snip", "irsqr", "mixture_model", "fastchrom")}
 
 #: A strict maximum's prominence: its height over the higher of the two lowest values up to the next higher ones.
@@ -191,6 +197,20 @@ h AS (SELECT a.sample_id, a.seq, max(s.seq) FILTER (WHERE s.seq < a.seq AND s.y
 m AS (SELECT a.sample_id, a.seq, any_value(a.y) AS y, any_value(span) AS span, min(s.y) FILTER (WHERE s.seq <= a.seq AND s.seq >= coalesce(lo, -1)) AS l, min(s.y) FILTER (WHERE s.seq >= a.seq AND s.seq <= coalesce(hi, 1000000000)) AS r FROM a JOIN h USING (sample_id, seq) JOIN signals s ON s.sample_id = a.sample_id GROUP BY ALL)
 SELECT sample_id, seq, round(y, 6) AS y FROM m WHERE y - greatest(l, r) >= 0.2 * span"""
 
+#: From each apex out to a four hundredth of its height, the valley, or half-way to a neighbour that is nearer; parabolas through three samples.
+AREAS_SQL = f"""WITH {SIGNALS}, raw AS ({RAW_SQL}), n AS (SELECT sample_id, count(*) AS n FROM signals GROUP BY 1),
+p AS (SELECT s.sample_id, s.seq AS a, s.x AS rt, s.y AS top, n, lag(s.seq) OVER w AS pa, lead(s.seq) OVER w AS na, row_number() OVER w AS k FROM raw JOIN signals s USING (sample_id, seq) JOIN n USING (sample_id) WINDOW w AS (PARTITION BY s.sample_id ORDER BY s.seq)),
+v AS (SELECT p.sample_id, a, min(struct_pack(y := s.y, seq := s.seq)) FILTER (WHERE s.seq BETWEEN coalesce(pa, 0) AND a) AS l, min(struct_pack(y := s.y, seq := s.seq)) FILTER (WHERE s.seq BETWEEN a AND na) AS h FROM p JOIN signals s ON s.sample_id = p.sample_id GROUP BY p.sample_id, a, pa, na),
+w AS (SELECT p.*, l.seq AS low, coalesce(h.seq, n - 1) AS high FROM p JOIN v USING (sample_id, a)),
+o AS (SELECT w.sample_id, w.a, coalesce(max(s.seq) FILTER (WHERE s.seq BETWEEN 3 AND a AND (s.y <= 0.0025 * top OR s.seq <= low)), a) AS l, coalesce(min(s.seq) FILTER (WHERE s.seq BETWEEN a AND n - 4 AND (s.y <= 0.0025 * top OR s.seq >= high)), a) AS r FROM w JOIN signals s ON s.sample_id = w.sample_id GROUP BY w.sample_id, w.a, top, low, high, n),
+b AS (SELECT w.sample_id, w.a, k, rt, CASE WHEN pa IS NOT NULL AND l <= pa THEN (pa + w.a) // 2 ELSE l END AS l, CASE WHEN na IS NOT NULL AND r >= na THEN (w.a + na) // 2 ELSE r END AS r FROM w JOIN o ON o.sample_id = w.sample_id AND o.a = w.a),
+q AS (SELECT b.sample_id, b.k, s.seq - l AS j, r - l + 1 AS c, y AS y0, lead(y, 1) OVER z AS y1, lead(y, 2) OVER z AS y2, x, lead(x, 1) OVER z - x AS g, lead(x, 2) OVER z - lead(x, 1) OVER z AS h FROM b JOIN signals s ON s.sample_id = b.sample_id AND s.seq BETWEEN l AND r WINDOW z AS (PARTITION BY b.sample_id, b.k ORDER BY s.seq)),
+t AS (SELECT sample_id, k, coalesce(sum(CASE WHEN c > 2 AND j % 2 = 0 AND j + 3 <= c - (c + 1) % 2 THEN (g + h) / 6 * ((2 - h / g) * y0 + (g + h) * (g + h) / (g * h) * y1 + (2 - g / h) * y2) END), 0)
++ coalesce(sum(CASE WHEN c > 2 AND c % 2 = 0 AND j = c - 3 THEN y2 * (2 * h * h + 3 * h * g) / (6 * (h + g)) + y1 * (h * h + 3 * h * g) / (6 * g) - y0 * h * h * h / (6 * g * (h + g)) END), 0)
++ coalesce(sum(CASE WHEN c = 2 AND j = 0 THEN g * (y0 + y1) / 2 END), 0) AS area FROM q GROUP BY ALL)
+SELECT b.sample_id, b.k AS peak_number, round(rt, 4) AS retention_time, round(sl.x, 4) AS start_time, round(sr.x, 4) AS end_time, round(abs(area), 4) AS area FROM b JOIN t ON t.sample_id = b.sample_id AND t.k = b.k
+JOIN signals sl ON sl.sample_id = b.sample_id AND sl.seq = l JOIN signals sr ON sr.sample_id = b.sample_id AND sr.seq = r"""
+
 #: The pairs in order, each taken if neither side is taken yet.
 GREEDY_SQL = f"""WITH RECURSIVE {SIGNALS}, b AS (SELECT *, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM signals WINDOW w AS (PARTITION BY sample_id ORDER BY seq)),
 pairs AS (SELECT a.sample_id, a.seq AS peak, c.seq AS component, abs(a.seq - c.seq)::DOUBLE AS distance, c.y AS total FROM b a JOIN signals c ON c.sample_id = a.sample_id AND c.seq % 6 = 0 AND abs(a.seq - c.seq) <= 3 WHERE a.y > a.py AND a.y > a.ny AND a.y > 40),
@@ -216,5 +236,6 @@ PASSED = f"{EVENTS} WHERE epoch_us(ts) < (SELECT floor(epoch_us(max(ts)) / 1000)
 
 SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL, "closed_peaks": _closed_sql(EVENTS), "online_peaks": _closed_sql(PASSED)} | {
     "sql_run_peaks": f"WITH {SIGNALS} SELECT CAST(r.sample_id AS VARCHAR) AS sample_id, round(s.x, 6) AS retention_time FROM ({RAW_SQL}) r JOIN signals s USING (sample_id, seq)",
+    "raw_areas": AREAS_SQL,
     "sql_noise": f"WITH {SIGNALS}, m AS (SELECT *, median(y) OVER (PARTITION BY sample_id) AS middle FROM signals) SELECT sample_id, round(1.4826 * median(abs(y - middle)), 6) AS noise FROM m GROUP BY 1",
 }
