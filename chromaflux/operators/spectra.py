@@ -119,6 +119,7 @@ def deconvolved(
     (:func:`.library.direct_spectrum`). Components are numbered by cluster.
     """
     keys, best = on or ["sample_id"], CHOICES[choice]
+    peaks = kept(peaks)  # traces are read once for the clusters and once for direct spectra
     clustered = dbscan_1d(peaks, keys, "rt_apex", eps, least, "mz").filter("cluster is not null")
     clustered = clustered.withColumn("__top", F.max("height").over(Window.partitionBy(*keys, "cluster"))).filter(F.col("__top") >= min_intensity).drop("__top")
 
@@ -159,12 +160,15 @@ def deconvolved(
     found = kept(spread(clustered, *keys, "cluster").groupBy(*keys, "cluster").applyInPandas(one, schema))
     # clusters without a candidate, which have one row
     bare = found.filter("of_cluster < 0")
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cluster", "of_cluster")) - 1
+    result = [*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity"]
+    if bare.isEmpty():
+        return found.select(*result)
     traces = peaks.join(bare.select(*keys).distinct(), keys, "left_semi").select(*keys, "mz", F.explode(F.arrays_zip("rts", "ys")).alias("p")).select(*keys, "mz", F.col("p.rts").alias("rt"), F.col("p.ys").alias("intensity"))
     direct = direct_spectrum(bare.select(*keys, F.col("cluster").alias("model"), "rt"), peaks, traces, keys)
     whole = bare.select(*keys, "cluster", "of_cluster", "rt", "model_mz").join(direct.select(*keys, F.col("model").alias("cluster"), "mz", "intensity"), [*keys, "cluster"])
     both = found.filter("of_cluster >= 0").unionByName(whole)
-    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cluster", "of_cluster")) - 1
-    return both.select(*keys, number.alias("component"), "rt", "model_mz", "mz", "intensity")
+    return both.select(*result)
 
 
 def assign_greedy(pairs: DataFrame, tolerance: float, on: list[str] | None = None) -> DataFrame:
