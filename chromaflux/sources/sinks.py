@@ -75,6 +75,24 @@ def sidecar(entries: DataFrame, path: str, key: str) -> None:
     entries.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(rest)), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def overrides(assignments: DataFrame, path: str, earlier: DataFrame | None = None, places: int = 4, strongest: int | None = None) -> None:
+    """Manual assignments (seq, retention_time, compound, spectrum: ions as mz and intensity, or null) upserted into ``earlier`` ones and written, keyed by the time with ``places`` decimals.
+
+    Of one key the last by ``seq`` stays, a new one before an earlier one. ``strongest`` keeps so many ions of a spectrum, by
+    intensity, then mass. ``earlier`` is what :func:`.tables.overrides` gives; it may not be read from ``path`` itself.
+    """
+    ions = F.col("spectrum")
+    if strongest is not None:
+        ranked = F.sort_array(F.transform(ions, lambda p: F.struct((-p["intensity"]).alias("o"), p["mz"].alias("mz"), p["intensity"].alias("intensity"))))
+        ions = F.transform(F.slice(ranked, 1, strongest), lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity")))
+    entry = lambda age, time: (F.format_string(f"%.{places}f", time).alias("key"), F.lit(age).alias("age"), F.col("seq").cast("long").alias("seq"), F.col("compound").alias("compound_name"))
+    rows = assignments.select(*entry(1, F.col("retention_time").cast("double")), ions.alias("spectrum"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select(*entry(0, F.col("override_rt")), "spectrum"))
+    last = rows.groupBy("key").agg(F.max_by(F.struct("compound_name", "spectrum"), F.struct("age", "seq")).alias("v"))
+    sidecar(last.select("key", "v.*"), path, "key")
+
+
 def export(peaks: DataFrame, path: str, form: str = "json") -> None:
     """Peaks as result documents, delimited text or a table, by name; another form raises."""
     if form == "json":
