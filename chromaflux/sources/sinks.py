@@ -69,10 +69,23 @@ def rt_table(windows: DataFrame, path: str, as_json: bool = False) -> None:
     named.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Entries of one document.
+DOCUMENT = 100_000
+
+
 def sidecar(entries: DataFrame, path: str, key: str) -> None:
-    """Entries as documents keyed by ``key``, what :func:`.tables.offsets` and :func:`.tables.overrides` read: one for each task, keys stay apart."""
+    """Entries as a document keyed by ``key``, what :func:`.tables.offsets` and :func:`.tables.overrides` read.
+
+    A file holds one document; beyond ``DOCUMENT`` entries there are more files, each with its own keys.
+    """
+    files = -(-entries.count() // DOCUMENT) or 1
     rest = F.struct(*(c for c in entries.columns if c != key))
-    entries.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(rest)), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
+    held = entries.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files)).alias("part"), F.struct(F.col(key).cast("string").alias("k"), rest.alias("v")).alias("e"))
+    documents = held.groupBy("part").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list("e"))), {"ignoreNullFields": "true"}).alias("value"))
+    if files == 1:
+        documents.select("value").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        documents.write.mode("overwrite").partitionBy("part").text(path)
 
 
 def overrides(assignments: DataFrame, path: str, earlier: DataFrame | None = None, places: int = 4, strongest: int | None = None) -> None:
