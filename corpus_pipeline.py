@@ -25,7 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (SimHash of five-word shingles) the document with the smallest id."""
+    """Of each component of near duplicates the document with the smallest id.
+
+    Links are fingerprints (SimHash of five-word shingles) within four bits, and texts that share a band of min-hashes and
+    whose sets of five-word shingles are alike by 0.8 or more.
+    """
     return first_of_each(docs)
 
 
