@@ -64,16 +64,18 @@ def match_weighted(peaks: DataFrame, table: DataFrame, weights: tuple[float, flo
     ws, wa, we = weights
     score = lambda p, t: ws * F.abs(t["start"] - p["rt"]) + wa * F.abs(t["apex"] - p["rt"]) + we * F.abs(t["end"] - p["rt"])
     inside = peaks.join(F.broadcast(limits), F.lit(True)).withColumn("g_in", F.col("rt").between(F.col("g_low"), F.col("g_high"))).drop("g_low", "g_high")
-    found = best_of(inside, table, None, score, lambda p, t: p["g_in"], keep=("start", "end"))
+    heaviest = max((("start", ws), ("apex", wa), ("end", we)), key=lambda c: c[1])
+    found = best_of(inside, table, None, score, lambda p, t: p["g_in"], keep=("start", "end"), bound=heaviest)
     outside = F.greatest(F.col("start") - F.col("rt"), F.col("rt") - F.col("end"), F.lit(0.0))
     accepted = outside <= 0.75 * (F.col("end") - F.col("start"))
     return found.withColumn("compound", F.when(accepted, F.col("compound"))).drop("start", "end", "g_in")
 
 
-def best_of(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tuple[str, ...] = ()) -> DataFrame:
+def best_of(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tuple[str, ...] = (), bound: tuple[str, float] | None = None) -> DataFrame:
     """Each peak with ``compound`` (and ``keep``) of the row of ``table`` of least ``cost`` that ``holds``, ties by ``seq``.
 
-    ``span`` gives the bounds of rt that a row can serve; without it every row may serve every peak.
+    ``span`` gives the bounds of rt that a row can serve; without it every row may serve every peak, and ``bound`` names a
+    column and a weight: no cost is less than the weight times the column's distance from rt.
     """
     fields = ["compound", *keep]
     within = lambda p, t: p["rt"].between(*span(t)) if span else F.lit(True)
@@ -88,9 +90,9 @@ def best_of(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tu
     if span:
         numbered, t = (x.alias(n) for x, n in zip(bucketed(numbered, F.col("rt"), table, *span(table), _width(table, span)), ("p", "t"), strict=True))
         condition = F.col("p.bucket") == F.col("t.bucket")
-    else:  # no bounds to bucket by: a table of several arrays, each looked through
-        t, condition = table.alias("t"), F.lit(True)
-        numbered = numbered.alias("p")
+    else:
+        numbered, t = (x.alias(n) for x, n in zip(_reached(numbered, table, cost, *bound), ("p", "t"), strict=True))
+        condition = F.col("p.bucket") == F.col("t.bucket")
     tc, pc = {c: F.col(f"t.{c}") for c in table.columns}, {c: F.col(f"p.{c}") for c in peaks.columns}
     joined = numbered.join(t, condition & fits(pc, tc), "left")
     best = F.min(F.when(tc["seq"].isNotNull(), rank(pc, tc))).alias("__best")
@@ -98,6 +100,34 @@ def best_of(peaks: DataFrame, table: DataFrame, span, cost, holds=None, keep: tu
     return picked.select("__peak.*", *(F.col(f"__best.{f}").alias(f) for f in fields))
 
 
+def _reached(peaks: DataFrame, table: DataFrame, cost, column: str, weight: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``bucket`` that meets each peak with every row that can be its best.
+
+    The axis of ``column`` has as many buckets as the table has rows. The row nearest to the middle of a peak's bucket gives
+    a cost; a better row's ``column`` lies no further from the peak than that cost over the ``weight``, so the peak goes to the
+    buckets within this reach.
+    """
+    facts = table.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
+    width = (facts["hi"] - facts["lo"]) / facts["n"] or 1.0
+    place = lambda c: F.floor((c - F.lit(facts["lo"])) / F.lit(width))
+    last = int((facts["hi"] - facts["lo"]) / width)
+    spark = table.sparkSession
+    # the axis is cut into stretches that are looked up on their own: a bucket's row, or the nearest bucket's that has one
+    middles = spark.range(last + 1).select(F.col("id").alias("b"), (F.lit(facts["lo"]) + (F.col("id") + 0.5) * width).alias("x"))
+    one = table.groupBy(place(F.col(column)).alias("b")).agg(F.min_by(F.struct(*table.columns), "seq").alias("r"))
+    w = Window.orderBy("b")  # a row a bucket: no more than the method's table has
+    held = middles.join(one, "b", "left").withColumn("before", F.last("r", ignorenulls=True).over(w)).withColumn("after", F.first("r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = held.select(F.col("b").alias("__b"), F.coalesce("before", "after").alias("__near"))
+    own = peaks.withColumn("__b", F.least(F.greatest(place(F.col("rt")), F.lit(0)), F.lit(last)))
+    known = own.join(small(near), "__b", "left")
+    reach = cost(known, {c: known["__near"][c] for c in table.columns}) / F.lit(weight)
+    slack = reach + 1e-9 * (F.abs("rt") + reach)  # rounding must not lose the best
+    low, high = F.greatest(place(F.col("rt") - slack), F.lit(0)), F.least(place(F.col("rt") + slack), F.lit(last))
+    # a peak of no place, or beyond all rows, still stays one row
+    spread = known.withColumn("bucket", F.explode_outer(F.when(low <= high, F.sequence(low, high)))).drop("__b", "__near")
+    return spread, table.withColumn("bucket", place(F.col(column)))
+
+
 def _width(table: DataFrame, span) -> float:
     """A bucket as wide as the mean span of the table's rows."""
     low, high = span(table)
