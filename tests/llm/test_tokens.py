@@ -45,3 +45,17 @@ def test_whole_query(spark, library):
     assert tokens.op13_tokens(df.limit(0)).count() == 0
     plan = df.sparkSession._jvm.PythonSQLUtils.explainString(tokens.op13_tokens(df)._jdf.queryExecution(), "simple")
     assert "Exchange" not in plan
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from chromaflux.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    try:
+        for own, then in ((common.USUAL_BATCH, common.TEXT_BATCH), ("500", "500")):
+            spark.conf.set(name, own)
+            common.texts(docs)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.unset(name)
