@@ -283,12 +283,12 @@ f AS (SELECT sample_id, k, rt, area, height, lo, hi, sl, sr, 1::BIGINT AS part F
 CASE WHEN abs(c.rt - f.rt) < 900 AND c.height <= f.height THEN f.rt ELSE c.rt END, CASE WHEN abs(c.rt - f.rt) < 900 THEN (CASE WHEN f.hi >= c.hi THEN f.sr ELSE c.sr END) - (CASE WHEN f.lo <= c.lo THEN f.sl ELSE c.sl END) ELSE c.area END,
 CASE WHEN abs(c.rt - f.rt) < 900 THEN greatest(f.height, c.height) ELSE c.height END, CASE WHEN abs(c.rt - f.rt) < 900 THEN least(f.lo, c.lo) ELSE c.lo END, CASE WHEN abs(c.rt - f.rt) < 900 THEN greatest(f.hi, c.hi) ELSE c.hi END,
 CASE WHEN abs(c.rt - f.rt) < 900 AND f.lo <= c.lo THEN f.sl ELSE c.sl END, CASE WHEN abs(c.rt - f.rt) < 900 AND f.hi >= c.hi THEN f.sr ELSE c.sr END, f.part + CASE WHEN abs(c.rt - f.rt) < 900 THEN 0 ELSE 1 END FROM f JOIN c ON c.sample_id = f.sample_id AND c.k = f.k + 1),
-e AS (SELECT *, max(k) OVER (PARTITION BY sample_id, part) AS last FROM f) SELECT sample_id, round(rt, 6) AS rt, round(area, 6) AS area, round(height, 6) AS height, lo AS "left", hi AS "right" FROM e WHERE k = last"""
+e AS (SELECT *, max(k) OVER (PARTITION BY sample_id, part) AS last FROM f) SELECT sample_id, round(rt, 4) AS rt, round(area, 4) AS area, round(height, 6) AS height, lo AS "left", hi AS "right" FROM e WHERE k = last"""
 
 
 @query(MERGED_SQL)
 def merged_components(spark, d):
-    return C.merged_geometric(_components(spark, d), signals(spark, d), 900.0).select("sample_id", *r6("rt", "area", "height"), "left", "right")
+    return C.merged_geometric(_components(spark, d), signals(spark, d), 900.0).select("sample_id", F.round("rt", 4).alias("rt"), F.round("area", 4).alias("area"), *r6("height"), "left", "right")
 
 
 @query()

@@ -175,7 +175,7 @@ def sql_run_peaks(spark, d):
     register_sql(spark)
     signals(spark, d).select("sample_id", "x", "y").createOrReplaceTempView("chromaflux_runs")
     found = spark.sql("SELECT * FROM run_peaks(TABLE(chromaflux_runs) PARTITION BY (sample_id) ORDER BY (x), 0.2D)")
-    return found.select("sample_id", F.round("retention_time", 6).alias("retention_time"))
+    return found.select("sample_id", F.round("retention_time", 4).alias("retention_time"))
 
 
 def sql_noise(spark, d):
@@ -235,7 +235,7 @@ EVENTS = "SELECT user_id AS sample_id, ts AS t, value AS y FROM events"
 PASSED = f"{EVENTS} WHERE epoch_us(ts) < (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 - {LATE_HOURS} * 3600000000 FROM events)"
 
 SQL = {"stream_ingest": "SELECT user_id AS sample_id, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", "raw_peaks": RAW_SQL, "greedy_assign": GREEDY_SQL, "closed_peaks": _closed_sql(EVENTS), "online_peaks": _closed_sql(PASSED)} | {
-    "sql_run_peaks": f"WITH {SIGNALS} SELECT CAST(r.sample_id AS VARCHAR) AS sample_id, round(s.x, 6) AS retention_time FROM ({RAW_SQL}) r JOIN signals s USING (sample_id, seq)",
+    "sql_run_peaks": f"WITH {SIGNALS} SELECT CAST(r.sample_id AS VARCHAR) AS sample_id, round(s.x, 4) AS retention_time FROM ({RAW_SQL}) r JOIN signals s USING (sample_id, seq)",
     "raw_areas": AREAS_SQL,
     "sql_noise": f"WITH {SIGNALS}, m AS (SELECT *, median(y) OVER (PARTITION BY sample_id) AS middle FROM signals) SELECT sample_id, round(1.4826 * median(abs(y - middle)), 6) AS noise FROM m GROUP BY 1",
 }
