@@ -66,7 +66,7 @@ def searched(t: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, h
     n, q = len(start), np.clip(start, low, high)
     lo, hi, span = low.ravel(), high.ravel(), np.where(high > low, high - low, 1.0)
     areas, r, base = areas_of(curves(t, q), y)
-    damp, goal = 1e-2, 1e-20 * float(y @ y)
+    damp, goal, idle = 1e-2, 1e-20 * float(y @ y), 0
     for _ in range(rounds):
         if r @ r <= goal:
             return q, areas, float(r @ r), True
@@ -95,7 +95,8 @@ def searched(t: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, h
             damp *= 4
         else:
             return q, areas, float(r @ r), True  # no step makes it better
-        if gain < 1e-8:
+        idle = idle + 1 if gain < 1e-6 else 0
+        if idle == 2:  # two steps in a row that gained next to nothing
             return q, areas, float(r @ r), True
     return q, areas, float(r @ r), False
 
