@@ -176,3 +176,32 @@ def test_direct_spectrum_between_samples(spark):
     got = {(r.model, r.mz): r.intensity for r in L.direct_spectrum(models, peaks, scans, ["sample_id"]).collect()}
     assert got == {(0, 50): 1.5, (1, 50): 3.0, (1, 60): 6.0, (2, 50): pytest.approx(1.9), (2, 60): 8.0}
     assert L.direct_spectrum(models, peaks.limit(0), scans, ["sample_id"]).filter(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("scoring", [L.Scoring(), L.Scoring("cosine", "NIST", "keep_library"), L.Scoring("composite", "NIST", "remove_all", 1), L.Scoring("composite", "None", "keep_experimental")])
+def test_search_in_blocks_is_the_search_through_all_pairs(spark, monkeypatch, scoring):
+    monkeypatch.setattr(L, "BLOCK", 7)
+    monkeypatch.setattr(L, "ASKED", 5)
+    monkeypatch.setattr(L, "CELLS", 60)
+    library = spectra_of(4, 60)
+    library |= {i + 100: library[i] for i in range(0, 60, 3)}
+    table, queries = frame(spark, library), frame(spark, spectra_of(9, 12) | {50: library[7]})
+    found = L.vector_search(queries, table, 4, scoring)
+    pick = lambda df: {(r.query, r.rank): (r.hit, pytest.approx(r.score), r.shared) for r in df.collect()}
+    assert pick(found) == pick(L.best(L.scores(queries, table, scoring), 4))
+    # pairs stay numbers in a task: no join of the ions, and no more rows than n of a block for each query
+    met = L.in_blocks(L.whole(L._sides(queries, table, scoring)[0], "query", "u", "iu"), L.whole(L._sides(queries, table, scoring)[1], "hit", "v", "iv"), 4, L.block_scores(scoring), extra="shared long")
+    assert met.count() <= 13 * 4 * -(-80 // 7) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_is_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 50)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    library = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    got = {(x.query, x.rank): x.hit for x in L.near(library.filter("id % 10 = 0"), library, 6).collect()}
+    for q in range(0, 300, 10):
+        assert [got[q, k] for k in range(1, 7)] == np.lexsort((np.arange(300), -np.round(v @ v[q], 9)))[:6].tolist()
+    some = L.near(library.filter("id % 10 = 0"), library, 6, L.Buckets()).count()
+    assert some == 180
