@@ -74,9 +74,11 @@ def widths(y: Array, peaks: Array, rel: float = 0.5) -> tuple[Array, Array, Arra
     return right - left, left, right
 
 
-def find_peaks(y: Array, prominence: float = 0.0, width: float = 0.0, height: float | None = None, distance: int = 1, rel: float = 0.5) -> Array:
-    """Maxima of at least the height, distance (tallest first), prominence and width asked for."""
+def find_peaks(y: Array, prominence: float = 0.0, width: float = 0.0, height: float | None = None, distance: int = 1, rel: float = 0.5, flat: bool = True) -> Array:
+    """Maxima of at least the height, distance (tallest first), prominence and width asked for; flat tops only if ``flat``."""
     p = maxima(y)
+    if not flat and len(p):
+        p = p[(y[p] > y[p - 1]) & (y[p] > y[p + 1])]
     if height is not None:
         p = p[y[p] >= height]
     if distance > 1 and len(p):

@@ -87,7 +87,7 @@ def register_sql(spark: SparkSession) -> list[str]:
     Scalars are SQL functions; ``baseline``, ``smoothed`` and ``simpson_area`` take arrays, batch by batch; ``simpson``, ``noise_level``
     and ``asymmetry`` are aggregates of a group's x and y (y alone); ``signal_peaks`` is a table function of a signal's arrays and
     ``run_peaks`` one of a table: ``run_peaks(TABLE(samples) PARTITION BY (sample_id) ORDER BY (x), 0.05)`` gets each run's rows (sample_id, x, y) as they
-    are dealt and sorted, without any array column.
+    are dealt and sorted, without any array column; a third argument ``false`` leaves flat tops out.
     """
     names = []
     for name, params, result, body in SQL_FUNCTIONS:
@@ -141,17 +141,17 @@ def register_sql(spark: SparkSession) -> list[str]:
     @F.udtf(returnType="sample_id string, peak_number int, retention_time double, area double, start_time double, end_time double")
     class RunPeaks:
         def __init__(self) -> None:
-            self.x, self.y, self.sample, self.least = [], [], None, 0.05
+            self.x, self.y, self.sample, self.least, self.flat = [], [], None, 0.05, True
 
-        def eval(self, row: Row, prominence: float) -> None:
-            self.sample, self.least = row["sample_id"], float(prominence)
+        def eval(self, row: Row, prominence: float, flat: bool = True) -> None:
+            self.sample, self.least, self.flat = row["sample_id"], float(prominence), flat
             if row["x"] is not None:
                 self.x.append(row["x"])
                 self.y.append(np.nan if row["y"] is None else row["y"])
 
         def terminate(self) -> Iterator[tuple]:
             if self.x:
-                for r in G.peaks_of(0, np.array(self.x), G.filled(np.array(self.y, float)), G.Method(min_prominence=self.least)):
+                for r in G.peaks_of(0, np.array(self.x), G.filled(np.array(self.y, float)), G.Method(min_prominence=self.least, flat_tops=self.flat)):
                     yield str(self.sample), r[2], r[3], r[6], r[7], r[8]
 
     @F.udtf(returnType="peak_number int, retention_time double, area double, start_time double, end_time double")

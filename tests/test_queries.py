@@ -52,3 +52,25 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def flat(tmp_path_factory):
+    """The smallest tables with events of whole values, so that many tops are flat."""
+    import duckdb
+
+    to = tmp_path_factory.mktemp("flat")
+    c = duckdb.connect()
+    c.execute(f"copy (select * replace (least(round(value / 12) * 12, 60.0) as value) from '{SF}/events.parquet') to '{to}/events.parquet'")
+    c.execute(f"create view events as select * from '{to}/events.parquet'")
+    return str(to), c
+
+
+@pytest.mark.parametrize("name", ["component_filter", "merged_components", "sql_run_peaks", "fit_groups", "greedy_assign", "raw_peaks", "raw_areas"])
+def test_flat_tops_as_in_sql(spark, flat, name):
+    d, c = flat
+    got = c.execute({**relational.SQL, **signal_queries.SQL}[name])
+    there = [x[0] for x in got.description]
+    want = [tuple(plain(v) for v in r) for r in got.fetchall()]
+    df = {**relational.QUERIES, **signal_queries.QUERIES}[name](spark, d)
+    assert ordered([tuple(plain(r[x]) for x in there) for r in df.collect()]) == ordered(want)
