@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SENTINEL_CAS, cas_pad, is_unassigned, unknown_label
+from .windows import ahead
 
 #: Rows up to which a method table is broadcast.
 BROADCAST_ROWS = 100_000
@@ -116,7 +117,7 @@ def _reached(peaks: DataFrame, table: DataFrame, cost, column: str, weight: floa
     middles = spark.range(last + 1).select(F.col("id").alias("b"), (F.lit(facts["lo"]) + (F.col("id") + 0.5) * width).alias("x"))
     one = table.groupBy(place(F.col(column)).alias("b")).agg(F.min_by(F.struct(*table.columns), "seq").alias("r"))
     w = Window.orderBy("b")  # a row a bucket: no more than the method's table has
-    held = middles.join(one, "b", "left").withColumn("before", F.last("r", ignorenulls=True).over(w)).withColumn("after", F.first("r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    held = middles.join(one, "b", "left").withColumn("before", F.last("r", ignorenulls=True).over(w)).withColumn("after", ahead(F.col("r"), [], "b", rows=0))
     near = held.select(F.col("b").alias("__b"), F.coalesce("before", "after").alias("__near"))
     own = peaks.withColumn("__b", F.least(F.greatest(place(F.col("rt")), F.lit(0)), F.lit(last)))
     known = own.join(small(near), "__b", "left")
@@ -264,7 +265,7 @@ def nearest_scan(targets: DataFrame, scans: DataFrame, on: list[str], target: st
     first = F.row_number().over(Window.partitionBy(*on, "__x", F.col("__scan").isNull()).orderBy("__scan"))
     marked = both.withColumn("__first", first).withColumn("__hit", F.when(F.col("__first") == 1, hit))
     before = F.last("__hit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    after = ahead(F.col("__hit"), on, "__x", F.col("__scan").isNull(), rows=0)
     near = marked.withColumn("__b", before).withColumn("__a", after).filter("__t is not null")
     x = F.col("__x")
     down, up = F.abs(x - F.col("__b.x")), F.abs(F.col("__a.x") - x)

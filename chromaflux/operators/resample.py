@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import ahead
+
 
 def time_grid(samples: DataFrame, on: list[str], n: int) -> DataFrame:
     """``n`` even places over each key's range: ``i``, ``x``."""
@@ -21,10 +23,9 @@ def resampled(samples: DataFrame, grid: DataFrame, on: list[str], clamp: bool =
     g = grid.select(*on, "x", F.lit(None).cast("double").alias("__y"), F.lit(None).cast("long").alias("__s"), F.col("i").cast("int").alias("i"))
     known = F.when(F.col("i").isNull(), F.struct("x", F.col("__y").alias("y")))
     order = Window.partitionBy(*on).orderBy("x", F.col("i").isNotNull(), "__s")
-    back = Window.partitionBy(*on).orderBy("x", F.col("i").isNull(), "__s")
     m = a.unionByName(g).withColumn("__k", known)
     m = m.withColumn("__b", F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.withColumn("__a", F.first("__k", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing))).filter("i is not null")
+    m = m.withColumn("__a", ahead(F.col("__k"), on, "x", F.col("i").isNull(), "__s", rows=0)).filter("i is not null")
     b, c = F.col("__b"), F.col("__a")
     lerp = F.when(b["x"] == c["x"], b["y"]).otherwise(b["y"] + (c["y"] - b["y"]) * (F.col("x") - b["x"]) / (c["x"] - b["x"]))
     outside = F.coalesce(b["y"], c["y"]) if clamp else F.lit(None).cast("double")

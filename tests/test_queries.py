@@ -74,3 +74,24 @@ def test_flat_tops_as_in_sql(spark, flat, name):
     want = [tuple(plain(v) for v in r) for r in got.fetchall()]
     df = {**relational.QUERIES, **signal_queries.QUERIES}[name](spark, d)
     assert ordered([tuple(plain(r[x]) for x in there) for r in df.collect()]) == ordered(want)
+
+
+@pytest.mark.parametrize("name", ["nearest_scan", "direct_spectrum", "peak_quality", "axis_union", "gap_windows", "nan_fill", "inflection_bounds", "dbscan_1d"])
+def test_no_frame_is_gone_through_anew_for_every_row(spark, name):
+    plan = relational.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "").replace("unboundedpreceding, unboundedfollowing", "")
+
+
+def test_peaks_over_the_same_scans_are_compared_once(spark, monkeypatch):
+    from chromaflux.operators import extract as E
+    from chromaflux.plans.queries_spectra import scans
+
+    s = scans(spark, SF)
+    one = spark.createDataFrame([(k % 3, k, 5.0 + k % 3 * 0.3, 1.0, 9.0) for k in range(60)], "sample_id long, peak long, rt double, start double, end double")
+    asked = []
+    real = E.W.top
+    monkeypatch.setattr(E.W, "top", lambda rows, *a: asked.append(rows.select("sample_id", "peak").distinct().count()) or real(rows, *a))
+    got = E.peak_quality(one, s).collect()
+    assert asked[0] <= 3 and len(got) == 60
+    for k in range(3):
+        assert len({(r.coherence, r.coherent, r.is_convoluted) for r in got if r.sample_id == k}) == 1
