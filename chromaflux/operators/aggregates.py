@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import best_of, small
+from .signal import spread
 from .windows import over
 
 
@@ -60,6 +61,7 @@ def shares(rows: DataFrame, on: list[str], values: dict[str, str]) -> DataFrame:
 
 def rolled_up(peaks: DataFrame, on: list[str], groups: list[str], value: str) -> DataFrame:
     """Sum of ``value`` by every group a row names (blank and ``0`` aside; a name twice counts twice), and a total row."""
+    peaks = spread(peaks.select(*dict.fromkeys([*on, value, *groups])), *on)  # sums stay in as many tasks as the session shuffles to
     parts = peaks.select(*on, value, F.explode(F.array(*groups)).alias("group")).filter("group is not null and trim(group) <> '' and group <> '0'")
     by = parts.groupBy(*on, "group").agg(F.sum(value).alias(value))
     total = peaks.groupBy(*on).agg(F.sum(value).alias(value)).withColumn("group", F.lit("Total"))

@@ -95,3 +95,9 @@ def test_peaks_over_the_same_scans_are_compared_once(spark, monkeypatch):
     assert asked[0] <= 3 and len(got) == 60
     for k in range(3):
         assert len({(r.coherence, r.coherent, r.is_convoluted) for r in got if r.sample_id == k}) == 1
+
+
+@pytest.mark.parametrize("name", ["key_set_check", "group_rollup"])
+def test_sums_and_keys_stay_in_many_tasks(spark, name):
+    plan = relational.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # a number of parts that Spark does not bring down
