@@ -32,16 +32,18 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, group: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing before it.
 
-    The files go when :func:`remove` is called or the application ends.
+    The files go when :func:`remove` is called or the application ends. Tables of large rows name the bytes of a row
+    ``group``: writers hold a group and readers decode one at a time, and by default the first is not looked at before it has 100 rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chromaflux-{uuid.uuid4().hex}"
     files, at = _file_system(spark, path)
     files.deleteOnExit(at)
-    df.write.parquet(path)
+    sizes = {"parquet.block.size": group, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if group else {}
+    df.write.options(**sizes).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -82,7 +82,16 @@ class Lanes:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function, in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """The gates' columns, side by side in ``x``, as blocks of their own: a step then works on whole blocks of memory."""
+    return np.ascontiguousarray(x.reshape(len(x), -1, HIDDEN).swapaxes(0, 1))
 
 
 class Run:
@@ -96,19 +105,26 @@ class Run:
         """States after each step of a window, and what backpropagation needs. ``before``: the tokens ahead of the window."""
         p, steps = self.p, len(target)
         inputs = np.where(begin, self.start, np.concatenate([before[None], target[:-1]]))
-        into = p["enter"][inputs]
+        into = by_gate(p["enter"])[:, inputs]
+        gates, state, fresh = by_gate(p["gates"]), p["state"], begin.any(1).tolist()
         keep = (~begin).astype(np.float32)[..., None]
         old, zr, new, hs = [], [], [], np.empty((steps, len(h), HIDDEN), np.float32)
         for t in range(steps):
-            h = h * keep[t]
-            g = sigmoid(into[t, :, : 2 * HIDDEN] + h @ p["gates"])
-            c = np.tanh(into[t, :, 2 * HIDDEN :] + (g[:, HIDDEN:] * h) @ p["state"])
+            if fresh[t]:
+                h = h * keep[t]
+            g = h @ gates
+            g += into[:2, t]
+            sigmoid(g)
+            c = (g[1] * h) @ state
+            c += into[2, t]
+            np.tanh(c, out=c)
             old.append(h)
             zr.append(g)
             new.append(c)
-            h = h + g[:, :HIDDEN] * (c - h)
-            hs[t] = h
-        return hs, h, (inputs, keep, old, zr, new)
+            step = c - h
+            step *= g[0]
+            h = np.add(h, step, out=hs[t])
+        return hs, h, (inputs, keep, fresh, old, zr, new)
 
     def heads(self, hs: np.ndarray, y: np.ndarray, learn: bool):
         """Natural-log probability of each target and, if ``learn``, the gradients (of their negative sum)."""
@@ -208,29 +224,35 @@ class Learner:
 
     def _back(self, dhs, kept, grad, scale: float) -> None:
         p = self.p
-        inputs, keep, old, zr, new = kept
+        inputs, keep, fresh, old, zr, new = kept
         steps, n = inputs.shape
-        d_in = np.empty((steps, n, 3 * HIDDEN), np.float32)
+        d_in = np.empty((steps, 3, n, HIDDEN), np.float32)
         carry = np.zeros((n, HIDDEN), np.float32)
         reset = np.empty((steps, n, HIDDEN), np.float32)
-        back_state, back_gates = p["state"].T.copy(), p["gates"].T.copy()
+        back_state, (back_z, back_r) = p["state"].T.copy(), by_gate(p["gates"]).swapaxes(1, 2).copy()
         for t in range(steps - 1, -1, -1):
             h, g, c = old[t], zr[t], new[t]
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
+            z, r = g
             d = dhs[t] + carry
             dz = d * z
-            dc = np.multiply(dz, 1 - c * c, out=d_in[t, :, 2 * HIDDEN :])
+            dc = np.multiply(c, c, out=d_in[t, 2])
+            np.subtract(1, dc, out=dc)
+            dc *= dz
             np.multiply(r, h, out=reset[t])
             d_rh = dc @ back_state
-            d_zr = d_in[t, :, : 2 * HIDDEN]
-            np.multiply(d, c - h, out=d_zr[:, :HIDDEN])
-            np.multiply(d_rh, h, out=d_zr[:, HIDDEN:])
+            d_zr = d_in[t, :2]
+            np.subtract(c, h, out=d_zr[0])
+            d_zr[0] *= d
+            np.multiply(d_rh, h, out=d_zr[1])
             d_zr *= g - g * g
-            carry = d - dz
-            carry += d_rh * r
-            carry += d_zr @ back_gates
-            carry *= keep[t]
-        flat_in = d_in.reshape(-1, 3 * HIDDEN)
+            carry = np.subtract(d, dz, out=d)
+            d_rh *= r
+            carry += d_rh
+            carry += d_zr[0] @ back_z
+            carry += d_zr[1] @ back_r
+            if fresh[t]:
+                carry *= keep[t]
+        flat_in = d_in.swapaxes(1, 2).reshape(-1, 3 * HIDDEN)
         d_gates = np.concatenate(old).T @ flat_in[:, : 2 * HIDDEN]
         d_state = reset.reshape(-1, HIDDEN).T @ flat_in[:, 2 * HIDDEN :]
         ids = inputs.ravel()

@@ -26,6 +26,8 @@ HEAD, OUTPUTS, ROUNDS = 1 << 18, 1024 + gru.PER_CLASS, 2
 SEGMENT = 4096
 #: Bytes of text in a part; a longer text is a part of its own.
 PART = 4 << 20
+#: Bytes of parts that a task writes or decodes together.
+GROUP = 16 << 20
 END = b""
 FOLDS, HELD = 7, 2
 
@@ -206,7 +208,7 @@ def scored(docs: DataFrame) -> DataFrame:
     training documents all words are unknown.
     """
     spark = docs.sparkSession
-    every = written(parts(docs))
+    every = written(parts(docs), GROUP)
     counts = written(word_counts(every))
     words, cutoff = vocabulary(counts)
     total = words.total

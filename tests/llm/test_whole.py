@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from test_text_operators import WORDS, frame, prose
 
-from chromaflux.llm import decontam, license, packing, simhash
+from chromaflux.llm import common, decontam, license, lm, packing, simhash
 
 
 @pytest.mark.parametrize("blocks", [(64, 256), (8, 16)])
@@ -93,3 +93,18 @@ def test_packed_ids_are_those_of_tokenizers_at_its_defaults(spark):
     cases = ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n b", " <|endoftext|", "don't <|ENDOFTEXT|> 123 <|endoftext|>", "  x  <|endoftext|>  y", ""]
     got = {r.doc_id: list(r.ids) for r in packing.pieces(frame(spark, [(i, x, None) for i, x in enumerate(cases)])).collect()}
     assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(cases)}
+
+
+def test_parts_of_the_corpus_are_written_and_read_few_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{r.randrange(1 << 40):x}" for _ in range(420_000))) for i in range(10)]  # each a part of its own
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    every = common.written(lm.parts(docs), lm.GROUP)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(every.written_to.removeprefix("file:") + "/*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in files) == 10 and max(sizes) < 2 * lm.GROUP < sum(sizes)
+    common.remove(every)
