@@ -43,18 +43,33 @@ def maxima(y: Array) -> Array:
 
 
 def prominences(y: Array, peaks: Array) -> tuple[Array, Array, Array]:
-    """Prominence, left base and right base of each peak."""
-    out, left, right = np.zeros(len(peaks)), np.zeros(len(peaks), int), np.zeros(len(peaks), int)
-    for k, p in enumerate(peaks):
-        higher = np.nonzero(y[:p] > y[p])[0]
-        low = higher[-1] if len(higher) else 0
-        higher = np.nonzero(y[p + 1 :] > y[p])[0]
-        high = higher[0] + p + 1 if len(higher) else len(y) - 1
-        part = y[low : p + 1]
-        left[k] = low + len(part) - 1 - int(np.argmin(part[::-1]))
-        right[k] = p + int(np.argmin(y[p : high + 1]))
-        out[k] = y[p] - max(y[left[k]], y[right[k]])
-    return out, left, right
+    """Prominence, left base and right base of each peak: the lowest places, nearest to it, up to the next higher value."""
+    at = np.asarray(peaks, int)
+    if np.isnan(y).any():
+        low = [np.nonzero(y[:p] > y[p])[0] for p in at]
+        high = [np.nonzero(y[p + 1 :] > y[p])[0] for p in at]
+        left = np.array([p - int(np.argmin(y[h[-1] if len(h) else 0 : p + 1][::-1])) for p, h in zip(at, low, strict=True)], int)
+        right = np.array([p + int(np.argmin(y[p : h[0] + p + 2 if len(h) else len(y)])) for p, h in zip(at, high, strict=True)], int)
+    else:
+        left, right = lowest_before(y)[at], len(y) - 1 - lowest_before(y[::-1])[len(y) - 1 - at]
+    return y[at] - np.maximum(y[left], y[right]), left, right
+
+
+def lowest_before(y: Array) -> Array:
+    """The place of the lowest value from behind the last higher value up to each place, the last of equal ones; one pass."""
+    out, tops, lows, places = [], [], [], []  # values that later ones have not reached, and the lowest since the one before
+    for i, v in enumerate(y.tolist()):
+        low, place = v, i
+        while tops and tops[-1] <= v:
+            tops.pop()
+            other, at = lows.pop(), places.pop()
+            if other < low:
+                low, place = other, at
+        tops.append(v)
+        lows.append(low)
+        places.append(place)
+        out.append(place)
+    return np.array(out, int)
 
 
 def widths(y: Array, peaks: Array, rel: float = 0.5) -> tuple[Array, Array, Array]:
@@ -155,17 +170,26 @@ def smooth_whittaker(y: Array, w: Array, lam: float, order: int = 2) -> Array:
     return z
 
 
+#: Signals of more points are cut for :func:`whittaker_many`.
+LONG = 1024
+
+
 def whittaker_many(y: Array, w: Array, lengths: Array, lam: float, order: int = 2) -> Array:
     """:func:`smooth_whittaker` of many signals at once, one a row, padded beyond their ``lengths``; a step of the band serves all rows."""
     n, d = y.shape[1], np.diff(np.eye(order + 1), order, axis=0)[0]
     bands = np.zeros((order + 1, n, len(y)))
-    for k in range(n - order):
-        there = lam * (k < lengths - order)
-        for i in range(order + 1):
-            for j in range(i, order + 1):
-                bands[j - i, k + i] += d[i] * d[j] * there
+    there = lam * (np.arange(n - order)[:, None] < lengths - order)
+    for i in range(order + 1):
+        for j in range(i, order + 1):
+            bands[j - i, i : n - order + i] += d[i] * d[j] * there
     bands[0] += w.T
-    z = (w * y).T.copy()
+    rhs = (w * y).T
+    return (banded_long(bands, rhs) if n > LONG else banded(bands, rhs[:, None])[:, 0]).T
+
+
+def banded(bands: Array, rhs: Array) -> Array:
+    """Solutions [place, right side, lane] of banded systems: ``bands[k, i]`` holds the entry (i + k, i), and is overwritten."""
+    order, n, z = len(bands) - 1, bands.shape[1], np.array(rhs)
     for i in range(n):
         bands[0, i] = np.sqrt(bands[0, i])
         m = min(order, n - 1 - i)
@@ -173,11 +197,64 @@ def whittaker_many(y: Array, w: Array, lengths: Array, lam: float, order: int =
         for k in range(1, m + 1):
             bands[: m + 1 - k, i + k] -= bands[k, i] * bands[k : m + 1, i]
         z[i] /= bands[0, i]
-        z[i + 1 : i + 1 + m] -= bands[1 : m + 1, i] * z[i]
+        z[i + 1 : i + 1 + m] -= bands[1 : m + 1, i, None] * z[i]
     for i in range(n - 1, -1, -1):
         m = min(order, n - 1 - i)
-        z[i] = (z[i] - (bands[1 : m + 1, i] * z[i + 1 : i + 1 + m]).sum(0)) / bands[0, i]
-    return z.T
+        z[i] = (z[i] - (bands[1 : m + 1, i, None] * z[i + 1 : i + 1 + m]).sum(0)) / bands[0, i]
+    return z
+
+
+def banded_long(bands: Array, rhs: Array) -> Array:
+    """:func:`banded` for one right side, exact, in steps that grow with the root of the length.
+
+    The places are cut into stretches, ``order`` places apart. Stretches are solved side by side for the right side and for
+    what couples them to the places between; those then meet in a block-tridiagonal system.
+    """
+    o, n, lanes = len(bands) - 1, *rhs.shape
+    m = max(int(np.sqrt(n)), 2 * o)
+    count = -(-n // (m + o))
+    whole = np.zeros((o + 1, count * (m + o), lanes))
+    whole[:, :n] = bands
+    whole[0, n:] = 1.0
+    whole = whole.reshape(o + 1, count, m + o, lanes)
+    f = np.zeros((count * (m + o), lanes))
+    f[:n] = rhs
+    f = f.reshape(count, m + o, lanes)
+    inner = whole[:, :, :m].transpose(0, 2, 1, 3).copy()
+    left, right = np.zeros((2, count, o, o, lanes))  # [stretch, its first or last places, places between, lane]
+    between = np.zeros((count, o, o, lanes))
+    for s in range(o):
+        for k in range(o + 1):
+            if s + k < o:
+                between[:, s + k, s] = between[:, s, s + k] = whole[k, :, m + s]
+            else:
+                left[1:, s + k - o, s] = whole[k, :-1, m + s]
+        for k in range(s + 1, o + 1):  # place m + s is k further than a place of the stretch
+            right[:, o + s - k, s] = whole[k, :, m + s - k]
+    sides = np.zeros((m, 1 + 2 * o, count, lanes))
+    sides[:, 0] = f[:, :m].swapaxes(0, 1)
+    sides[:o, 1 : 1 + o] = left.transpose(1, 2, 0, 3)
+    sides[m - o :, 1 + o :] = right.transpose(1, 2, 0, 3)
+    z = banded(inner.reshape(o + 1, m, -1), sides.reshape(m, 1 + 2 * o, -1)).reshape(sides.shape)
+    first, last = z[:o].transpose(2, 0, 1, 3), z[m - o :].transpose(2, 0, 1, 3)  # [stretch, place, side, lane]
+    by_right, by_left = np.einsum("bpsl,bpkl->bskl", right, last), np.einsum("bpsl,bpkl->bskl", left, first)
+    by_left = np.concatenate([by_left[1:], np.zeros_like(by_left[:1])])  # of the stretch behind
+    to_lanes = lambda x: np.ascontiguousarray(np.moveaxis(x, -1, 1))
+    diagonal = to_lanes(between - by_right[:, :, 1 + o :] - by_left[:, :, 1 : 1 + o])
+    before, behind = to_lanes(-by_right[:, :, 1 : 1 + o]), to_lanes(-by_left[:, :, 1 + o :])
+    value = to_lanes((f[:, m:] - by_right[:, :, 0] - by_left[:, :, 0])[:, :, None])
+    for b in range(1, count):
+        factor = np.linalg.solve(diagonal[b - 1].swapaxes(1, 2), before[b].swapaxes(1, 2)).swapaxes(1, 2)
+        diagonal[b] -= factor @ behind[b - 1]
+        value[b] -= factor @ value[b - 1]
+    for b in range(count - 1, -1, -1):
+        value[b] = np.linalg.solve(diagonal[b], value[b] - behind[b] @ value[b + 1] if b + 1 < count else value[b])
+    cut = value[..., 0].swapaxes(1, 2)  # [stretch, place between, lane]
+    out = np.empty_like(f)
+    out[:, m:] = cut
+    out[:, :m] = (z[:, 0] - np.einsum("mkbl,bkl->mbl", z[:, 1 + o :], cut)).swapaxes(0, 1)
+    out[1:, :m] -= np.einsum("mkbl,bkl->bml", z[:, 1 : 1 + o, 1:], cut[:-1])
+    return out.reshape(-1, lanes)[:n]
 
 
 def reweighted_many(many: list[Array], method: str, lam: float, p: float = 0.01, order: int = 2, rounds: int = 50, tolerance: float = 1e-3) -> list[Array]:

@@ -118,3 +118,40 @@ def test_golden_weight_percent(spark):
     samples = spark.createDataFrame([("s", 0.0631, 0.727)], "sample_id string, sample_mass_g double, solvent_mass_g double")
     row = broadcast_factors(peaks, lib, anchors, samples).first()
     assert row.wt_percent == pytest.approx(20810783 * 0.044043310013 / 28848616.5 * (0.0631 + 0.727) / 0.0631)
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_long_baselines_are_those_of_the_plain_band(order):
+    import time
+
+    rng = np.random.default_rng(3)
+    y, w, lengths = rng.normal(50, 9, (3, 3000)), rng.uniform(1e-6, 1, (3, 3000)), np.array([3000, 2999, 2410])
+    got = K.whittaker_many(y, w, lengths, 1e4, order)
+    for z, a, b, n in zip(got, y, w, lengths, strict=True):
+        np.testing.assert_allclose(z[:n], K.smooth_whittaker(a[:n], b[:n], 1e4, order), rtol=1e-7)
+    long = [rng.normal(50, 9, 40_000)]
+    begin = time.process_time()
+    K.baselines(long, "arpls", 1e3)
+    assert time.process_time() - begin < 8  # one place after another took some 20 s and more
+
+
+def test_prominences_of_long_signals_are_those_of_each_peak_alone():
+    import time
+
+    def alone(y, p):
+        higher = np.nonzero(y[:p] > y[p])[0]
+        low = higher[-1] if len(higher) else 0
+        higher = np.nonzero(y[p + 1 :] > y[p])[0]
+        high = higher[0] + p + 1 if len(higher) else len(y) - 1
+        left, right = p - int(np.argmin(y[low : p + 1][::-1])), p + int(np.argmin(y[p : high + 1]))
+        return y[p] - max(y[left], y[right]), left, right
+
+    rng = np.random.default_rng(4)
+    for y in (rng.integers(0, 9, 400).astype(float), np.cumsum(rng.normal(size=500)), np.zeros(5), np.array([1.0, np.nan, 3, 2, 5, 1])):
+        at = K.maxima(y)
+        got = list(zip(*K.prominences(y, at), strict=True))
+        np.testing.assert_array_equal(np.array(got).reshape(-1, 3), np.array([alone(y, p) for p in at]).reshape(-1, 3))
+    y = rng.normal(size=100_000)
+    begin = time.process_time()
+    K.prominences(y, K.maxima(y))
+    assert time.process_time() - begin < 2
