@@ -142,6 +142,15 @@ def match(peaks: DataFrame, table: DataFrame, mode: int, tolerance: float = 0.1,
     return (lambda: match_window(peaks, table, expansion), lambda: match_apex(peaks, table, tolerance), lambda: match_weighted(peaks, table, weights))[mode]()
 
 
+def match_modes(peaks: DataFrame, table: DataFrame, modes: tuple[int, ...], tolerance: float = 0.1, expansion: float = 0.0, weights=(0.25, 0.5, 0.25)) -> DataFrame:
+    """:func:`match` by each of ``modes``: a row for each peak and ``mode`` (long). The peaks are read and worked out once for all of them."""
+    found, own = peaks, peaks.columns
+    for k, mode in enumerate(modes):
+        found = match(found, table, mode, tolerance, expansion, weights).withColumnRenamed("compound", f"__compound_{k}")
+    each = F.array(*(F.struct(F.lit(mode).cast("long").alias("mode"), F.col(f"__compound_{k}").alias("compound")) for k, mode in enumerate(modes)))
+    return found.select(*own, F.inline(each))
+
+
 def assign(peaks: DataFrame, high_priority: bool = False) -> DataFrame:
     """Applies matches (``compound``) to ``compound_id``: always with priority, else only where nothing is assigned.
 

@@ -183,8 +183,7 @@ UNION ALL SELECT 1, sample_id, peak_number, arg_min(compound, abs(apex - rt) * 1
 def rt_match_dispatch(spark, d):
     p = peaks(spark, d).select("sample_id", "peak_number", "rt")
     t = rt_table(spark, d)
-    parts = [J.match(p, t, m, 0.1, 0.5).withColumn("mode", F.lit(m).cast("long")).select("mode", "sample_id", "peak_number", "compound") for m in (0, 1, 2, 7)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return J.match_modes(p, t, (0, 1, 2, 7), 0.1, 0.5).select("mode", "sample_id", "peak_number", "compound")
 
 
 @query(f"""WITH {SIGNALS} SELECT sample_id, seq, round(-log10(greatest(y, 1) / 100), 6) AS absorbance FROM signals""")

@@ -329,3 +329,15 @@ def test_shared_bounds_of_very_many_peaks(spark):
         if hi[k] - lo[k - 1] < 1.1 * (hi[k - 1] - lo[k - 1] + hi[k] - lo[k]):
             hi[k - 1], lo[k] = hi[k], lo[k - 1]
     assert got["left"].tolist() == lo.tolist() and got["right"].tolist() == hi.tolist() and got["shared"].all()
+
+
+def test_matches_of_several_modes_are_made_in_one_pass(spark):
+    from chromaflux.operators import joins as J
+    from chromaflux.plans.adapters import peaks, rt_table
+    from chromaflux.plans.queries_more import rt_match_dispatch
+
+    p, t = peaks(spark, SF).select("sample_id", "peak_number", "rt"), rt_table(spark, SF)
+    want = {(m, *r) for m in (0, 1, 2, 7) for r in J.match(p, t, m, 0.1, 0.5).select("sample_id", "peak_number", "compound").collect()}
+    plan = rt_match_dispatch(spark, SF)
+    assert {tuple(r) for r in plan.collect()} == want and plan.count() == 4 * p.count()
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
