@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,52 +40,63 @@ def closed_peaks(samples: DataFrame, level: float) -> DataFrame:
     return found.filter("ended").drop("ended", "run")
 
 
+#: Groups that samples are dealt to: a call of the state costs as much for all samples of a group as for one.
+GROUPS = 1024
+
+
 class OpenPeaks(StatefulProcessor):
-    """Per sample: the samples that the watermark has not passed, and the peak that is open."""
+    """Per group of samples: the samples' values that the watermark has not passed, and the peaks that are open."""
 
     def __init__(self, level: float):
         self.level = level
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "time long, y double")
-        self.open = handle.getValueState("open", "start long, last long, last_y double, apex long, height double, area double, samples long")
+        self.waiting = handle.getListState("waiting", "sample_id string, time long, y double")
+        self.open = handle.getListState("open", "sample_id string, start long, last long, last_y double, apex long, height double, area double, samples long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(int(t.value // 1000), None if pd.isna(y) else float(y)) for part in rows for t, y in zip(part["time"], part["y"], strict=True)]
-        return self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
+        fresh = []
+        for part in rows:
+            time = part["time"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            fresh += zip(part["sample_id"].tolist(), time.tolist(), part["y"].astype(float).tolist(), strict=True)
+        return self._advance(fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        return self._advance([], timerValues.getCurrentWatermarkInMs())
 
-    def _advance(self, key, fresh: list, watermark: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, fresh: list, watermark: int) -> Iterator[pd.DataFrame]:
         """Takes what the watermark has passed, in order; a timer comes back for the rest."""
-        every = sorted([*((r[0], r[1]) for r in self.waiting.get()), *fresh], key=lambda r: r[0])
-        ready = [r for r in every if r[0] < watermark * 1000]
+        every = sorted([*map(tuple, self.waiting.get()), *fresh], key=lambda r: r[1])
+        ready = [r for r in every if r[1] < watermark * 1000]
         rest = every[len(ready) :]
         if rest:
-            self.waiting.put(rest)
+            if fresh or ready:
+                self.waiting.put(rest)
             # milliseconds round down: the next one is past the first sample that waits
-            self.handle.registerTimer(max(watermark, rest[0][0] // 1000) + 1)
+            self.handle.registerTimer(max(watermark, rest[0][1] // 1000) + 1)
         else:
             self.waiting.clear()
-        now = tuple(self.open.get()) if self.open.exists() else None
-        closed = []
-        for t, y in ready:
-            if y is not None and y > self.level:
-                if now is None:
-                    now = (t, t, y, t, y, 0.0, 1)
-                else:
-                    start, last, last_y, apex, height, area, n = now
-                    now = (start, t, y, *((t, y) if y > height else (apex, height)), area + (t - last) / 6e7 * (y + last_y) / 2, n + 1)
-            elif now is not None:
-                closed.append((key[0], *(pd.Timestamp(v, unit="us") for v in (now[0], now[1], now[3])), now[4], now[5], now[6]))
-                now = None
-        if now is None:
-            self.open.clear()
-        else:
-            self.open.update(now)
-        yield pd.DataFrame(closed, columns=["sample_id", "start", "end", "apex", "height", "area", "samples"])
+        closed: list[tuple] = []
+        if ready:
+            held = {r[0]: tuple(r)[1:] for r in self.open.get()}
+            for sample, t, y in ready:
+                now = held.get(sample)
+                if y is not None and y > self.level:
+                    if now is None:
+                        held[sample] = (t, t, y, t, y, 0.0, 1)
+                    else:
+                        start, last, last_y, apex, height, area, n = now
+                        held[sample] = (start, t, y, *((t, y) if y > height else (apex, height)), area + (t - last) / 6e7 * (y + last_y) / 2, n + 1)
+                elif now is not None:
+                    del held[sample]
+                    closed.append((sample, now[0], now[1], now[3], now[4], now[5], now[6]))
+            if held:
+                self.open.put([(k, *v) for k, v in held.items()])
+            else:
+                self.open.clear()
+        found = pd.DataFrame(closed, columns=["sample_id", "start", "end", "apex", "height", "area", "samples"])
+        yield found.assign(**{c: pd.to_datetime(found[c], unit="us") for c in ("start", "end", "apex")})
 
     def close(self) -> None:
         pass
@@ -98,7 +110,9 @@ def online_peaks(samples: DataFrame, level: float, late: str = "10 minutes") ->
     """
     kind = samples.schema["sample_id"].dataType.simpleString()
     timed = samples.select("sample_id", F.col("time").cast("timestamp").alias("time"), "y").withWatermark("time", late)
-    return timed.groupBy("sample_id").transformWithStateInPandas(OpenPeaks(level), f"sample_id {kind}, {PEAK}", "Append", "EventTime")
+    dealt = timed.select(F.pmod(F.xxhash64("sample_id"), F.lit(GROUPS)).alias("group"), F.col("sample_id").cast("string").alias("sample_id"), "time", "y")
+    found = dealt.groupBy("group").transformWithStateInPandas(OpenPeaks(level), f"sample_id string, {PEAK}", "Append", "EventTime")
+    return found.withColumn("sample_id", F.col("sample_id").cast(kind))
 
 
 def with_state(spark: SparkSession) -> SparkSession:

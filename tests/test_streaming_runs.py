@@ -172,3 +172,14 @@ def test_progress_of_streams(spark, tmp_path):
         assert seen.batches["watch"] == 2 and seen.rows["watch"] == 2 and seen.ended["watch"] is None and "watch" in seen.last
     finally:
         spark.streams.removeListener(seen)
+
+
+def test_online_peaks_of_many_samples_share_states(spark, tmp_path):
+    online.with_state(spark)
+    begin = datetime(2024, 5, 1)
+    rows = [(i, begin + timedelta(minutes=k), y) for i in range(3000) for k, y in enumerate((1.0, 9.0, 1.0))] + [(-1, begin + timedelta(days=1), 0.0)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(f"{tmp_path}/in")
+    q = online.online_peaks(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 4.0, "3 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start()
+    q.awaitTermination()
+    timers = sum(o.customMetrics["numRegisteredTimers"] for p in q.recentProgress for o in p.stateOperators)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3000 and 0 < timers <= 2 * online.GROUPS
