@@ -473,9 +473,9 @@ def erfcx(x: Array) -> Array:
     return np.where(x >= 0, positive, 2 * np.exp(np.minimum(x * x, 700)) - positive)
 
 
-def emg(t: Array, area: float, mu: float, sigma: float, tau: float) -> Array:
+def emg(t: Array, area: float | Array, mu: float | Array, sigma: float | Array, tau: float | Array) -> Array:
     """Exponentially modified Gaussian that integrates to ``area``."""
-    sigma, tau = max(sigma, 1e-6), max(tau, 1e-9)
+    sigma, tau = np.maximum(sigma, 1e-6), np.maximum(tau, 1e-9)
     k, z = tau / sigma, (t - mu) / sigma
     return area / (2 * tau) * np.exp(-z * z / 2) * erfcx((1 / k - z) / np.sqrt(2))
 

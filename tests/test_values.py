@@ -341,3 +341,18 @@ def test_matches_of_several_modes_are_made_in_one_pass(spark):
     plan = rt_match_dispatch(spark, SF)
     assert {tuple(r) for r in plan.collect()} == want and plan.count() == 4 * p.count()
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+
+
+def test_single_curves_are_fitted_side_by_side():
+    r = np.random.default_rng(6)
+    many, want = [], []
+    for k in range(300):
+        x = np.linspace(0, 10, 60 + k % 7)
+        want.append((r.uniform(5, 50), r.uniform(3, 6), r.uniform(0.2, 0.5), r.uniform(0.2, 0.8)))
+        many.append((x, K.emg(x, *want[-1])))
+    begin = time.process_time()
+    q, r2 = G.emg_fits(many)
+    assert time.process_time() - begin < 3
+    np.testing.assert_allclose(np.c_[q[:, :2], np.exp(q[:, 2:])], want, rtol=1e-3)
+    np.testing.assert_allclose(G.emg_fits(many[7:8])[0], q[7:8], rtol=1e-4)
+    assert (r2 > 0.9999).all()
