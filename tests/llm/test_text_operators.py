@@ -392,6 +392,73 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert quality.op6_quality(d, labels.limit(0)).count() == 312
 
 
+def test_quality_counts_every_trusted_row(spark, monkeypatch):
+    """Perplexities by a plain loop over all 4,400 fitted rows (a sample of 3,000 gives others), and the thresholds of all held-out ones."""
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(quality, "PART", 20_000)
+    rows = [(i, prose(i, 5 + i % 9) + f" w{i % 3500}", ("en", "de")[i % 2]) for i in range(6600)] + [(7000, None, "en"), (7001, prose(1, 300), "xx")]
+    d = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6600)], "doc_id long, quality int, toxic int")
+    held = {r[0] for r in d.filter(quality.held_out()).select("doc_id").collect()} - {7000, 7001}
+    words = lambda t: [quality.plain(w.encode()) for w in (t or "").split()]
+    seen = Counter(w for i, t, _ in rows[:6600] if i not in held for w in words(t))
+    known = {w for w, n in seen.items() if n > 1}
+    ids = lambda t: ["<s>", "<s>", *(w if w in known else "<o>" for w in words(t))]
+    tri = Counter(g for i, t, _ in rows[:6600] if i not in held for g in zip(ids(t), ids(t)[1:], ids(t)[2:], strict=False))
+    two = Counter((b, c) for _, b, c in tri)
+    one = Counter(c for _, c in two)
+
+    def off(counts):
+        n = [max(1, sum(x == k for x in counts.values())) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]))]
+        return lambda n: d[min(n, 3) - 1]
+
+    def tables(counts):
+        f, total, left = off(counts), Counter(), defaultdict(float)
+        for k, n in counts.items():
+            total[k[:-1]] += n
+            left[k[:-1]] += f(n)
+        return {k: (n - f(n)) / total[k[:-1]] for k, n in counts.items()}, {k: left[k] / total[k] for k in total}
+
+    p3, g3 = tables(tri)
+    p2, g2 = tables(two)
+    p1, g1 = tables({(c,): n for c, n in one.items()})
+    outside = max(1, len(seen) - len(known))
+
+    def logs(t):
+        w, out = ids(t), 0.0
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            p = p1.get((c,), 0) + g1[()] / (len(known) + 1)
+            p = p2.get((b, c), 0) + g2.get((b,), 1) * p
+            p = p3.get((a, b, c), 0) + g3.get((a, b), 1) * p
+            out += math.log10(p) - (math.log10(outside) if c == "<o>" else 0)
+        return out
+
+    got = {r.doc_id: r for r in quality.op6_quality(d, labels).collect()}
+    assert len(got) == len(rows) and len(held) < 2400 and got[7000].perplexity is None
+    want = {i: 10 ** (-logs(t) / len(words(t))) for i, t, _ in rows if t}
+    assert all(got[i].perplexity == pytest.approx(x, rel=1e-4) and got[i].n_tokens == len(words(t)) for (i, t, _), x in zip((r for r in rows if r[1]), want.values(), strict=True))
+    for lang in ("en", "de"):
+        own = sorted(want[i] for i, _, x in rows[:6600] if i in held and x == lang)
+        assert got[0 if lang == "en" else 1].threshold == pytest.approx(own[math.ceil(0.995 * len(own)) - 1] * 1.05, rel=1e-4)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packed_trigrams_come_back(seed):
+    r = np.random.default_rng(seed)
+    keys = np.unique(r.integers(0, 1 << 60, 4000) & ~(r.integers(0, 4, 4000) << 58) >> r.integers(0, 50, 4000))
+    values = r.integers(0, 1 << 32, len(keys))
+    got = quality.unpack(quality.pack(keys, values))
+    assert (got[0] == keys).all() and (got[1] == values).all()
+    assert [len(x) for x in quality.unpack(quality.pack(keys[:0], values[:0]))] == [0, 0]
+    deal = quality.Deal.of(np.array([0, 5, 1000, 3, 1]), 10**9)
+    b, a = r.integers(0, 5, 3000), r.integers(0, 1 << 20, 3000)
+    places = {(i, s) for i, s in zip(*(x.tolist() for x in deal.places(np.arange(5))), strict=True)}
+    assert {(int(x), int(s)) for x, s in zip(b, deal.shard(b << 40 | a << 20), strict=True)} <= places and len(places) > 20
+
+
 # --- op7 --------------------------------------------------------------------------------------------------------------
 
 
