@@ -7,6 +7,7 @@ searched, by damped least squares within bounds (variable projection).
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,67 +39,156 @@ class Fit:
 LEAST = 1e-10
 
 
+#: Values of moved curves that are worked out together, and how much longer than the shortest a signal beside it may be.
+CELLS, LIKE = 400_000, 3.0
+
+
 def curves(t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A column of area one for each row (time, log sigma, log tau) of ``q``."""
-    sigma, tau = np.exp(q[:, 1]), np.exp(q[:, 2])
-    z = (t[:, None] - q[:, 0]) / sigma
+    """A column of area one for each row (time, log sigma, log tau) of ``q``; both may be stacked."""
+    sigma, tau = np.exp(q[..., None, :, 1]), np.exp(q[..., None, :, 2])
+    z = (t[..., None] - q[..., None, :, 0]) / sigma
     return np.exp(-z * z / 2) * K.erfcx((sigma / tau - z) / np.sqrt(2)) / (2 * tau)
 
 
+def slopes(t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The slopes of :func:`curves` by time, log sigma and log tau: three columns for each row of ``q``.
+
+    What is left of 1 - sqrt(pi) u erfcx(u) is taken by its series where the difference would cancel.
+    """
+    sigma, tau = np.exp(q[..., None, :, 1]), np.exp(q[..., None, :, 2])
+    z, ratio = (t[..., None] - q[..., None, :, 0]) / sigma, sigma / tau
+    u = (ratio - z) / np.sqrt(2)
+    g = np.exp(-z * z / 2) / (2 * tau)
+    f = g * K.erfcx(u)
+    v = 1 / (2 * np.maximum(u, 7.0) ** 2)
+    rest = np.where(u > 7, g * v * (1 - v * (3 - v * (15 - v * (105 - 945 * v)))), g - np.sqrt(np.pi) * u * f) * np.sqrt(2 / np.pi)
+    out = np.stack([(z * f - rest) / sigma, z * z * f - (ratio + z) * rest, ratio * rest - f], -1)
+    return out.reshape(*out.shape[:-2], -1)
+
+
 def areas_of(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(areas, residual, orthonormal base of the curves in use) of the best non-negative sum of columns."""
-    top = np.abs(a).max(0)
+    areas, r, base = areas_beside(a[None], y[None])
+    return areas[0], r[0], base[0]
+
+
+def areas_beside(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(areas, residuals, orthonormal bases of the curves in use) of the best non-negative sums of columns, signal by signal."""
+    top = np.abs(a).max(1)
     scale = np.where(top > 1e-200, top, np.inf)  # a curve between two places is nowhere
-    base, r = np.linalg.qr(a / scale)
-    areas = np.linalg.lstsq(r, base.T @ y, rcond=None)[0]
-    if (areas < 0).any():
-        areas = K.nnls(a / scale, y)
-        base = np.linalg.qr(a[:, areas > 0] / scale[areas > 0])[0]
+    scaled = a / scale[:, None]
+    base, r = np.linalg.qr(scaled)
+    goal = (y[:, None] @ base)[:, 0]
+    areas = _least(r, goal)
+    wrong = np.nonzero((areas < 0).any(1))[0]
+    if len(wrong):
+        areas[wrong] = _positive(r[wrong], goal[wrong])
+        used = areas[wrong] > 0
+        order = np.argsort(~used, axis=1, kind="stable")  # curves in use come first, so that the first vectors span them
+        own = np.linalg.qr(np.take_along_axis(scaled[wrong], order[:, None], 2))[0]
+        base[wrong] = own * (np.arange(base.shape[2]) < used.sum(1)[:, None])[:, None]
     areas = areas / scale
-    return areas, y - a @ areas, base
+    return areas, y - (a @ areas[..., None])[..., 0], base
+
+
+def _least(r: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    return (np.linalg.pinv(r, rcond=max(r.shape[1:]) * np.finfo(float).eps) @ goal[..., None])[..., 0]
+
 
+def _positive(r: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Non-negative least squares of small square systems: of the subsets of columns whose solution is positive the best."""
+    n = r.shape[2]
+    if n > 4:
+        return np.stack([K.nnls(x, g) for x, g in zip(r, goal, strict=True)])
+    out, best = np.zeros((len(r), n)), (goal * goal).sum(1)
+    for k in range(1, 2**n - 1):
+        own = [i for i in range(n) if k >> i & 1]
+        x = _least(r[:, :, own], goal)
+        rss = ((goal - (r[:, :, own] @ x[..., None])[..., 0]) ** 2).sum(1)
+        better = (x > 0).all(1) & (rss < best)
+        best[better] = rss[better]
+        full = np.zeros((int(better.sum()), n))
+        full[:, own] = x[better]
+        out[better] = full
+    return out
 
-def searched(t: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """(times and log widths, areas, residual sum of squares, converged) of damped steps from ``start`` within bounds.
 
-    The slope of the residual is that of the curves at fixed areas, projected off the curves (Kaufman's form).
+@dataclass
+class Search:
+    """A search for times and log widths from ``start`` within bounds, over a signal."""
+
+    t: np.ndarray
+    y: np.ndarray
+    start: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+Found = tuple[np.ndarray, np.ndarray, float, bool]
+
+
+def searched(t: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int) -> Found:
+    """:func:`searched_beside` for one search."""
+    return searched_beside([Search(t, y, start, low, high)], rounds)[0]
+
+
+def searched_beside(many: list[Search], rounds: int) -> list[Found]:
+    """(times and log widths, areas, residual sum of squares, converged) of damped steps, for searches with as many curves each.
+
+    The slope of the residual is that of the curves at fixed areas, projected off the curves (Kaufman's form). The searches go
+    side by side; each takes its own steps and stops by its own rule, and slopes are worked out once for a place, in closed form.
     """
-    n, q = len(start), np.clip(start, low, high)
-    lo, hi, span = low.ravel(), high.ravel(), np.where(high > low, high - low, 1.0)
-    areas, r, base = areas_of(curves(t, q), y)
-    damp, goal, idle = 1e-2, 1e-20 * float(y @ y), 0
-    for _ in range(rounds):
-        if r @ r <= goal:
-            return q, areas, float(r @ r), True
-        step = np.where(q + 1e-6 * span <= high, 1e-6 * span, -1e-6 * span)
-        moved = np.repeat(q, 3, 0)
-        moved[np.arange(3 * n), np.tile([0, 1, 2], n)] += step.ravel()
-        every = curves(t, np.concatenate([q, moved]))
-        slope = (every[:, n:] - np.repeat(every[:, :n], 3, 1)) / step.ravel() * np.repeat(areas, 3)
-        jac = base @ (base.T @ slope) - slope
-        a, g = jac.T @ jac, jac.T @ r
-        # a parameter at a bound that the slope pushes outward stays there
-        flat = q.ravel()
-        free = ~(((flat <= lo) & (g > 0)) | ((flat >= hi) & (g < 0))) & (np.diag(a) > 0)
-        if not free.any():
-            return q, areas, float(r @ r), True
-        part = a[np.ix_(free, free)]
-        while damp < 1e12:
-            move = np.zeros(3 * n)
-            move[free] = -np.linalg.solve(part + damp * np.diag(np.diag(part)), g[free])
-            new = np.clip(q + move.reshape(q.shape), low, high)
-            found = areas_of(curves(t, new), y)
-            if found[1] @ found[1] < r @ r:
-                gain = 1 - (found[1] @ found[1]) / (r @ r)
-                q, (areas, r, base), damp = new, found, max(damp / 5, 1e-12)
-                break
-            damp *= 4
-        else:
-            return q, areas, float(r @ r), True  # no step makes it better
-        idle = idle + 1 if gain < 1e-6 else 0
-        if idle == 2:  # two steps in a row that gained next to nothing
-            return q, areas, float(r @ r), True
-    return q, areas, float(r @ r), False
+    lengths = np.array([len(m.t) for m in many])
+    wide = max(int(lengths.max()), len(many[0].start))  # no fewer rows than curves
+    t, y = (np.stack([np.pad(v, (0, wide - len(v)), mode=mode) for v in side]) for side, mode in (([m.t for m in many], "edge"), ([m.y for m in many], "constant")))
+    real = (np.arange(wide) < lengths[:, None])[..., None]
+    start, low, high = (np.stack([getattr(m, c) for m in many]) for c in ("start", "low", "high"))
+    n, count = start.shape[1], len(many)
+    size = 3 * n
+    q = np.clip(start, low, high)
+    areas, r, base = areas_beside(np.where(real, curves(t, q), 0.0), y)
+    rss = (r * r).sum(1)
+    goal, damp, idle, turns = 1e-20 * (y * y).sum(1), np.full(count, 1e-2), np.zeros(count, int), np.zeros(count, int)
+    a, g, free = np.zeros((count, size, size)), np.zeros((count, size)), np.zeros((count, size), bool)
+    done, fresh, left = np.zeros(count, bool), np.ones(count, bool), np.arange(count)
+    diagonal = np.arange(size)
+    while True:
+        new = left[fresh[left]]
+        done[new] = (turns[new] < rounds) & (rss[new] <= goal[new])
+        turns[new] += 1
+        left = left[~done[left] & (turns[left] <= rounds)]
+        new = left[fresh[left]]
+        if len(new):
+            slope = np.where(real[new], slopes(t[new], q[new]), 0.0) * np.repeat(areas[new], 3, 1)[:, None]
+            jac = base[new] @ (np.swapaxes(base[new], 1, 2) @ slope) - slope
+            a[new] = np.swapaxes(jac, 1, 2) @ jac
+            g[new] = (r[new][:, None] @ jac)[:, 0]
+            # a parameter at a bound that the slope pushes outward stays there
+            flat, lo, hi = (v[new].reshape(-1, size) for v in (q, low, high))
+            free[new] = ~(((flat <= lo) & (g[new] > 0)) | ((flat >= hi) & (g[new] < 0))) & (a[new][:, diagonal, diagonal] > 0)
+            fresh[new] = False
+            done[new] = ~free[new].any(1)
+            left = left[~done[left]]
+        if not len(left):
+            break
+        part = np.where(free[left][:, :, None] & free[left][:, None], a[left], 0.0)
+        part[:, diagonal, diagonal] = np.where(free[left], part[:, diagonal, diagonal] * (1 + damp[left, None]), 1.0)
+        move = -np.linalg.solve(part, np.where(free[left], g[left], 0.0)[..., None])[..., 0]
+        to = np.clip(q[left] + move.reshape(-1, n, 3), low[left], high[left])
+        found = areas_beside(np.where(real[left], curves(t[left], to), 0.0), y[left])
+        after = (found[1] ** 2).sum(1)
+        better = after < rss[left]
+        at, worse = left[better], left[~better]
+        idle[at] = np.where(1 - after[better] / rss[at] < 1e-6, idle[at] + 1, 0)
+        q[at], areas[at], r[at], base[at], rss[at] = to[better], found[0][better], found[1][better], found[2][better], after[better]
+        damp[at] = np.maximum(damp[at] / 5, 1e-12)
+        damp[worse] *= 4
+        fresh[at] = True
+        # two steps in a row that gained next to nothing, or no step that makes it better
+        done[at[idle[at] == 2]] = True
+        done[worse[damp[worse] >= 1e12]] = True
+        left = left[~done[left]]
+    return [(q[i], areas[i], float(rss[i]), bool(done[i])) for i in range(count)]
 
 
 def joint(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit = Fit(), retries: int | None = None) -> tuple[list[dict], float]:
@@ -108,6 +198,48 @@ def joint(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit = Fit(), re
     the seed with the lowest signal goes, up to ``retries`` times. Where a curve is wider than ``fat`` of the window, the fit
     without it is taken if that leaves less than twice the residual.
     """
+    plan, answer = _plan(t, y, seeds, fit, retries), None
+    while True:
+        try:
+            s = plan.send(answer)
+        except StopIteration as end:
+            return end.value
+        answer = searched(s.t, s.y, s.start, s.low, s.high, fit.rounds)
+
+
+def joints(many: list[tuple[np.ndarray, np.ndarray, list[float]]], fit: Fit = Fit(), retries: int | None = None) -> list[tuple[list[dict], float]]:
+    """:func:`joint` of many groups; the searches that they need next go side by side where they are alike in curves and length."""
+    out: list[tuple[list[dict], float]] = [([], np.inf)] * len(many)
+    plans = [_plan(t, y, seeds, fit, retries) for t, y, seeds in many]
+    asked: dict[int, Search] = {}
+
+    def on(i: int, answer: Found | None) -> None:
+        try:
+            asked[i] = plans[i].send(answer)
+        except StopIteration as end:
+            out[i] = end.value
+
+    for i in range(len(many)):
+        on(i, None)
+    while asked:
+        now, asked = asked, {}
+        order = sorted(now, key=lambda i: (len(now[i].start), len(now[i].t)))
+        at = 0
+        while at < len(order):
+            first = now[order[at]]
+            n, room = len(first.start), LIKE * len(first.t) + 8
+            most = max(1, int(CELLS / (room * 3 * n)))
+            end = at + 1
+            while end < len(order) and end - at < most and len(now[order[end]].start) == n and len(now[order[end]].t) <= room:
+                end += 1
+            for i, found in zip(order[at:end], searched_beside([now[i] for i in order[at:end]], fit.rounds), strict=True):
+                on(i, found)
+            at = end
+    return out
+
+
+def _plan(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit, retries: int | None) -> Generator[Search, Found, tuple[list[dict], float]]:
+    """The fit of one group: it asks for searches and ends with what :func:`joint` returns."""
     left = fit.retries if retries is None else retries
     if len(t) > fit.points:
         at = np.unique(np.linspace(0, len(t) - 1, fit.points).astype(int))
@@ -128,7 +260,7 @@ def joint(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit = Fit(), re
             high.append((b, wide, wide))
         tries = []
         for tail in (0.3, 1.0):  # from short tails, then from long ones
-            tries.append(searched(t, y, np.array(start) + [0, 0, np.log(tail)], np.array(low), np.array(high), fit.rounds))
+            tries.append((yield Search(t, y, np.array(start) + [0, 0, np.log(tail)], np.array(low), np.array(high))))
             if tries[-1][3] and tries[-1][2] < 1e-6 * (y @ y):
                 break
         q, areas, rss, done = min(tries, key=lambda f: (not f[3], f[2]))
@@ -142,7 +274,7 @@ def joint(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit = Fit(), re
         widths = [2.355 * c["sigma"] + c["tau"] for c in found]
         fattest = int(np.argmax(widths))
         if n > 1 and widths[fattest] > fit.fat * width:
-            leaner, other = joint(t, y, seeds[:fattest] + seeds[fattest + 1 :], fit, 0)
+            leaner, other = yield from _plan(t, y, seeds[:fattest] + seeds[fattest + 1 :], fit, 0)
             if leaner and other < 2 * rss:
                 return leaner, other
         return found, rss
@@ -176,9 +308,11 @@ def fitted(samples: DataFrame, apexes: DataFrame, on: list[str], fit: Fit = Fit(
 
     def many(signals: list[Signal]) -> dict[str, list]:
         rows: list[list[dict]] = []
-        for s in signals:
-            x, y = s["x"], filled(s["y"])
-            curves, rss = joint(x, y, x[s["seed"]].tolist(), fit) if len(x) >= 4 else ([], 0.0)
+        data = [(s["x"], filled(s["y"])) for s in signals]
+        long = [i for i, (x, _) in enumerate(data) if len(x) >= 4]
+        fits = dict(zip(long, joints([(*data[i], data[i][0][signals[i]["seed"]].tolist()) for i in long], fit), strict=True))
+        for i, (x, y) in enumerate(data):
+            curves, rss = fits.get(i, ([], 0.0))
             flat = float(((y - y.mean()) ** 2).sum())
             own = []
             for c in curves:

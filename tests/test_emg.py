@@ -115,3 +115,31 @@ def test_runs_of_cut_chunks_and_doubled_apexes(spark, samples):
 def test_apexes_closer_than_a_limit_count_once(spark):
     rows = spark.createDataFrame([(1, v) for v in (0.0, 0.015, 0.03, 0.5)], "sample_id int, x double")
     assert sorted(r.x for r in W.kept_apart(rows, ["sample_id"], "x", 0.02).collect()) == [0.0, 0.03, 0.5]
+
+
+def test_groups_are_fitted_side_by_side(monkeypatch):
+    """As one by one, in few calls: one group after another took the time of its many small steps."""
+    r = np.random.default_rng(3)
+    many = []
+    for k in range(24):
+        t = np.linspace(0, 8, 60 + 2 * k)
+        middles = sorted((1 + 1.5 * (k % 3) + r.random() * 0.3 + 2.2 * i) for i in range(1 + k % 2))
+        many.append((t, sum(K.emg(t, 5 + i, m, 0.2, 0.15) for i, m in enumerate(middles)), middles))
+    alone, calls, beside = [emg.joint(*m) for m in many], [], emg.searched_beside
+    monkeypatch.setattr(emg, "searched_beside", lambda many, rounds: (calls.append(len(many)), beside(many, rounds))[1])
+    together = emg.joints(many)
+    assert len(calls) <= 8 and max(calls) >= 12
+    for (have, _), (want, _), (_, _, middles) in zip(together, alone, many, strict=True):
+        assert len(have) == len(want) == len(middles)
+        assert [c[k] for c in have for k in ("rt", "area")] == pytest.approx([c[k] for c in want for k in ("rt", "area")], rel=1e-4)
+        assert sum(c["area"] for c in have) == pytest.approx(sum(5 + i for i in range(len(middles))), rel=1e-3)
+
+
+def test_slopes_are_those_of_the_curves():
+    t = np.linspace(0, 10, 50)
+    for s, u in ((0.3, 0.2), (1.0, 0.001), (0.01, 2.0), (0.5, 0.04)):
+        q = np.array([[4.0, np.log(s), np.log(u)]])
+        for i in range(3):
+            step = np.eye(3)[i] * 1e-5
+            want = (emg.curves(t, q + step) - emg.curves(t, q - step))[:, 0] / 2e-5
+            assert emg.slopes(t, q)[:, i] == pytest.approx(want, abs=1e-3 * np.abs(want).max())
