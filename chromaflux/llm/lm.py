@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,30 @@ class Local(dict):
 PARTS = "rows array<long>, doc_ids array<long>, turns array<int>, sizes array<int>, tokens binary, words array<binary>, counts array<long>"
 
 
+def one_list(values: pa.Array) -> pa.ListArray:
+    """A column of one row that holds all of ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+class Part(NamedTuple):
+    """A part as it is read: its columns without a Python object for each word or document."""
+
+    rows: np.ndarray | None
+    doc_ids: pa.Array | None
+    turns: np.ndarray
+    sizes: np.ndarray
+    tokens: np.ndarray
+    words: pa.Array
+
+    @classmethod
+    def each(cls, batch: pa.RecordBatch) -> Iterator[Part]:
+        of = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for i in range(batch.num_rows):
+            listed = {k: of[k][i].values for k in ("rows", "doc_ids", "turns", "sizes", "words") if k in of}
+            numbers = {k: listed[k].to_numpy() if k in listed else None for k in ("rows", "turns", "sizes")}
+            yield cls(**numbers, doc_ids=listed.get("doc_ids"), tokens=np.frombuffer(of["tokens"][i].as_buffer(), np.int32), words=listed["words"])
+
+
 def parts(docs: DataFrame) -> DataFrame:
     """Parts of the corpus: for each document its row, id, round of training (-1: held out) and size; all their tokens; the words and their training counts."""
     names = [x.split()[0] for x in PARTS.split(", ")]
@@ -68,8 +94,9 @@ def parts(docs: DataFrame) -> DataFrame:
             row, ids, turn, tokens = zip(*held, strict=True)
             trained = [t for t, x in zip(tokens, turn, strict=True) if x >= 0]
             counts = np.bincount(np.concatenate(trained), minlength=len(local)) if trained else np.zeros(len(local), np.int64)
-            columns = [list(row), list(ids), list(turn), list(map(len, tokens)), np.concatenate(tokens).tobytes(), list(local), counts]
-            return rows_of(names, [[c] for c in columns], types)
+            lists = [one_list(pa.array(x, t.value_type)) for x, t in zip((row, ids, turn, [*map(len, tokens)]), types, strict=False)]
+            binary = pa.array([np.concatenate(tokens).tobytes()], pa.binary())
+            return rows_of(names, [*lists, binary, one_list(pa.array(list(local), pa.binary())), one_list(pa.array(counts, pa.int64()))], types)
 
         for batch in batches:
             for row, doc_id, text in zip(column(batch, "row").to_pylist(), column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
@@ -121,7 +148,8 @@ class Vocabulary:
         weight[self.first_bucket :] = sums[:, 0]
         self.unigram = (weight + 1) / (weight + 1).sum()
 
-        self.place = {w: i for i, w in enumerate(self.count)}
+        self.head = pa.array(list(self.count), pa.binary())
+        self.prefixes, self.buckets = pa.array(list(self.bucket), pa.binary()), np.array([*self.bucket.values(), OUTPUTS - 1], np.int16)  # the last is of other prefixes
         self.log = np.log10(np.array([*self.count.values(), 0.0]) + 1)  # the last is of words outside the head
         self.outputs = np.array([*map(self.number, self.count), 0], np.int16)
 
@@ -129,16 +157,20 @@ class Vocabulary:
         found = self.output.get(word)
         return self.bucket.get(word[:2], OUTPUTS - 1) if found is None else found
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Outputs of the words of a part and their places in the head (-1: not there)."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words], np.int32)
+        at = places(words, self.head)
         ids = self.outputs[at]
-        for i in np.nonzero(at < 0)[0].tolist():
-            ids[i] = self.bucket.get(words[i][:2], OUTPUTS - 1)
+        rare = np.nonzero(at < 0)[0]
+        ids[rare] = self.buckets[places(pc.binary_slice(words.take(pa.array(rare)), 0, 2), self.prefixes)]
         return ids, at
 
 
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each of ``words`` stands ``among`` others (-1: nowhere)."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     """The vocabulary, and the count below which words are not in its head."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -156,11 +188,10 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(pairs, {bytes(r.p): (r.n, r.v) for r in prefix}, total or 0, distinct or 0), cutoff
 
 
-def of_part(part: dict, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Local numbers, outputs and places in the head of all tokens of a part, and where its documents end."""
-    local = np.frombuffer(part["tokens"], np.int32)
-    outputs, places = v.numbers(part["words"])
-    return local, outputs[local], places[local], np.cumsum(part["sizes"])
+def of_part(part: Part, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outputs and places in the head of all tokens of a part, and where its documents end."""
+    outputs, at = v.numbers(part.words)
+    return outputs[part.tokens], at[part.tokens], np.cumsum(part.sizes)
 
 
 def trained(of_parts: DataFrame, known, unigram: np.ndarray) -> dict[str, np.ndarray]:
@@ -178,10 +209,9 @@ def trained(of_parts: DataFrame, known, unigram: np.ndarray) -> dict[str, np.nda
             learner, v = gru.Learner(start.value), known.value
             many: list[np.ndarray] = []
             for batch in batches:
-                for i in range(batch.num_rows):
-                    part = batch.slice(i, 1).to_pylist()[0]
-                    _, outputs, _, ends = of_part(part, v)
-                    own = [x for x, t in zip(np.split(outputs, ends[:-1]), part["turns"], strict=True) if t == turn]
+                for part in Part.each(batch):
+                    outputs, _, ends = of_part(part, v)
+                    own = [x for x, t in zip(np.split(outputs, ends[:-1]), part.turns.tolist(), strict=True) if t == turn]
                     many += [x[k : k + SEGMENT] for x in own for k in range(0, len(x), SEGMENT)]
                     if sum(map(len, many)) > 1 << 21:
                         learner.learn(many)
@@ -221,36 +251,35 @@ def scored(docs: DataFrame) -> DataFrame:
         v = known.value
         room = float(np.log10(v.total + v.distinct + 1))
 
-        def out(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[Part]) -> Iterator[pa.RecordBatch]:
             """Parts whose texts go through the network together: the longest of them holds up the others less."""
             read = [of_part(part, v) for part in held]
-            scores = np.split(gru.score(model.value, [x for _, outputs, _, ends in read for x in np.split(outputs, ends[:-1])]), np.cumsum([len(p["sizes"]) for p in held])[:-1])
-            for part, (local, outputs, at, ends), score in zip(held, read, scores, strict=True):
-                begins, sizes = ends - part["sizes"], np.array(part["sizes"])
+            scores = np.split(gru.score(model.value, [x for outputs, _, ends in read for x in np.split(outputs, ends[:-1])]), np.cumsum([len(p.sizes) for p in held])[:-1])
+            for part, (outputs, at, ends), score in zip(held, read, scores, strict=True):
+                begins = ends - part.sizes
                 value = v.log[at]
                 tail = outputs - v.first_bucket
                 inside = np.where(tail >= 0, value + v.within[np.maximum(tail, 0)], 0.0)
                 rare = np.nonzero(at < 0)[0]
-                keys, times = np.unique((np.searchsorted(ends, rare, side="right") << 32) + local[rare], return_counts=True)
-                cuts = np.searchsorted(keys >> 32, np.arange(len(ends) + 1)).tolist()
-                word = [part["words"][k] for k in (keys & 0xFFFFFFFF).tolist()]
-                lists = [[x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (word, times)]
-                base = np.add.reduceat(value, begins) - room * sizes
+                keys, times = np.unique((np.searchsorted(ends, rare, side="right") << 32) + part.tokens[rare], return_counts=True)
+                cuts = pa.array(np.searchsorted(keys >> 32, np.arange(len(ends) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, x) for x in (part.words.take(pa.array(keys & 0xFFFFFFFF)), pa.array(times, pa.int32()))]
+                base = np.add.reduceat(value, begins) - room * part.sizes
                 known_ = np.add.reduceat((at >= 0).astype(np.int64), begins)
-                yield rows_of(names, [part["rows"], part["doc_ids"], np.array(part["turns"]) < 0, sizes, known_, base, score + np.add.reduceat(inside, begins), *lists], types)
+                yield rows_of(names, [part.rows, part.doc_ids, part.turns < 0, part.sizes, known_, base, score + np.add.reduceat(inside, begins), *lists], types)
 
-        held: list[dict] = []
+        held: list[Part] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.append(batch.slice(i, 1).to_pylist()[0])
-                if sum(len(p["tokens"]) for p in held) > 1 << 23:  # four bytes a token
+            for part in Part.each(batch):
+                held.append(part)
+                if sum(len(p.tokens) for p in held) > 1 << 21:
                     yield from out(held)
                     held = []
         if held:
             yield from out(held)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word array<binary>, times array<int>"
-    first = written(every.mapInArrow(lean(run), schema))
+    first = written(every.drop("counts").mapInArrow(lean(run), schema))
     known.destroy()
     model.destroy()
     remove(every)
