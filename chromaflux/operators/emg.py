@@ -113,6 +113,26 @@ def _positive(r: np.ndarray, goal: np.ndarray) -> np.ndarray:
     return out
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of square systems with positive diagonals, one for each row of ``b``.
+
+    Where a curve has next to no weight in the signal, its slopes are so much smaller than the others' that a system is singular
+    to the last place as it stands. Such a system is solved by itself, all its parameters brought to the same scale.
+    """
+    try:
+        out = np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:  # one of them, it doesn't say which
+        if len(a) > 1:
+            half = len(a) // 2
+            return np.concatenate([solved(a[:half], b[:half]), solved(a[half:], b[half:])])
+        out = np.full(b.shape, np.nan)
+    lost = np.nonzero(np.isnan(out).any(1))[0]
+    if len(lost):
+        scale = np.sqrt(np.diagonal(a[lost], axis1=1, axis2=2))
+        out[lost] = _least(a[lost] / scale[:, :, None] / scale[:, None], b[lost] / scale) / scale
+    return out
+
+
 @dataclass
 class Search:
     """A search for times and log widths from ``start`` within bounds, over a signal."""
@@ -173,7 +193,7 @@ def searched_beside(many: list[Search], rounds: int) -> list[Found]:
             break
         part = np.where(free[left][:, :, None] & free[left][:, None], a[left], 0.0)
         part[:, diagonal, diagonal] = np.where(free[left], part[:, diagonal, diagonal] * (1 + damp[left, None]), 1.0)
-        move = -np.linalg.solve(part, np.where(free[left], g[left], 0.0)[..., None])[..., 0]
+        move = -solved(part, np.where(free[left], g[left], 0.0))
         to = np.clip(q[left] + move.reshape(-1, n, 3), low[left], high[left])
         found = areas_beside(np.where(real[left], curves(t[left], to), 0.0), y[left])
         after = (found[1] ** 2).sum(1)

@@ -143,3 +143,46 @@ def test_slopes_are_those_of_the_curves():
             step = np.eye(3)[i] * 1e-5
             want = (emg.curves(t, q + step) - emg.curves(t, q - step))[:, 0] / 2e-5
             assert emg.slopes(t, q)[:, i] == pytest.approx(want, abs=1e-3 * np.abs(want).max())
+
+
+#: A group of noise, one of whose curves comes to weigh next to nothing: x, y and the places of its apexes.
+FAINT = (
+    [9071.4113722, 9229.8976633, 9329.937558633334, 11160.620794133334, 12310.111377733334, 12839.6241833, 15350.828844583333, 16005.064297133333, 16864.4727395, 17181.6899913, 17920.37512005, 18334.6848688, 18423.508443416667, 18912.392842183333, 19903.0553623, 20585.363602333335, 20739.112578416665],
+    [5.76, 13.72, 49.16, 51.93, 13.17, 77.6, 49.97, 118.27, 62.06, 72.48, 0.9, 35.54, 11.44, 22.23, 16.28, 1.87, 43.76],
+    [5, 7, 9],
+)
+
+
+def faint(spark):
+    """That group as a signal, and its apexes."""
+    x, y, at = FAINT
+    samples = spark.createDataFrame([("f", i, *p) for i, p in enumerate(zip(x, y, strict=True))], "sample_id string, seq long, x double, y double")
+    return samples, spark.createDataFrame([("f", i, y[i]) for i in at], "sample_id string, seq long, y double")
+
+
+def test_a_curve_of_next_to_no_weight_does_not_end_the_refit(spark, samples):
+    """It did, with "Singular matrix", and with it the whole job."""
+    own, tops = faint(spark)
+    chunks = spark.createDataFrame([("f", 0, 0, 16), ("c", 0, 100, 700)], "sample_id string, chunk int, low long, high long")
+    found, _ = emg.refitted(samples.filter("sample_id = 'c'").unionByName(own), apexes(spark).filter("sample_id = 'c'").unionByName(tops), chunks)
+    rows = found.collect()
+    assert_planted([r for r in rows if r.sample_id == "c"], "c")
+    assert sum(r.sample_id == "f" for r in rows) in (2, 3)
+    assert all(np.isfinite([r.rt, r.area, r.sigma, r.tau, r.height]).all() and 0 < r.r2 <= 1 for r in rows)
+
+
+def test_systems_of_any_scale_are_solved():
+    r = np.random.default_rng(5)
+    a = r.normal(size=(6, 9, 4))
+    a = np.swapaxes(a, 1, 2) @ a
+    b = r.normal(size=(6, 4))
+    want = np.linalg.solve(a, b[..., None])[..., 0]
+    assert (emg.solved(a, b) == want).all()
+    scale = np.ones((6, 4))
+    scale[2] = [1, 1e-160, 1, 1e-155]  # their squares vanish, all but a few bits
+    scale[4] = [1e-30, 1, 1e3, 1e-28]
+    got = emg.solved(a * scale[:, :, None] * scale[:, None], b * scale) * scale
+    assert np.isfinite(got).all() and (got[[0, 1, 3, 5]] == want[[0, 1, 3, 5]]).all()
+    assert got[4] == pytest.approx(want[4])
+    a[3] = 1.0  # equal parameters share the step, the other systems are as they were
+    assert emg.solved(a, np.ones((6, 4)))[3] == pytest.approx(0.25) and (emg.solved(a, b)[0] == want[0]).all()
