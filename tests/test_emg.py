@@ -186,3 +186,13 @@ def test_systems_of_any_scale_are_solved():
     assert got[4] == pytest.approx(want[4])
     a[3] = 1.0  # equal parameters share the step, the other systems are as they were
     assert emg.solved(a, np.ones((6, 4)))[3] == pytest.approx(0.25) and (emg.solved(a, b)[0] == want[0]).all()
+
+
+def test_a_curve_of_next_to_no_weight_does_not_end_the_fit(spark, samples):
+    own, tops = faint(spark)
+    found = emg.fitted(samples.filter("sample_id <> 'b'").unionByName(own), apexes(spark).filter("sample_id <> 'b'").unionByName(tops), ["sample_id"]).collect()
+    assert_planted([r for r in found if r.sample_id != "f"], "ac")
+    assert [(r.group, r.component) for r in found if r.sample_id == "f"][:2] == [(0, 0), (0, 1)]
+    x, y, at = FAINT
+    alone, rss = emg.joint(np.array(x), np.array(y), [x[i] for i in at])
+    assert alone and 0 < rss < np.square(np.array(y) - np.mean(y)).sum()
