@@ -31,7 +31,6 @@ class Fit:
     reach: float = 1.5
     fat: float = 0.5
     retries: int = 2
-    points: int = 240
     rounds: int = 120
 
 
@@ -261,9 +260,6 @@ def joints(many: list[tuple[np.ndarray, np.ndarray, list[float]]], fit: Fit = Fi
 def _plan(t: np.ndarray, y: np.ndarray, seeds: list[float], fit: Fit, retries: int | None) -> Generator[Search, Found, tuple[list[dict], float]]:
     """The fit of one group: it asks for searches and ends with what :func:`joint` returns."""
     left = fit.retries if retries is None else retries
-    if len(t) > fit.points:
-        at = np.unique(np.linspace(0, len(t) - 1, fit.points).astype(int))
-        t, y = t[at], y[at]
     seeds, width = sorted(seeds), float(t[-1] - t[0])
     while seeds and width > 0:
         n = len(seeds)

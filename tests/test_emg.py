@@ -196,3 +196,26 @@ def test_a_curve_of_next_to_no_weight_does_not_end_the_fit(spark, samples):
     x, y, at = FAINT
     alone, rss = emg.joint(np.array(x), np.array(y), [x[i] for i in at])
     assert alone and 0 < rss < np.square(np.array(y) - np.mean(y)).sum()
+
+
+NARROW = [(0.2, 2.013, 0.006, 0.003), (0.3, 2.085, 0.006, 0.003), (10, 5.0, 0.3, 0.2)]
+
+
+def narrow(spark, noise=0.0):
+    """A signal of 4,801 samples in one group, two of whose curves are a few samples wide; its apexes, x and y."""
+    x = np.linspace(0, 8, 4801)
+    y = sum(K.emg(x, *c) for c in NARROW) + np.random.default_rng(7).normal(0, noise, len(x))
+    samples = spark.createDataFrame([("n", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "sample_id string, seq long, x double, y double")
+    at = [int(np.argmax(y * (np.abs(x - c[1] - 0.02) < 0.03))) for c in NARROW[:2]] + [int(np.argmax(y * (x > 3)))]
+    return samples, spark.createDataFrame([("n", i, float(y[i])) for i in at], "sample_id string, seq long, y double"), x, y
+
+
+def test_merged_chunks_are_fitted_by_every_sample(spark):
+    samples, tops, _, _ = narrow(spark)
+    chunks = spark.createDataFrame([("n", 0, 0, 3100), ("n", 1, 3101, 4800)], "sample_id string, chunk int, low long, high long")
+    found, after = emg.refitted(samples, tops, chunks, emg.Fit(share=-1.0))
+    assert [(r.low, r.high) for r in after.collect()] == [(0, 4800)]  # the cut went through the broad curve
+    rows = sorted(found.collect(), key=lambda r: r.rt)
+    assert len(rows) == 3
+    for have, want in zip(rows, NARROW, strict=True):
+        assert (have.area, have.rt, have.sigma, have.tau) == pytest.approx(want, rel=1e-3)
