@@ -210,6 +210,17 @@ def narrow(spark, noise=0.0):
     return samples, spark.createDataFrame([("n", i, float(y[i])) for i in at], "sample_id string, seq long, y double"), x, y
 
 
+def test_a_fit_uses_every_sample_of_its_group(spark):
+    """240 of them were used, in which narrow curves were lost, and R2 set their residual against all samples."""
+    samples, tops, x, y = narrow(spark, 0.01)
+    found = sorted(emg.fitted(samples, tops, ["sample_id"], emg.Fit(share=-1.0)).collect(), key=lambda r: r.rt)
+    assert {r.group for r in found} == {0} and len(found) == 3
+    for have, want in zip(found, NARROW, strict=True):
+        assert (have.area, have.rt, have.sigma) == (pytest.approx(want[0], rel=0.01), pytest.approx(want[1], abs=1e-3), pytest.approx(want[2], rel=0.05))
+    rest = y - sum(K.emg(x, r.area, r.rt, r.sigma, r.tau) for r in found)
+    assert 1 - found[0].r2 == pytest.approx((rest**2).sum() / ((y - y.mean()) ** 2).sum(), rel=1e-3)
+
+
 def test_merged_chunks_are_fitted_by_every_sample(spark):
     samples, tops, _, _ = narrow(spark)
     chunks = spark.createDataFrame([("n", 0, 0, 3100), ("n", 1, 3101, 4800)], "sample_id string, chunk int, low long, high long")
